@@ -57,14 +57,21 @@ class KeyedLog:
             self.current().write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={newest}")
 
     def current(self) -> DataFrame | None:
-        log = parquet_if_exists(self.spark, f"{self.path}/log")
-        if log is None:
-            return None
+        """Newest row per key over the snapshot and the complete later epochs."""
         upto = self._snapshot_epoch()
+        later = [e for e in self._folders("log", "epoch") if upto is None or e > upto]
+        parts = []
+        if later:
+            log = f"{self.path}/log"
+            rows = self.spark.read.option("basePath", log).parquet(*[f"{log}/epoch={e}" for e in sorted(later)])
+            parts.append(rows.withColumn("epoch", F.col("epoch").cast("long")))
         if upto is not None:
-            base = self.spark.read.parquet(f"{self.path}/snapshot/upto={upto}").withColumn("epoch", F.lit(upto))
-            log = log.filter(F.col("epoch") > upto).unionByName(base)
-        return top_per_key(log, self.keys, [F.desc("epoch")]).drop("epoch")
+            base = self.spark.read.parquet(f"{self.path}/snapshot/upto={upto}")
+            parts.append(base.withColumn("epoch", F.lit(upto).cast("long")))
+        if not parts:
+            return None
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return top_per_key(rows, self.keys, [F.desc("epoch")]).drop("epoch")
 
     def _folders(self, part: str, mark: str) -> list[int]:
         """Epochs of the complete folders below ``part``."""
