@@ -50,7 +50,7 @@ def trailing_counts(spark, path):
 def trailing_ratio(spark, path):
     out = features.amount_vs_trailing_average(dataset.base_transactions(spark, path))
     out = out.select("txn_id", "avg_amount_90d", "amount_vs_90d_avg")
-    return averaged(rounded(out, "amount_vs_90d_avg"), "avg_amount_90d")
+    return averaged(out, "amount_vs_90d_avg", "avg_amount_90d")
 
 
 def trailing_zscore(spark, path):
@@ -130,7 +130,7 @@ SQL = {
     ),
     "trailing_ratio": query(
         BASE,
-        f"""SELECT txn_id, round(m + 1e-10, 6) AS avg_amount_90d, round(amount / nullif(m, 0), 6) AS amount_vs_90d_avg
+        f"""SELECT txn_id, round(m + 1e-10, 6) AS avg_amount_90d, round(amount / nullif(m, 0) + 1e-10, 6) AS amount_vs_90d_avg
         FROM (SELECT txn_id, amount, avg(amount) OVER {_frame(90 * DAY)} AS m FROM base)""",
     ),
     "trailing_zscore": query(

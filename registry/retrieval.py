@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.features import rounded
-from riskweave.dataset import table
+from riskweave.dataset import documents, table
 from riskweave.operators.knn import nearest
 from riskweave.plans import retrieval
 
 
 def doc_chunks_stride(spark, path):
-    out = retrieval.chunk_stride(table(spark, path, "documents"))
+    out = retrieval.chunk_stride(documents(spark, path))
     return out.select("doc_id", "chunk", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 def doc_chunks(spark, path):
-    out = retrieval.chunk_recursive(table(spark, path, "documents").select("doc_id", "lang", "text"))
+    out = retrieval.chunk_recursive(documents(spark, path).select("doc_id", "lang", "text"))
     return out.select("doc_id", "lang", "chunk", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
@@ -44,7 +44,7 @@ def knn_cosine(spark, path):
 
 def tfidf_neighbors(spark, path):
     """The three chunks nearest to each benchmark text."""
-    docs = table(spark, path, "documents").select("doc_id", "text")
+    docs = documents(spark, path).select("doc_id", "text")
     chunks = retrieval.chunk_recursive(docs)
     questions = table(spark, path, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
     model = retrieval.fit_tfidf(chunks)

@@ -144,16 +144,22 @@ def _pack(rows: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def _mean_length(points: np.ndarray, forest: Forest) -> np.ndarray:
-    """Mean path length per row; walks all trees level by level."""
+    """Mean path length per row; one tree at a time keeps its nodes in cache."""
     nodes = forest.nodes
-    trees = np.arange(nodes["feature"].shape[0])[None, :]
-    at = np.zeros((len(points), trees.shape[1]), dtype=int)
-    rows = np.arange(len(points))[:, None]
-    for _ in range(forest.depth):
-        feature = nodes["feature"][trees, at]
-        goes_left = points[rows, np.maximum(feature, 0)] <= nodes["threshold"][trees, at]
-        at = np.where(goes_left, nodes["left"][trees, at], nodes["right"][trees, at])
-    return nodes["length"][trees, at].mean(axis=1)
+    flat = np.ascontiguousarray(points).ravel()
+    base = np.arange(len(points)) * points.shape[1]
+    total = np.zeros(len(points))
+    trees = nodes["feature"].shape[0]
+    for t in range(trees):
+        feature, threshold = np.maximum(nodes["feature"][t], 0), nodes["threshold"][t]
+        # children side by side: the comparison picks the column
+        child = np.stack([nodes["right"][t], nodes["left"][t]], axis=1).ravel()
+        at = np.zeros(len(points), dtype=np.int64)
+        for _ in range(forest.depth):
+            goes_left = flat.take(base + feature.take(at)) <= threshold.take(at)
+            at = child.take(2 * at + goes_left)
+        total += nodes["length"][t].take(at)
+    return total / trees
 
 
 def forest_scores(df: DataFrame, forest: Forest) -> DataFrame:

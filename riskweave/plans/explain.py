@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.scalars import base_rate
 from riskweave.operators.keyed import latest_per_key
 from riskweave.plans.scoring import FIXED_MODEL, LinearModel, logit, model_inputs, sigmoid
-from riskweave.schemas import CATEGORIES, CLASS_CUTOFF
+from riskweave.schemas import CATEGORIES, CATEGORY_BASE_RATES, CLASS_CUTOFF
 
 
 def explanation_rows(attributed: DataFrame, created_at: Column) -> DataFrame:
@@ -61,6 +61,21 @@ SEARCH_GRID = {
 }
 
 
+def _doubles(values: list) -> str:
+    return f"array({', '.join(f'{float(v)}D' for v in values)})"
+
+
+def _axis(values: str, delta: str, weight: float, distance: str, label: str, applies: str | None = None) -> str:
+    """Options of one feature as SQL: keep it (first), or take a value ``v``.
+
+    Values that would not change the feature are left out.
+    """
+    keep = "struct(0 AS place, 0 AS changed, 0D AS effect, 0D AS distance, string(null) AS label, true AS applies)"
+    return f"""filter(concat(array({keep}), transform({values}, (v, i) -> struct(
+        i + 1 AS place, 1 AS changed, {weight}D * ({delta}) AS effect, {distance} AS distance, {label} AS label,
+        {applies or f"abs({delta}) > 0.01D"} AS applies))), o -> o.applies)"""
+
+
 def counterfactuals(
     scored: DataFrame, model: LinearModel = FIXED_MODEL, grid: dict | None = None, k: int = 3
 ) -> DataFrame:
@@ -69,128 +84,70 @@ def counterfactuals(
     Each feature may keep its value or take one of its grid values. The grid is
     a constant, so the search is an array expression inside the row: candidates
     are built, scored, filtered and ranked without a join or a shuffle. Ranked
-    by number of changes, then distance, then grid order. A row with no
-    solution gets the fixed fallback.
+    by number of changes, then distance, then grid order; candidates with more
+    changes are only built for rows that fewer changes leave short of ``k``. A
+    row with no solution gets the fixed fallback.
     """
     grid = grid or SEARCH_GRID
     c, w = F.col, model.weights
-    flagged = scored.filter(c("raw_probability") > CLASS_CUTOFF)
-    rate = base_rate(c("merchant_category"))
-    foreign = c("is_foreign_merchant").cast("int")
-
-    def option(order: int, changed: Column, effect: Column, distance: Column, label: Column) -> Column:
-        return F.struct(
-            F.lit(order).alias("pos"),
-            F.when(changed, 1).otherwise(0).alias("changed"),
-            F.when(changed, effect).otherwise(F.lit(0.0)).alias("effect"),
-            F.when(changed, distance).otherwise(F.lit(0.0)).alias("distance"),
-            F.when(changed, label).alias("label"),
-        )
-
-    def keep() -> Column:
-        return option(0, F.lit(False), F.lit(0.0), F.lit(0.0), F.lit(""))
-
-    def moved(delta: Column, threshold: float = 0.01) -> Column:
-        return F.abs(delta) > threshold
-
-    amounts, velocities, foreigns, categories = [keep()], [keep()], [keep()], [keep()]
-    for i, share in enumerate(s for s in grid["amount_share"] if s != 1.0):
-        target = F.floor(c("amount") * share)
-        delta = target - c("amount")
-        amounts.append(
-            option(
-                i + 1,
-                moved(delta),
-                w["amount"] * delta,
-                F.lit(1.0 - share),
-                F.concat(F.lit("amount="), target.cast("string")),
-            )
-        )
-    for i, value in enumerate(grid["txn_velocity_1h"]):
-        delta = F.lit(float(value)) - c("txn_velocity_1h")
-        velocities.append(
-            option(
-                i + 1,
-                moved(delta),
-                w["txn_velocity_1h"] * delta,
-                F.abs(delta) / 15.0,
-                F.lit(f"txn_velocity_1h={value}"),
-            )
-        )
-    for i, value in enumerate(grid["is_foreign_merchant"]):
-        delta = F.lit(float(value)) - foreign
-        foreigns.append(
-            option(
-                i + 1, moved(delta), w["is_foreign_merchant"] * delta, F.lit(1.0), F.lit(f"is_foreign_merchant={value}")
-            )
-        )
-    for i, value in enumerate(grid["merchant_category"]):
-        delta = base_rate(F.lit(value)) - rate
-        categories.append(
-            option(
-                i + 1,
-                c("merchant_category") != value,
-                w["merchant_category_encoded"] * delta,
-                F.lit(1.0),
-                F.lit(f"merchant_category={value}"),
-            )
-        )
-
-    def combine(left: Column, options: list[Column]) -> Column:
-        """Extend every partial candidate by every applicable option."""
-        usable = F.filter(F.array(*options), lambda o: (o["pos"] == 0) | (o["changed"] == 1))
-        return F.flatten(
-            F.transform(
-                left,
-                lambda a: F.transform(
-                    usable,
-                    lambda o: F.struct(
-                        (a["n_changes"] + o["changed"]).alias("n_changes"),
-                        (a["distance"] + o["distance"]).alias("distance"),
-                        F.concat(a["order"], F.array(o["pos"])).alias("order"),
-                        (a["effect"] + o["effect"]).alias("effect"),
-                        F.concat(a["changes"], F.array(o["label"])).alias("changes"),
-                    ),
-                ),
-            )
+    shares = [v for v in grid["amount_share"] if v != 1.0]
+    rates = [f"struct('{v}' AS name, {CATEGORY_BASE_RATES[v]}D AS rate)" for v in grid["merchant_category"]]
+    axes = {
+        "_amounts": _axis(
+            _doubles(shares),
+            delta="floor(amount * v) - amount",
+            weight=w["amount"],
+            distance="1D - v",
+            label="concat('amount=', floor(amount * v))",
+        ),
+        "_velocities": _axis(
+            _doubles(grid["txn_velocity_1h"]),
+            delta="v - txn_velocity_1h",
+            weight=w["txn_velocity_1h"],
+            distance="abs(v - txn_velocity_1h) / 15D",
+            label="concat('txn_velocity_1h=', int(v))",
+        ),
+        "_foreigns": _axis(
+            _doubles(grid["is_foreign_merchant"]),
+            delta="v - int(is_foreign_merchant)",
+            weight=w["is_foreign_merchant"],
+            distance="1D",
+            label="concat('is_foreign_merchant=', int(v))",
+        ),
+        "_categories": _axis(
+            f"array({', '.join(rates)})",
+            delta="v.rate - _rate",
+            weight=w["merchant_category_encoded"],
+            distance="1D",
+            label="concat('merchant_category=', v.name)",
+            applies="v.name <> merchant_category",
+        ),
+    }
+
+    def solve(most: int) -> Column:
+        candidates = "array(struct(0 AS n, 0D AS distance, array() AS places, 0D AS effect, array() AS labels))"
+        for axis in axes:
+            candidates = f"""flatten(transform({candidates}, a -> transform(
+                CASE WHEN a.n < {most} THEN {axis} ELSE slice({axis}, 1, 1) END, o -> struct(
+                    a.n + o.changed AS n, a.distance + o.distance AS distance, concat(a.places, array(o.place)) AS places,
+                    a.effect + o.effect AS effect, concat(a.labels, array(o.label)) AS labels))))"""
+        # the class changes when the log-odds fall below 0, i.e. probability < 0.5
+        return F.expr(
+            f"""slice(array_sort(transform(filter({candidates}, a -> a.n > 0 AND _z + a.effect < 0), a -> struct(
+                a.n AS n_changes, round(a.distance, 6) AS distance, a.places AS places, a.effect AS effect,
+                array_join(a.labels, '; ') AS changes))), 1, {int(k)})"""
         )
 
-    seed = F.array(
-        F.struct(
-            F.lit(0).alias("n_changes"),
-            F.lit(0.0).alias("distance"),
-            F.array().cast("array<int>").alias("order"),
-            F.lit(0.0).alias("effect"),
-            F.array().cast("array<string>").alias("changes"),
-        )
-    )
-    z = logit(model, model_inputs())
-    candidates = seed
-    for options in (amounts, velocities, foreigns, categories):
-        candidates = combine(candidates, options)
-    # the class changes when the log-odds fall below 0, i.e. probability < 0.5
-    solved = F.filter("_candidates", lambda a: (a["n_changes"] > 0) & (c("_z") + a["effect"] < 0))
-    ranked = F.slice(
-        F.array_sort(
-            F.transform(
-                solved,
-                lambda a: F.struct(
-                    a["n_changes"].alias("n_changes"),
-                    F.round(a["distance"], 6).alias("distance"),
-                    a["order"].alias("order"),
-                    a["effect"].alias("effect"),
-                    F.array_join(F.array_compact(a["changes"]), "; ").alias("changes"),
-                ),
-            )
-        ),
-        1,
-        k,
-    )
-    found = flagged.withColumn("_z", z).withColumn("_candidates", candidates).withColumn("_best", ranked)
+    flagged = scored.filter(c("raw_probability") > CLASS_CUTOFF)
+    found = flagged.withColumns({"_z": logit(model, model_inputs()), "_rate": base_rate(c("merchant_category"))})
+    found = found.withColumns({name: F.expr(axis) for name, axis in axes.items()})
+    found = found.withColumn("_best", solve(1))
+    for most in range(2, len(axes) + 1):
+        found = found.withColumn("_best", F.when(F.size("_best") >= k, c("_best")).otherwise(solve(most)))
     fallback = F.struct(
         F.lit(1).alias("n_changes"),
         F.lit(None).cast("double").alias("distance"),
-        F.lit(None).cast("array<int>").alias("order"),
+        F.lit(None).cast("array<int>").alias("places"),
         F.lit(None).cast("double").alias("effect"),
         F.lit("merchant_category=grocery").alias("changes"),
     )
