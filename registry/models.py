@@ -14,6 +14,7 @@ from riskweave.plans import anomaly, credit, explain, metrics, scoring, staging,
 from riskweave.plans.explain import SEARCH_GRID
 from riskweave.plans.scoring import FIXED_MODEL
 from riskweave.schemas import CATEGORIES, FEATURE_DESCRIPTIONS
+from riskweave.session import materialize
 
 
 def _attributed(spark, path):
@@ -116,8 +117,13 @@ def label_encoded(spark, path):
     return apply_codes(txns, codes, ["channel"], suffix="_code").select("txn_id", "channel", "channel_code")
 
 
+def _stored(spark, path):
+    """Transactions with their features, written once for jobs of many passes."""
+    return materialize(dataset.transactions(spark, path), "transactions")
+
+
 def _split(spark, path):
-    prepared = training.prepare_fraud(dataset.transactions(spark, path))
+    prepared = training.prepare_fraud(_stored(spark, path))
     uniform = draw(F.concat_ws("|", F.col("is_fraud").cast("string"), "txn_id"), "split")
     return staging.split_by_hash(prepared, uniform)
 
@@ -150,7 +156,8 @@ def gbt_search(spark, path):
 
 
 def credit_model_metrics(spark, path):
-    rows = training.prepare_credit(_credit_rows(spark, path), credit.credit_target())
+    stored = materialize(_credit_rows(spark, path), "credit")
+    rows = training.prepare_credit(stored, credit.credit_target())
     split = staging.split_by_hash(rows, draw(F.col("txn_id"), "credit-split"))
     model = training.fit_credit(split.filter(F.col("split") != "test"), maxIter=10)
     held_out = model.transform(split.filter(F.col("split") == "test"))
@@ -159,13 +166,13 @@ def credit_model_metrics(spark, path):
 
 
 def isolation_forest_scores(spark, path):
-    txns = dataset.transactions(spark, path)
+    txns = _stored(spark, path)
     out = anomaly.score(txns, anomaly.train(txns))
     return out.select("txn_id", F.round("anomaly_raw", 6).alias("anomaly_raw"), "anomaly_score", "is_anomaly", "anomaly_contribution")
 
 
 def anomaly_summary(spark, path):
-    txns = dataset.transactions(spark, path)
+    txns = _stored(spark, path)
     return rounded(anomaly.training_summary(anomaly.score(txns, anomaly.train(txns))), "anomaly_rate", "mean_score", "std_score")
 
 

@@ -8,7 +8,7 @@ from registry.features import rounded
 from registry.sqlbase import query
 from riskweave import dataset
 from riskweave.plans import wide
-from riskweave.session import run_dir
+from riskweave.session import materialize, run_dir
 from riskweave.sources.files import csv_wanted
 
 
@@ -21,7 +21,10 @@ def _engineered(spark, path):
 
 
 def _clean(spark, path):
-    return wide.fill_sentinel(wide.encode_text(_engineered(spark, path)))
+    """The merged rows are written once: coding, pruning and packing each pass
+    over them, and must not join again."""
+    merged = materialize(_engineered(spark, path), "wide")
+    return wide.fill_sentinel(wide.encode_text(merged))
 
 
 def identity_join(spark, path):

@@ -12,7 +12,7 @@ from riskweave.functions.scalars import base_rate, day_of_week, hour_of_day, spe
 from riskweave.plans import features
 from riskweave.plans.scoring import FIXED_MODEL, linear_scores, risk_scores
 from riskweave.schemas import CATEGORIES
-from riskweave.session import use_utc
+from riskweave.session import use_utc, widen
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -52,14 +52,7 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Documents over at least as many partitions as there are task slots.
-
-    Splitting text is the costly step, and a small file is one partition; data
-    with enough input splits is not shuffled.
-    """
-    docs = table(spark, path, "documents")
-    slots = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= slots else docs.repartition(slots, "doc_id")
+    return widen(table(spark, path, "documents"), "doc_id")
 
 
 def merchants(spark: SparkSession, path: str) -> DataFrame:
@@ -124,7 +117,7 @@ def replayed_transactions(spark: SparkSession, path: str) -> DataFrame:
 def wide_left(spark: SparkSession, path: str) -> DataFrame:
     """Wide transaction file: ids, elapsed seconds, amount, flags, counts."""
     flag = F.col("l_returnflag")
-    return table(spark, path, "lineitem").select(
+    return widen(table(spark, path, "lineitem"), "l_orderkey").select(
         F.concat_ws(
             "-",
             *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],

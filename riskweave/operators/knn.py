@@ -8,6 +8,7 @@ cells are cut into blocks. Both emit k rows per query and block, never pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,9 +116,13 @@ def _scan(rows: list, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.mapInPandas(local, _FOUND)
 
 
-def _by_cells(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _by_cells(
+    queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Pivot cells with exact pruning; group sizes stay near ``block_rows``."""
     spark = corpus.sparkSession
+    if pivots is None:
+        pivots = min(1024, max(4, math.isqrt(corpus.count()) // 4))
     chosen = corpus.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     if not chosen:
         return spark.createDataFrame([], _FOUND)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,3 +55,25 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder for one run; nothing is ever deleted or reused."""
     return f"{shared_dir(spark)}/riskweave/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate once and go on from the written table.
+
+    For jobs that pass over the same rows several times: later passes read only
+    their columns, and a lost executor costs a re-read, not the whole lineage.
+    """
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def widen(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a scan with fewer input splits than task slots over all slots.
+
+    For costly per-row work on a file of a single row group. Data with enough
+    splits is returned as it is, so large inputs are never shuffled for it.
+    Takes a plain scan: counting the partitions of more would start it.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots, key)
