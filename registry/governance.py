@@ -99,11 +99,15 @@ def latest_fairness(spark, path):
 
 
 def released_models(spark, path):
-    """Weekly verdicts where accounts' own flags stand in for sign-offs."""
-    signs = dataset.accounts(spark, path).filter("is_high_risk").select(
-        F.lit("fraud_detector").alias("model_name"), F.lit("v1.0").alias("model_version")
-    )
-    return governance.released(_weekly_reports(spark, path), signs).select("computed_at", "gate_passed", "may_release")
+    """Each week's verdict is a model version; weeks with a very large amount
+    stand in for the versions that were signed off."""
+    version = F.date_format("computed_at", "yyyy-MM-dd").alias("model_version")
+    name = F.lit("fraud_detector").alias("model_name")
+    reports = _weekly_reports(spark, path).select(name, version, "computed_at", "gate_passed")
+    large = dataset.base_transactions(spark, path).filter("amount > 380")
+    week = F.date_trunc("week", "created_at").cast("timestamp_ntz").alias("computed_at")
+    signs = large.select(week).select(name, version)
+    return governance.released(reports, signs).select("computed_at", "gate_passed", "may_release")
 
 
 def gate_hysteresis(spark, path):
@@ -266,7 +270,8 @@ SQL = {
     "latest_fairness": query(_WEEKLY, _REPORT + " ORDER BY computed_at DESC LIMIT 1"),
     "released_models": query(
         _WEEKLY,
-        "SELECT computed_at, gate_passed, gate_passed OR (SELECT count_if(is_high_risk) > 0 FROM accounts) AS may_release FROM verdicts",
+        """SELECT computed_at, gate_passed, gate_passed OR computed_at IN
+          (SELECT CAST(date_trunc('week', created_at) AS TIMESTAMP) FROM base WHERE amount > 380) AS may_release FROM verdicts""",
     ),
     "gate_hysteresis": query(
         _WEEKLY,

@@ -65,30 +65,29 @@ def drift_reports(
     def on(side: str, column: str) -> Column:
         return F.sum(F.when(F.col("side") == side, F.col(column)))
 
+    def per_bin(side: str) -> Column:
+        entry = F.when((F.col("side") == side) & F.col("bin").isNotNull(), F.struct("bin", "n"))
+        return F.map_from_entries(F.collect_list(entry))
+
     sides = ("baseline", "current")
-    # at most bins + 1 rows per side of each group from here on
-    totals = counts.groupBy(*by).agg(
-        *[on(s, "n").alias(f"{s}_n") for s in sides], *[on(s, "total").alias(f"{s}_sum") for s in sides]
+    # a group has at most ``bins + 1`` rows per side: it folds into one row
+    folded = counts.groupBy(*by).agg(
+        *[on(s, "n").alias(f"{s}_rows") for s in sides],
+        *[on(s, "total").alias(f"{s}_sum") for s in sides],
+        *[per_bin(s).alias(f"{s}_bins") for s in sides],
     )
-    frame = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    binned = counts.filter(F.col("bin").isNotNull()).groupBy(*by, "bin").agg(*[on(s, "n").alias(f"{s}_bin") for s in sides])
 
-    def share(side: str) -> Column:
-        s = F.try_divide(F.coalesce(F.col(f"{side}_bin"), F.lit(0)), F.col(f"{side}_n"))
-        return F.when(s == 0, F.lit(PSI_EPSILON)).otherwise(s)
+    def share(side: str, index: Column) -> Column:
+        filled = F.coalesce(F.try_element_at(F.col(f"{side}_bins"), index), F.lit(0))
+        part = F.try_divide(filled, F.col(f"{side}_rows"))
+        return F.when(part == 0, F.lit(PSI_EPSILON)).otherwise(part)
 
-    expected, actual = share("baseline"), share("current")
-    psi = (
-        frame.join(binned, [*by, "bin"], "left")
-        .groupBy(*by)
-        .agg(
-            F.sum((actual - expected) * F.ln(actual / expected)).alias("psi_raw"),
-            F.first("baseline_n").alias("baseline_rows"),
-            F.first("current_n").alias("current_rows"),
-            F.first("baseline_sum").alias("baseline_sum"),
-            F.first("current_sum").alias("current_sum"),
-        )
-    )
+    def term(index: Column) -> Column:
+        expected, actual = share("baseline", index), share("current", index)
+        return (actual - expected) * F.ln(actual / expected)
+
+    indexes = F.sequence(F.lit(0), F.lit(bins - 1))
+    psi = folded.withColumn("psi_raw", F.aggregate(indexes, F.lit(0.0), lambda total, i: total + term(i)))
     run = Window.partitionBy("computed_at")
     return (
         psi.withColumn("status", psi_status(F.col("psi_raw")))
