@@ -28,17 +28,19 @@ def first_write_wins(batch: DataFrame, target: DataFrame | None, keys: list[str]
     fresh = top_per_key(batch, keys, order)
     if target is None:
         return fresh
-    return fresh.join(target.select(*keys), keys, "left_anti")
+    # the target's keys are first reduced to those of the batch: a small batch
+    # is broadcast into a scan of the target, which is then never shuffled
+    known = target.select(*keys).join(fresh.select(*keys), keys, "left_semi")
+    return fresh.join(known, keys, "left_anti")
 
 
 def small_or_same(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Pin a side as a local table when, and only when, it is small.
+    """Pin a side and mark it for broadcast when, and only when, it is small.
 
-    At most ``max_rows + 1`` rows reach the driver. A pinned side has a known
-    size, so joins broadcast it; a larger one is returned untouched and joins
-    by shuffle.
+    At most ``max_rows + 1`` rows reach the driver. A larger side is returned
+    untouched and joins by shuffle.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

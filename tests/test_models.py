@@ -56,11 +56,10 @@ def test_unseen_and_null_labels(spark):
     assert sorted(got) == [0, 0, 1, 2]
 
 
-def test_small_side_is_pinned_only_when_small(spark):
+def test_small_side_is_broadcast_only_when_small(spark):
     df = spark.range(100).groupBy("id").count()
-    assert "LocalRelation" in small_or_same(df, 100)._jdf.queryExecution().optimizedPlan().toString() or (
-        "LogicalRDD" in small_or_same(df, 100)._jdf.queryExecution().optimizedPlan().toString()
-    )
+    joined = spark.range(10**6).join(small_or_same(df, 100).filter("count > 0"), "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert small_or_same(df, 99) is df
 
 
