@@ -47,6 +47,18 @@ def stream_merchant(spark, path):
     return averaged(_feature(spark, path, "features_merchant_stats"), "merchant_avg_amount")
 
 
+def stream_dedup(spark, path):
+    """Every tenth event delivered twice; the repeats must not count."""
+    copies = F.when(F.col("txn_id").cast("bigint") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    delivered = _stream(spark, path).withColumn("delivery", F.explode(copies))
+    out, table = run_dir(spark, "dedup"), "features_account_txn_counts"
+    unique = streams.deduplicated(streams.timed(delivered), "txn_id")
+    streams.run_features(spark, unique, out, f"{out}/checkpoints", [table])
+    result = streams.feature_table(spark, out, table)
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return averaged(rounded(result.withColumns(times), "total_amount_1h"), "avg_amount_1h")
+
+
 def _run_scoring(spark, path):
     """Score the stream with the velocity the events carry: none, hence 0."""
     out = run_dir(spark, "scoring")
@@ -76,6 +88,7 @@ QUERIES = {
     "stream_velocity": stream_velocity,
     "stream_daily": stream_daily,
     "stream_merchant": stream_merchant,
+    "stream_dedup": stream_dedup,
     "stream_scores": stream_scores,
     "stream_alerts": stream_alerts,
 }
@@ -88,6 +101,7 @@ _STILL = SCORED.replace(
 SQL = {
     "stream_hourly": query(BASE, feature_queries.HOURLY_SQL),
     "stream_velocity": query(BASE, feature_queries.VELOCITY_SQL),
+    "stream_dedup": query(BASE, feature_queries.HOURLY_SQL),
     "stream_daily": query(BASE, feature_queries.DAILY_SQL),
     "stream_merchant": query(BASE, feature_queries.MERCHANT_SQL),
     "stream_scores": query(
