@@ -43,8 +43,6 @@ class KeyedLog:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
 
     def write_epoch(self, df: DataFrame, epoch: int) -> None:
-        if df.isEmpty():
-            return
         df.write.mode("overwrite").parquet(f"{self.path}/log/epoch={int(epoch)}")
 
     def compact(self) -> None:

@@ -18,11 +18,22 @@ def start(
 ) -> StreamingQuery:
     """Start one query with its own checkpoint.
 
-    Without ``every`` it processes what is available and stops.
+    Without ``every`` it processes what is available and stops. Empty batches
+    are not written; a batch is kept while in use, so asking does not compute
+    it a second time.
     """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                write_batch(batch, epoch)
+        finally:
+            batch.unpersist()
+
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
-        stream.writeStream.foreachBatch(write_batch)
+        stream.writeStream.foreachBatch(write)
         .queryName(name)
         .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)

@@ -30,8 +30,6 @@ def start_scoring(
     scores = KeyedLog(spark, f"{out}/risk_scores", ["txn_id"])
 
     def write(batch: DataFrame, epoch: int) -> None:
-        if batch.isEmpty():
-            return
         scored = scorer(batch).persist()
         try:
             at = F.col("created_at")
