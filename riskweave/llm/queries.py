@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from riskweave.llm import mixing
+from riskweave.llm import mixing, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 SQL: dict[str, str] = {}

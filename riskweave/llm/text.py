@@ -53,9 +53,12 @@ class Words:
     ``start``, ``end``  byte span in ``buffer``
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], lower: bool = False):
+        """``lower``: A-Z count as a-z."""
         parts = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.buffer = b"\n".join(parts) + b"\n"
+        if lower:
+            self.buffer = self.buffer.lower()  # of bytes: only A-Z change
         raw = np.frombuffer(self.buffer, dtype=np.uint8)
         inside = np.concatenate([[False], ~_SPACE[raw]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
@@ -69,14 +72,28 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words joined by single spaces, and the span of each word in that."""
+        sizes = self.end - self.start + 1
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        take = np.repeat(self.start - starts, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        out = np.frombuffer(self.buffer, dtype=np.uint8)[take]
+        out[ends - 1] = 0x20
+        return out.tobytes(), starts, ends - 1
+
     def windows(self, length: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Start (word index) and hash of every window of ``length`` words inside one text.
 
         ``short``: a text of fewer words, but at least one, gives one window of all its words.
         """
-        n = len(self.hash)
-        ends = self.first[1:][self.doc] if n else np.zeros(0, dtype=np.int64)
-        at = np.arange(n)
+        starts, stops = self.window_spans(length, short)
+        return starts, _spans_hash(self.hash, _WORD, _WORD_INVERSE, starts, stops)
+
+    def window_spans(self, length: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end (a word index) of the same windows."""
+        ends = self.first[1:][self.doc]
+        at = np.arange(len(self.hash))
         starts = at[at + length <= ends]
         stops = starts + length
         if short:
@@ -85,7 +102,7 @@ class Words:
             stops = np.concatenate([stops, self.first[small + 1]])
             order = np.argsort(starts, kind="stable")
             starts, stops = starts[order], stops[order]
-        return starts, _spans_hash(self.hash, _WORD, _WORD_INVERSE, starts, stops)
+        return starts, stops
 
 
 def batches(texts: list[str], characters: int = 1_000_000) -> Iterator[tuple[int, int]]:
