@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from riskweave.llm import mixing, simhash
+from riskweave.llm import mixing, packing, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op9_packing": packing.op9_packing,
 }
 
 SQL: dict[str, str] = {}
