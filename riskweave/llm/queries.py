@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from riskweave.llm import mixing, packing, simhash
+from riskweave.llm import mixing, packing, pii, simhash
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
+    "op4_pii": pii.op4_pii,
     "op7_simhash": simhash.op7_simhash,
     "op9_packing": packing.op9_packing,
 }
