@@ -65,8 +65,8 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         self.hash = _spans_hash(raw.astype(np.uint64) + np.uint64(1), _BYTE, _BYTE_INVERSE, self.start, self.end)
         sizes = np.fromiter((len(p) + 1 for p in parts), dtype=np.int64, count=len(parts))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        self.first = np.searchsorted(self.start, bounds)
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])  # byte at which each text begins
+        self.first = np.searchsorted(self.start, self.bounds)
         self.doc = np.repeat(np.arange(len(parts)), np.diff(self.first))
 
     def counts(self) -> np.ndarray:
