@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import mixing, packing, perplexity, pii, simhash, sketch
+from riskweave.llm import mixing, packing, perplexity, pii, quality, simhash, sketch
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_perplexity": perplexity.op8_perplexity,
     "op9_packing": packing.op9_packing,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL: dict[str, str] = {}

@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
 _BYTE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.uint64(0xD6E8FEB86659FD93)
 _BYTE_INVERSE = np.uint64(pow(int(_BYTE), -1, 1 << 64))
@@ -72,6 +74,22 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def bare_hash(self) -> np.ndarray:
+        """Hash of each word without ASCII punctuation before and after it; a word of nothing else counts as it is."""
+        raw = np.frombuffer(self.buffer, dtype=np.uint8)
+        start, end = self.start.copy(), self.end.copy()
+        edge = np.flatnonzero(_MARK[raw[start]]) if len(start) else np.zeros(0, dtype=np.int64)
+        while len(edge):
+            start[edge] += 1
+            edge = edge[(start[edge] < end[edge]) & _MARK[raw[np.minimum(start[edge], len(raw) - 1)]]]
+        edge = np.flatnonzero((start < end) & _MARK[raw[end - 1]]) if len(start) else np.zeros(0, dtype=np.int64)
+        while len(edge):
+            end[edge] -= 1
+            edge = edge[_MARK[raw[end[edge] - 1]] & (start[edge] < end[edge])]
+        blank = start >= end
+        start[blank], end[blank] = self.start[blank], self.end[blank]
+        return _spans_hash(raw.astype(np.uint64) + np.uint64(1), _BYTE, _BYTE_INVERSE, start, end)
+
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words joined by single spaces, and the span of each word in that."""
         sizes = self.end - self.start + 1
