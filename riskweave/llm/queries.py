@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import mixing, packing, perplexity, pii, quality, simhash, sketch
+from riskweave.llm import lines, mixing, packing, perplexity, pii, quality, simhash, sketch
 
 QUERIES = {
+    "op2_lines": lines.op2_lines,
     "op3_mixing": mixing.op3_mixing,
     "op4_pii": pii.op4_pii,
     "op5_sketch": sketch.op5_sketch,
