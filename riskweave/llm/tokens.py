@@ -7,12 +7,15 @@ any other white space (two blanks, tabs, wide spaces) are handed to the tokenize
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 
 import numpy as np
 
 #: distinct chunks that a worker remembers; beyond that it starts anew
 REMEMBERED = 1_000_000
+_ODD = re.compile(r"\s")
 
 
 class Encoder:
@@ -32,45 +35,48 @@ class Encoder:
         self.first = np.zeros(1 << 14, dtype=np.int64)
         self.size = np.zeros(1 << 14, dtype=np.int64)
         self.n = 0
-        self._add(np.array([self.end_id], dtype=np.uint32))  # code 0: the end of a document
-        self.comma, self.stop = (self._add(np.array(x, dtype=np.uint32)) for x in self._encode([",", "."]))
+        self._add(np.array([self.end_id], dtype=np.uint32), np.ones(1, dtype=np.int64))  # code 0: the end of a document
+        self.comma, self.stop = self._add_texts([",", "."])
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, ids: np.ndarray) -> int:
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Codes for chunks whose ids stand in a row."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if self.n == len(self.first):
+        while self.n + len(sizes) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[self.n], self.size[self.n] = self.used, len(ids)
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.first[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        self.n += 1
-        return self.n - 1
+        self.n += len(sizes)
+        return range(self.n - len(sizes), self.n)
+
+    def _add_texts(self, texts: list[str]) -> range:
+        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
+        return self._add(np.array([*itertools.chain.from_iterable(encoded)], dtype=np.uint32), sizes)
 
-    def _chunk(self, code: int) -> np.ndarray:
-        return self.ids[self.first[code] : self.first[code] + self.size[code]]
+    def _in_a_row(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after the other, and where each chunk's ids end."""
+        sizes = self.size[codes]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.ids[take], ends
 
     def _learn(self, chunks: set[str]) -> None:
         """Codes for new chunks; -1 for one that shows that its text has to be encoded whole."""
-        plain, pointed = [], []
-        for chunk in chunks:
-            body = chunk[1:] if chunk[:1] == "\n" else chunk
-            if not body or any(c.isspace() for c in body):
-                self.code[chunk] = -1
-            elif body[-1] in ",." and len(body) > 1 and body[-2].isalpha():
-                pointed.append(chunk)
-                if chunk[:-1] not in self.code and chunk[:-1] not in chunks:
-                    plain.append(chunk[:-1])
-            else:
-                plain.append(chunk)
-        plain = list(dict.fromkeys(plain))
-        for chunk, ids in zip(plain, self._encode([c if c[0] == "\n" else " " + c for c in plain]), strict=True):
-            self.code[chunk] = self._add(np.array(ids, dtype=np.uint32))
-        for chunk in pointed:
-            mark = self.comma if chunk[-1] == "," else self.stop
-            self.code[chunk] = self._add(np.concatenate([self._chunk(self.code[chunk[:-1]]), self._chunk(mark)]))
+        odd = [c for c in chunks if not c or c == "\n" or _ODD.search(c, 1) or (c[0] != "\n" and c[0].isspace())]
+        self.code.update(dict.fromkeys(odd, -1))
+        usual = chunks.difference(odd)
+        # a comma or full stop after a letter is a word of its own
+        pointed = [c for c in usual if c[-1] in ",." and c[-2:-1].isalpha()]
+        plain = list(usual.difference(pointed).union(b for b in [c[:-1] for c in pointed] if b not in self.code))
+        self.code.update(zip(plain, self._add_texts([c if c[0] == "\n" else " " + c for c in plain]), strict=True))
+        if pointed:
+            get = self.code.__getitem__
+            pairs = [x for c in pointed for x in (get(c[:-1]), self.comma if c[-1] == "," else self.stop)]
+            ids, ends = self._in_a_row(np.array(pairs))
+            self.code.update(zip(pointed, self._add(ids, np.diff(ends[1::2], prepend=0)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text with the end id after it, and the number of ids of each."""
@@ -78,27 +84,26 @@ class Encoder:
             self._forget()
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         # a text's first chunk has no blank before it: it is encoded by itself
-        new = set().union(*(s[1:] for s in split)) - self.code.keys()
+        new = set().union(*(s[1:] for s in split)).difference(self.code)
         if new:
             self._learn(new)
         get = self.code.__getitem__
         coded = [[*map(get, s[1:])] for s in split]
         kept, kept_ids = self.n, self.used
-        heads = [i for i, s in enumerate(split) if s and s[0] and not any(c.isspace() for c in s[0])]
-        first: list[list[int]] = [[] for _ in texts]
-        for i, ids in zip(heads, self._encode([split[i][0] for i in heads]), strict=True):
-            first[i] = [self._add(np.array(ids, dtype=np.uint32))]
-        ready = set(heads)
-        whole = [i for i, s in enumerate(split) if s and (i not in ready or -1 in coded[i])]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            first[i], coded[i] = [self._add(np.array(ids, dtype=np.uint32))], []
-        lengths = np.fromiter((len(f) + len(c) + 1 for f, c in zip(first, coded, strict=True)), dtype=np.int64, count=len(texts))
-        codes = np.fromiter((x for f, c in zip(first, coded, strict=True) for x in (*f, *c, 0)), dtype=np.int64, count=lengths.sum())
-        sizes = self.size[codes]
-        ends = np.cumsum(sizes)
-        take = np.repeat(self.first[codes] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        out = self.ids[take]
-        bounds = np.cumsum(lengths) - 1
-        counts = np.diff(np.concatenate([[0], ends[bounds]]))
+        whole = [i for i, (t, s) in enumerate(zip(texts, split, strict=True)) if t and (not s[0] or _ODD.search(s[0]) or -1 in coded[i])]
+        skip = set(whole)
+        heads = [i for i, t in enumerate(texts) if t and i not in skip]
+        first = dict(zip(heads + whole, self._add_texts([split[i][0] for i in heads] + [texts[i] for i in whole]), strict=True))
+        codes: list[int] = []
+        bounds = []
+        for i, rest in enumerate(coded):
+            if i in first:
+                codes.append(first[i])
+            if i not in skip:
+                codes += rest
+            codes.append(0)
+            bounds.append(len(codes) - 1)
+        out, ends = self._in_a_row(np.array(codes))
+        counts = np.diff(ends[bounds], prepend=0)
         self.n, self.used = kept, kept_ids  # what belongs to single texts is not remembered
         return out, counts
