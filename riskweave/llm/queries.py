@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from riskweave.llm import lines, mixing, packing, perplexity, pii, quality, simhash, sketch
+from riskweave.llm import lines, mixing, packing, perplexity, pii, quality, simhash, sketch, substrings
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
     "op3_mixing": mixing.op3_mixing,
     "op4_pii": pii.op4_pii,
     "op5_sketch": sketch.op5_sketch,
+    "op6_substrings": substrings.op6_substrings,
     "op7_simhash": simhash.op7_simhash,
     "op8_perplexity": perplexity.op8_perplexity,
     "op9_packing": packing.op9_packing,
