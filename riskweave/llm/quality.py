@@ -140,14 +140,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     # at most ``sample`` rows of three numbers
     rows = docs.select(id_key().alias("key"), "text").join(F.broadcast(chosen), "key")
     schema = "key long, quality int, toxic int, buckets array<int>, shape array<double>"
-    got = rows.mapInPandas(_feature_rows, schema).toPandas()
-    if got.empty:
+    table = rows.mapInPandas(_feature_rows, schema).toArrow().combine_chunks()
+    if not table.num_rows:
         return flat()
-    got["order"] = [tuple(s) for s in got["shape"]]
-    got = got.sort_values(["key", "order"]).drop_duplicates("key").reset_index(drop=True)
-    sizes = got["buckets"].map(len).to_numpy()
-    doc = np.repeat(np.arange(len(got)), sizes)
-    return train(doc, np.concatenate(got["buckets"].to_list()).astype(np.int64), np.stack(got["shape"].to_list()), got[list(HEADS)].to_numpy())
+    got = table.select(["key", "quality", "toxic"]).to_pandas()
+    shape = np.stack(table.column("shape").to_numpy())
+    # rows that share an id: the one of the smallest shape
+    order = np.lexsort((*shape.T[::-1], got["key"]))
+    keep = order[~got["key"].iloc[order].duplicated().to_numpy()]
+    buckets = table.column("buckets").to_numpy()[keep]
+    doc = np.repeat(np.arange(len(keep)), [len(b) for b in buckets])
+    return train(doc, np.concatenate(buckets).astype(np.int64), shape[keep], got[list(HEADS)].to_numpy()[keep])
 
 
 def scored(docs: DataFrame, model: Linear, host: Column, path: Column) -> DataFrame:

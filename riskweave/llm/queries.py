@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from riskweave.llm import lines, mixing, packing, perplexity, pii, quality, simhash, sketch, substrings
+from riskweave.llm import html_text, lines, mixing, packing, perplexity, pii, quality, simhash, sketch, substrings
 
 QUERIES = {
+    "op1_html": html_text.op1_html,
     "op2_lines": lines.op2_lines,
     "op3_mixing": mixing.op3_mixing,
     "op4_pii": pii.op4_pii,
