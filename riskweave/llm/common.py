@@ -26,3 +26,8 @@ def id_key(column: str = "doc_id") -> Column:
 def word_count(column: str = "text") -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns, so that none can clash with others), id and text_hash, which together name a row's document."""
+    return docs.select(F.struct("*").alias("row"), id_key().alias("id"), F.xxhash64("text").alias("text_hash"))

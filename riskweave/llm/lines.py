@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.llm.common import documents, id_key, stored
+from riskweave.llm.common import documents, id_key, keyed_rows, stored
 from riskweave.llm.counts import Repeated, repeated
 from riskweave.llm.text import mix, powers
 
@@ -158,17 +158,21 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return numbers.select("id", "text_hash", F.size("numbers").cast("long").alias("n_removed"), _flags("numbers").alias("gone"))
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """``docs`` with each text's remaining lines, and n_lines, n_removed."""
+def deduped(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """The rows of ``docs`` with their remaining lines as text; ``counts`` adds n_lines and n_removed."""
     gone = removed_lines(docs).withColumnsRenamed({"id": "gone_id", "text_hash": "gone_hash"})
-    joined = docs.join(gone, (id_key() == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left")
-    lines = F.split("text", "\n")
+    joined = keyed_rows(docs).join(gone, F.expr("id = gone_id AND text_hash = gone_hash"), "left")
+    before = F.col("row.text")
+    lines = F.split(before, "\n")
     kept = F.filter(lines, lambda line, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
-    text = F.when(F.col("n_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    counts = {"n_lines": n_lines, "n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "text": text}
-    return joined.withColumns(counts).drop("gone", "gone_id", "gone_hash")
+    text = F.when(F.col("n_removed").isNull(), before).otherwise(F.array_join(kept, "\n")).alias("text")
+    out = [text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    if counts:
+        out.append(F.when(before.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"))
+        out.append(F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"))
+    return joined.select(*out)
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
-    return deduped(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+    found = deduped(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return found.select("doc_id", "n_lines", "n_removed", "text")

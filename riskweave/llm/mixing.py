@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import documents, stored, word_count
+from riskweave.llm.common import documents, id_key, keyed_rows, stored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -138,6 +138,18 @@ def mixed_copies(docs: DataFrame, seed: int = 17, keep: tuple[str, ...] = ()) ->
     return out.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("whole") + F.col("part").cast("long")).alias("copies"))
 
 
+def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, as they are, each as often as the mix takes it."""
+    hashed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    copies = mixed_copies(hashed, seed, keep=("text_hash",)).select(id_key().alias("to_id"), F.col("text_hash").alias("to_hash"), "copies")
+    # rows alike in doc_id and text are told apart by their turn only
+    copies = copies.groupBy("to_id", "to_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    joined = keyed_rows(docs).join(copies, F.expr("id = to_id AND text_hash = to_hash"))
+    turn = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("id"))
+    share = F.expr("CAST(copies DIV rows AS INT)") + (F.col("turn") <= F.col("copies") % F.col("rows")).cast("int")
+    return joined.withColumn("turn", turn).select("row", F.explode(F.array_repeat(F.lit(0), share)).alias("copy")).select("row.*")
+
+
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mixed_copies(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import NULL_ID, documents, id_key, stored
+from riskweave.llm.common import documents, id_key, keyed_rows, stored
 from riskweave.llm.text import Words, batches
 
 SAMPLE = 20_000
@@ -224,8 +224,8 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, as they are."""
-    out = judged(docs, labels).where("rejected").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.col("text_hash").alias("h")).distinct()
-    return docs.join(out, (id_key() == F.col("k")) & (F.xxhash64("text") == F.col("h")), "left_anti")
+    out = judged(docs, labels).where("rejected").select(id_key().alias("out_id"), F.col("text_hash").alias("out_hash")).distinct()
+    return keyed_rows(docs).join(out, F.expr("id = out_id AND text_hash = out_hash"), "left_anti").select("row.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
