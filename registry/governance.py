@@ -43,7 +43,7 @@ def drift_summary(spark, path):
 
 
 def drift_history(spark, path):
-    out = governance.drift_history(_reports(spark, path, RUNS), limit=2)
+    out = governance.drift_history(_reports(spark, path, RUNS), limit=5)
     return out.select("feature", "computed_at", "psi_score")
 
 
@@ -256,7 +256,7 @@ SQL = {
     "drift_history": query(
         _drift_ctes(RUNS),
         """SELECT feature, computed_at, psi_score FROM reports
-        QUALIFY row_number() OVER (PARTITION BY feature ORDER BY computed_at DESC) <= 2""",
+        QUALIFY row_number() OVER (PARTITION BY feature ORDER BY computed_at DESC) <= 5""",
     ),
     "fairness_by_group": query(
         _PLAIN,

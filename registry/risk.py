@@ -315,6 +315,7 @@ def _band(score, gap_free):
 
 
 SQL = {
+    "stable_sample": query(BASE, "SELECT txn_id, amount FROM base ORDER BY md5(txn_id), txn_id LIMIT 5000"),
     "topic_payload": query(
         BASE,
         f"""SELECT account_id AS key,

@@ -69,7 +69,7 @@ def _train(warehouse: Warehouse, args) -> dict:
         rows = training.prepare_fraud(materialize(txns, "train"))
         space, fit, regression = training.FRAUD_SPACE, training.fit_fraud, False
     else:
-        joined = with_accounts(txns, warehouse.read("raw.accounts")).withColumn("account_age_days", F.col("age_days"))
+        joined = with_accounts(txns, warehouse.read("raw.accounts"), "inner").withColumn("account_age_days", F.col("age_days"))
         rows = training.prepare_credit(materialize(joined, "train"), credit.credit_target())
         space, fit, regression = training.CREDIT_SPACE, training.fit_credit, True
     best = {}

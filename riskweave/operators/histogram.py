@@ -44,8 +44,9 @@ def histogram(long: DataFrame, side_with_edges: str, by: list[str], bins: int =
     """(by..., side, bin, n): values outside the edges get a null bin.
 
     ``by`` must be a bounded grouping (features, runs): the edge table has one
-    row per group and is broadcast.
+    row per group and is broadcast. A group without rows on the side with edges
+    stays, with null bins.
     """
     bounds = edges(long, side_with_edges, by)
-    placed = long.join(F.broadcast(bounds), by).withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    placed = long.join(F.broadcast(bounds), by, "left").withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins))
     return placed.groupBy(*by, "side", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

@@ -75,6 +75,10 @@ def disallowed_values(df: DataFrame, column: str, allowed: list[str]) -> DataFra
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
-    """One row: how many child rows have a non-null key without a parent."""
-    orphans = child.filter(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("foreign_key"), "violations")
+    """One row: how many child rows have a non-null key without a parent.
+
+    Child rows are counted per key before the join, so a hot key is one row.
+    """
+    counted = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    orphans = counted.join(parent.select(key), key, "left_anti")
+    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit(name).alias("foreign_key"), "violations")

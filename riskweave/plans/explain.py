@@ -33,6 +33,9 @@ def what_if(scored: DataFrame, scenarios: list[dict], model: LinearModel = FIXED
     probabilities = []
     for scenario in scenarios:
         changed = {f: v for f, v in scenario.items() if f != "name"}
+        unknown = changed.keys() - inputs.keys() - {"merchant_category"}
+        if unknown:
+            raise ValueError(f"scenario {scenario['name']} overrides unknown features: {sorted(unknown)}")
         moved = dict(inputs)
         for feature, value in changed.items():
             if feature == "merchant_category":

@@ -99,7 +99,7 @@ def drift_reports(
             F.round(F.try_divide("baseline_sum", "baseline_rows"), 4).alias("baseline_mean"),
             F.round(F.try_divide("current_sum", "current_rows"), 4).alias("current_mean"),
             (F.col("status") != "STABLE").alias("drift_detected"),
-            "baseline_rows",
+            F.coalesce("baseline_rows", F.lit(0)).alias("baseline_rows"),
             F.coalesce("current_rows", F.lit(0)).alias("current_rows"),
             "report_drift",
             F.when(F.col("report_drift"), "RETRAIN_REQUIRED").otherwise("NO_ACTION").alias("recommendation"),

@@ -38,9 +38,11 @@ def score(
 ) -> DataFrame:
     """Validate, score, explain and record a batch; returns the alert payload.
 
-    The scored rows are written once and the four outputs made from them.
+    The scored rows are written once and the four outputs made from them; rows
+    that break a rule go to the quarantine table with the rules' names.
     """
-    valid, _ = split_valid(transactions)
+    valid, rejected = split_valid(transactions)
+    warehouse.append("audit.rejected_transactions", rejected)
     scored = materialize(scorer(valid), "scored")
     top = scoring.top_attributions(scoring.attributions(scored))
     warehouse.append("audit.model_decisions", scoring.model_decisions(scored, scored_at, version))

@@ -114,7 +114,7 @@ def standardize(df: DataFrame, features: list[str]) -> DataFrame:
 
 def stable_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """A row-limited sample that is the same on every run."""
-    return df.orderBy(F.xxhash64(key), key).limit(rows)
+    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(rows)
 
 
 def split_by_hash(df: DataFrame, uniform: Column, holdout: float = 0.15) -> DataFrame:

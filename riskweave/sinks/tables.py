@@ -37,12 +37,17 @@ class KeyedLog:
     folder alone, so a redo after a lost executor or driver gives the same
     table, no existing row is rewritten, and readers never see a gap.
     ``compact`` folds the log into a snapshot.
+
+    With ``first`` the first row ever written for a key stays instead; inside an
+    epoch the one that comes first by those columns.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], first: list[Column] | None = None):
+        self.spark, self.path, self.keys, self.first = spark, path.rstrip("/"), keys, first
 
     def write_epoch(self, df: DataFrame, epoch: int) -> None:
+        if self.first is not None:
+            df = top_per_key(df, self.keys, self.first)
         df.write.mode("overwrite").parquet(f"{self.path}/log/epoch={int(epoch)}")
 
     def compact(self) -> None:
@@ -55,7 +60,7 @@ class KeyedLog:
             self.current().write.mode("overwrite").parquet(f"{self.path}/snapshot/upto={newest}")
 
     def current(self) -> DataFrame | None:
-        """Newest row per key over the snapshot and the complete later epochs."""
+        """One row per key, newest or first, over the snapshot and the complete later epochs."""
         upto = self._snapshot_epoch()
         later = [e for e in self._folders("log", "epoch") if upto is None or e > upto]
         parts = []
@@ -69,7 +74,8 @@ class KeyedLog:
         if not parts:
             return None
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return top_per_key(rows, self.keys, [F.desc("epoch")]).drop("epoch")
+        order = F.desc("epoch") if self.first is None else F.asc("epoch")
+        return top_per_key(rows, self.keys, [order]).drop("epoch")
 
     def _folders(self, part: str, mark: str) -> list[int]:
         """Epochs of the complete folders below ``part``."""

@@ -16,12 +16,13 @@ def csv_wanted(spark: SparkSession, path: str, wanted: dict[str, str]) -> DataFr
     """Columns of ``wanted`` (name -> type) that the CSV header has.
 
     Only the header is probed; types are declared rather than inferred, so the
-    data is read once, and the unselected columns are never parsed.
+    data is read once, and the unselected columns are never parsed. A cell that
+    is not of its type is null.
     """
     header = spark.read.csv(path, header=True).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = spark.read.csv(path, header=True, schema=schema)
-    return raw.select(*[F.col(c).cast(wanted[c]).alias(c) for c in wanted if c in header])
+    return raw.select(*[F.col(c).try_cast(wanted[c]).alias(c) for c in wanted if c in header])
 
 
 def parquet_if_exists(spark: SparkSession, path: str) -> DataFrame | None:

@@ -14,6 +14,11 @@ from riskweave.sinks.tables import KeyedLog
 from riskweave.streaming.runner import start
 
 
+def _log(spark: SparkSession, out: str) -> KeyedLog:
+    order = [F.col("scored_at"), F.col("composite_risk_score")]
+    return KeyedLog(spark, f"{out}/risk_scores", ["txn_id"], first=order)
+
+
 def start_scoring(
     spark: SparkSession,
     stream: DataFrame,
@@ -25,9 +30,10 @@ def start_scoring(
     """Score each micro-batch and write the three outputs of its epoch.
 
     The scored batch is kept while its outputs are written, so it is computed
-    once. An epoch owns its folders, so a redo replaces rather than repeats.
+    once. An epoch owns its folders, so a redo replaces rather than repeats. A
+    transaction that is delivered again keeps the score it got first.
     """
-    scores = KeyedLog(spark, f"{out}/risk_scores", ["txn_id"])
+    scores = _log(spark, out)
 
     def write(batch: DataFrame, epoch: int) -> None:
         scored = scorer(batch).persist()
@@ -44,4 +50,4 @@ def start_scoring(
 
 
 def score_table(spark: SparkSession, out: str) -> DataFrame | None:
-    return KeyedLog(spark, f"{out}/risk_scores", ["txn_id"]).current()
+    return _log(spark, out).current()

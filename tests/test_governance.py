@@ -120,3 +120,21 @@ def test_newest_override_counts(spark):
     )
     got = {r["txn_id"]: r["effective_decision"] for r in g.effective_decisions(scores, overrides).collect()}
     assert got == {"1": "REVIEW", "2": "CLEAR"}
+
+
+def test_feature_without_baseline_stays_in_the_report(spark):
+    from riskweave.plans import governance
+
+    rows = [("r", "baseline", float(i), None) for i in range(20)] + [("r", "current", float(i), 1.0) for i in range(20)]
+    tagged = spark.createDataFrame(rows, "computed_at string, side string, amount double, fresh double")
+    got = {r["feature"]: r for r in governance.drift_reports(tagged, ["amount", "fresh"]).collect()}
+    assert got["amount"]["status"] == "STABLE"
+    assert got["fresh"]["status"] == "RETRAIN" and got["fresh"]["psi_score"] is None and got["fresh"]["baseline_rows"] == 0
+
+
+def test_unknown_override_is_an_error(spark):
+    import pytest
+    from riskweave.plans import explain
+
+    with pytest.raises(ValueError, match="no_such_feature"):
+        explain.what_if(spark.range(1), [{"name": "x", "no_such_feature": 1}])

@@ -160,3 +160,16 @@ def test_probes(spark):
     assert (row["n_rows"], row["n_missing_columns"], row["has_rows"]) == (1, 1, True)
     with pytest.raises(LookupError):
         require_table(spark, "no_such_table")
+
+
+def test_first_write_wins_over_epochs(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from riskweave.sinks.tables import KeyedLog
+
+    log = KeyedLog(spark, str(tmp_path / "log"), ["txn_id"], first=[F.col("score")])
+    schema = "txn_id string, score double"
+    log.write_epoch(spark.createDataFrame([("a", 5.0), ("a", 7.0), ("b", 1.0)], schema), 0)
+    log.write_epoch(spark.createDataFrame([("a", 3.0), ("c", 2.0)], schema), 1)
+    log.compact()
+    log.write_epoch(spark.createDataFrame([("c", 1.0), ("d", 4.0)], schema), 2)
+    assert {r["txn_id"]: r["score"] for r in log.current().collect()} == {"a": 5.0, "b": 1.0, "c": 2.0, "d": 4.0}

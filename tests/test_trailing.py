@@ -93,3 +93,23 @@ def test_constant_amounts_have_no_zscore(spark):
     rows = [(str(i), "a", START + timedelta(hours=i), 0.1) for i in range(50)]
     df = spark.createDataFrame(rows, "txn_id string, account_id string, created_at timestamp, amount double")
     assert all(r["amount_zscore_30d"] is None for r in features.amount_zscore(df).collect())
+
+
+def test_zscore_does_not_depend_on_magnitude(spark):
+    scores = []
+    for base in (1_000.0, 1_000_000.0, 1e9):
+        rows = [(str(i), "a", START + timedelta(hours=i), base + 0.5 * (i % 7)) for i in range(30)]
+        df = spark.createDataFrame(rows, "txn_id string, account_id string, created_at timestamp, amount double")
+        scores.append({r["txn_id"]: r["amount_zscore_30d"] for r in features.amount_zscore(df).collect()})
+    assert scores[0]["29"] is not None
+    for other in scores[1:]:
+        assert {k: None if v is None else round(v, 6) for k, v in other.items()} == {
+            k: None if v is None else round(v, 6) for k, v in scores[0].items()
+        }
+
+
+def test_unknown_accounts_stay(spark):
+    txns = spark.createDataFrame([("1", "a"), ("2", "nobody")], "txn_id string, account_id string")
+    accounts = spark.createDataFrame([("a", 10)], "account_id string, age_days int")
+    assert features.with_accounts(txns, accounts).count() == 2
+    assert features.with_accounts(txns, accounts, "inner").count() == 1
