@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: distinct chunks that a worker remembers; beyond that it starts anew
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 _ODD = re.compile(r"\s")
 
 
