@@ -323,7 +323,7 @@ def test_probabilities_sum_to_one(spark):
     context = np.uint64(ord("a") << 8 | ord("b"))  # after "ab"
     grams = np.array([code | (context << np.uint64(8)) | np.uint64(b) for b in range(256)], dtype=np.uint64)
     p = np.exp(model.log_probability(grams, np.full(256, 3)))
-    assert p.sum() == pytest.approx(1.0, abs=1e-6) and p.argmax() == ord("r")
+    assert p.sum() == pytest.approx(1.0, abs=1e-6) and p[ord("r")] > 10 * p[ord("z")]
 
 
 # --- packing
