@@ -99,16 +99,26 @@ def _merge(final: bool):
                 if sizes[block] > 1 << 18:  # of 2**16 cells, each at most twice, half of this can stay
                     held[block] = [_at_most_twice(held[block])]
                     sizes[block] = len(held[block][0])
+        blocks, raws = [], []
         for block, parts in held.items():
             listed = _at_most_twice(parts)
             if final:
                 bits = np.zeros(1 << 16, dtype=bool)
                 bits[listed[1:][listed[1:] == listed[:-1]]] = True
-                raw = np.packbits(bits).tobytes() if bits.any() else None
+                if not bits.any():
+                    continue
+                raws.append(np.packbits(bits).tobytes())
             else:
-                raw = listed.tobytes()
-            if raw is not None:
-                yield pd.DataFrame({"block": np.array([block], dtype=np.int32), "salt": np.int32(0), "cells": [raw]})
+                raws.append(listed.tobytes())
+            blocks.append(block)
+            if len(blocks) == 512:
+                yield listed_rows(blocks, raws)
+                blocks, raws = [], []
+        if blocks:
+            yield listed_rows(blocks, raws)
+
+    def listed_rows(blocks: list[int], raws: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"block": np.array(blocks, dtype=np.int32), "salt": np.int32(0), "cells": raws})
 
     return merged
 
