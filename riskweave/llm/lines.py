@@ -112,7 +112,13 @@ def partners(docs: DataFrame) -> DataFrame:
         return pd.Series(found)
 
     likely = lines.where(shares_half(*halves)).groupBy("h1", "h2")
-    likely = stored(likely.agg(F.first("line").alias("line"), F.min(F.struct("id", "no")).alias("at")).select("h1", "h2", "line", "at.*"), "lines-likely")
+    likely = likely.agg(F.first("line").alias("line"), F.min(F.struct("id", "no")).alias("at"), *[F.min(k).alias(k) for k in halves])
+    likely = stored(likely.select("h1", "h2", "line", "at.*", *halves), "lines-likely")
+    # what the sketch took for shared is counted exactly, so that the lines that go on grow with the input alone
+    keys = likely.select("h1", "h2", F.explode(F.array(*halves)).alias("half"))
+    met = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    sure = keys.join(met, "half", "left_semi").select("h1", "h2").distinct()
+    likely = stored(likely.drop(*halves).join(sure, ["h1", "h2"], "left_semi"), "lines-sharing")
     shared = repeated(likely.select("line").mapInPandas(_variants(None, []), "key long"))
     columns = ["h1", "h2", "id", "no"]
     variants = likely.mapInPandas(_variants(shared, columns), "key long, kind int, h1 long, h2 long, id long, no int")
