@@ -60,24 +60,26 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return starts, hashes, where, grams
 
 
-def _texts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, Words]]:
+def _texts(frames: Iterator[pd.DataFrame], often: Repeated) -> Iterator[tuple[np.ndarray, Words]]:
+    """The ids and words of texts that are unique or first of their kind."""
     for rows in frames:
+        rows = rows[rows["first"].to_numpy(bool) | ~often(rows["text_hash"].to_numpy(np.int64).view(np.uint64))]
         ids, texts = rows["id"].to_numpy(np.int64), rows["text"].tolist()
         for low, high in batches(texts):
             yield ids[low:high], Words(texts[low:high])
 
 
-def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for _, words in _texts(frames):
+def _anchor_rows(frames: Iterator[pd.DataFrame], often: Repeated) -> Iterator[pd.DataFrame]:
+    for _, words in _texts(frames, often):
         _, _, where, grams = anchors(words)
         fresh = np.ones(len(where), dtype=bool)
         fresh[1:] = where[1:] != where[:-1]
         yield pd.DataFrame({"anchor": grams[where[fresh]].view(np.int64)})
 
 
-def _window_rows(test: Repeated):
+def _window_rows(test: Repeated, often: Repeated):
     def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, words in _texts(frames):
+        for ids, words in _texts(frames, often):
             starts, hashes, where, grams = anchors(words)
             fresh = np.ones(len(where), dtype=bool)
             fresh[1:] = where[1:] != where[:-1]
@@ -92,7 +94,7 @@ def _window_rows(test: Repeated):
     return rows_of
 
 
-def _removed_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _removed_rows(frames: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFrame]:
     for rows in frames:
         texts = rows["text"].tolist()
         for low, high in batches(texts):
@@ -127,7 +129,7 @@ def _removed_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {
                     "doc_id": pd.array([None if k == NULL_ID else k for k in part["id"]], dtype="Int64"),
                     "n_words": n, "n_removed": removed[words.first[1:]] - removed[words.first[:-1]],
-                    "kept": [k.decode("utf-8", "surrogatepass") for k in kept],
+                    "kept": [k.decode("utf-8", "surrogatepass") if with_text else None for k in kept],
                     "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
                 }
             )
@@ -143,15 +145,16 @@ def removed_words(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def often(text_hash: pd.Series) -> pd.Series:
         return pd.Series(sketch.value(text_hash.to_numpy(np.int64).view(np.uint64)))
 
-    marked = base.withColumn("often", often("text_hash"))
-    copies = marked.where("often").withColumn("second", F.xxhash64(F.lit(1), "text"))
+    copies = base.where(often("text_hash")).withColumn("second", F.xxhash64(F.lit(1), "text"))
     firsts = copies.groupBy("text_hash", "second").agg(F.min("id").alias("id"), F.first("text").alias("text"))
     firsts = stored(firsts, "substring-firsts")
-    unique = marked.where("NOT often").select("id", "text").unionByName(firsts.select("id", "text"))
-
-    test = repeated(unique.mapInPandas(_anchor_rows, "anchor long"))
+    # the tasks leave out the other texts of a group themselves, which spares them a second Python worker
+    columns = ["id", "text", "text_hash", "first"]
+    unique = base.withColumn("first", F.lit(False)).select(*columns)
+    unique = unique.unionByName(firsts.withColumn("first", F.lit(True)).select(*columns))
+    test = repeated(unique.mapInPandas(lambda frames: _anchor_rows(frames, sketch.value), "anchor long"))
     held = spark.sparkContext.broadcast(test)
-    windows = unique.mapInPandas(lambda frames: _window_rows(held.value)(frames), "window long, id long")
+    windows = unique.mapInPandas(lambda frames: _window_rows(held.value, sketch.value)(frames), "window long, id long")
     lowest = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     later = windows.join(lowest.select(F.col("window").alias("w"), "low"), F.expr("window = w AND id > low"))
     later = later.groupBy("id").agg(F.collect_list("window").alias("earlier"))
@@ -161,7 +164,7 @@ def removed_words(docs: DataFrame, with_text: bool = True) -> DataFrame:
     known = later.join(copied, F.expr("id = copy_id"), "full").select(F.coalesce("id", "copy_id").alias("known"), "earlier", "copies")
     rows = base.join(known, F.expr("id = known"), "left")
     rows = rows.select("id", "text", "earlier", F.coalesce(F.array_contains("copies", F.col("text_hash")), F.lit(False)).alias("copied"))
-    out = rows.mapInPandas(_removed_rows, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    out = rows.mapInPandas(lambda frames: _removed_rows(frames, with_text), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
     return out if with_text else out.drop("kept")
 
 
