@@ -123,7 +123,7 @@ class Words:
         return starts, stops
 
 
-def batches(texts: list[str], characters: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str], characters: int = 400_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about so many characters; a longer text is a range of its own."""
     low, total = 0, 0
     for i, text in enumerate(texts):
