@@ -42,10 +42,13 @@ SPACES = frozenset("br td th img input wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: a start tag of these ends an open one of the same kind
 CLOSES_ITSELF = frozenset("p li dt dd tr option h1 h2 h3 h4 h5 h6".split())
-SILENT = "script|style|noscript|template|iframe|svg|head|title|object|canvas|math|audio|video"
+SILENT = "script|style|noscript|template|iframe|svg|title|object|canvas|math|audio|video"
+#: of these, the ones that '/>' ends at once; elsewhere in html that slash says nothing, nor does one inside an unquoted value
+FOREIGN = "svg|math"
 
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"""<!--.*?(?:-->|\Z)|<(?:{FOREIGN})(?=[\s/>])(?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)|"[^"]*"|'[^']*'|[^"'=/>]|/(?!>))*+/>"""
+    rf"|<(?P<silent>{SILENT})(?=[\s/>])[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<more>(?:"[^"]*"|'[^']*'|[^"'>])*+>|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)""",
     re.DOTALL | re.IGNORECASE,
 )

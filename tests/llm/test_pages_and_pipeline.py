@@ -23,6 +23,19 @@ def test_blocks():
     assert html_text.blocks_of("") == []
 
 
+def test_unclosed_head_and_closed_drawings():
+    def texts(page):
+        return [b[0] for b in html_text.blocks_of(page)]
+
+    assert texts("<html><head><title>T</title><body><article><p>Main text.") == ["Main text."]
+    assert texts("<head><meta charset=x><title>T</title><style>p{}</style><script>1</script><p>Main text.") == ["Main text."]
+    assert texts("<HEAD><TITLE>T</TITLE></HEAD><p>Main text.") == ["Main text."]
+    for drawn in ("<svg/>", "<svg viewBox='0 > 0' class=\"a/b\" />", "<math id=x />", "<SVG\nid='x'/>"):
+        assert texts(f"<p>One {drawn}two</p><p>three</p><svg><text>no</text></svg><p>four</p>") == ["One two", "three", "four"]
+    assert texts("<p>a <svg width=1/>no</svg>b <svg><path d='x'/>no</svg>c <math>no</math>d</p>") == ["a b c d"]
+    assert texts("<p>a <script src=x />no</script>b <svg><svg/>no</svg>c</p>") == ["a b c"]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = html_text.Labeller(1)
