@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join: lines within one edit of an earlier line go.
 
-A line counts without white space at its ends and takes part from ``SHORTEST`` characters on; shorter ones always stay. A line is
-removed if a line within edit distance one of it (one character inserted, removed or replaced, or none) starts earlier, by doc_id, then
-line number; lines are judged on the input, not on what is left.
+A line counts without white space at its ends. A line is removed if an equal line, or one within edit distance one of it (one character
+inserted, removed or replaced), starts earlier, by doc_id, then line number; lines are judged on the input, not on what is left. The
+query lets every line that is not blank take part: equal lines meet at any length, and one edit counts where the longer of the two has
+``NEAR`` characters, as in shorter ones it is a large part of the line (``1.`` and ``2.``, ``of`` and ``or``).
 
 Two lines within one edit share a variant: both without the character at the same place (replaced), or the longer without one character is
 the shorter. Variants are hashed keys, from running hashes of the line, so a line of n characters costs n steps. As key, the first kind carries
@@ -32,16 +33,19 @@ from riskweave.llm.common import documents, id_key, keyed_rows, stored
 from riskweave.llm.counts import Repeated, repeated
 from riskweave.llm.text import mix, powers
 
+#: where callers say nothing: the shortest line that takes part
 SHORTEST = 20
+#: of the query: the shortest line that takes part, and the shortest that one edit may set apart from a line that is no longer
+EQUAL, NEAR = 1, 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
+def numbered_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """id, text_hash, no, line, size, and the line's 128-bit hash (h1, h2), of every line that takes part."""
     rows = docs.select(id_key().alias("id"), F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
     rows = rows.select("id", "text_hash", "no", F.btrim("raw", F.lit(" \t\r\x0b\x0c")).alias("line"))
-    rows = rows.withColumn("size", F.char_length("line")).where(F.col("size") >= SHORTEST)
+    rows = rows.withColumn("size", F.char_length("line")).where(F.col("size") >= shortest)
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -68,12 +72,14 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([placed, itself, shorter]), np.repeat([0, 1, 2], [n, 1, len(shorter)])
 
 
-def _variants(shared: Repeated | None, columns: list[str]):
+def _variants(shared: Repeated | None, columns: list[str], near: int):
     def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
             held, size = [], 0
             for i, line in enumerate(rows["line"].tolist()):
                 keys, kinds = variant_keys(line)
+                if len(line) < near:  # it only meets longer lines, as it is
+                    keys, kinds = keys[kinds == 1], kinds[kinds == 1]
                 if shared is not None:
                     meet = shared(keys)
                     keys, kinds = keys[meet], kinds[meet]
@@ -95,10 +101,10 @@ def _variants(shared: Repeated | None, columns: list[str]):
     return rows_of
 
 
-def partners(docs: DataFrame) -> DataFrame:
+def partners(docs: DataFrame, shortest: int = SHORTEST, near: int = SHORTEST) -> DataFrame:
     """h1, h2 of each line that has an earlier line within one edit, and where that one is first (p_id, p_no)."""
     spark = docs.sparkSession
-    lines = half_keys(numbered_lines(docs))
+    lines = half_keys(numbered_lines(docs, max(shortest, near - 1)))
     halves = ["k0", "k1", "k2", "k3"]
     distinct = lines.groupBy("h1", "h2").agg(*[F.min(k).alias(k) for k in halves])
     sketch = spark.sparkContext.broadcast(repeated(distinct.select(F.explode(F.array(*halves)))))
@@ -119,9 +125,9 @@ def partners(docs: DataFrame) -> DataFrame:
     met = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     sure = keys.join(met, "half", "left_semi").select("h1", "h2").distinct()
     likely = stored(likely.drop(*halves).join(sure, ["h1", "h2"], "left_semi"), "lines-sharing")
-    shared = repeated(likely.select("line").mapInPandas(_variants(None, []), "key long"))
+    shared = repeated(likely.select("line").mapInPandas(_variants(None, [], near), "key long"))
     columns = ["h1", "h2", "id", "no"]
-    variants = likely.mapInPandas(_variants(shared, columns), "key long, kind int, h1 long, h2 long, id long, no int")
+    variants = likely.mapInPandas(_variants(shared, columns, near), "key long, kind int, h1 long, h2 long, id long, no int")
     variants = stored(variants, "lines-variants")
     here = F.struct("id", "no", "h1", "h2")
     met = variants.groupBy("key").agg(
@@ -151,22 +157,25 @@ def _flags(numbers: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, shortest: int = SHORTEST, near: int = SHORTEST) -> DataFrame:
     """id, text_hash, n_removed and, by line number, whether it goes, of every document that loses any line."""
-    lines = numbered_lines(docs).select("id", "text_hash", "no", "h1", "h2")
-    near = stored(partners(docs), "lines-partners")
+    lines = numbered_lines(docs, shortest).select("id", "text_hash", "no", "h1", "h2")
+    close = stored(partners(docs, shortest, near), "lines-partners")
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("own"), F.count("*").alias("n"))
-    near = near.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct(F.col("p_id").alias("id"), F.col("p_no").alias("no")).alias("other"))
-    first = first.join(near, F.expr("h1 = a1 AND h2 = a2"), "left").where("n > 1 OR other IS NOT NULL")
+    close = close.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.struct(F.col("p_id").alias("id"), F.col("p_no").alias("no")).alias("other"))
+    first = first.join(close, F.expr("h1 = a1 AND h2 = a2"), "left").where("n > 1 OR other IS NOT NULL")
     first = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.least("own", "other").alias("first"))
     gone = lines.join(first, F.expr("h1 = f1 AND h2 = f2")).where(F.struct("id", "no") > F.col("first"))
     numbers = gone.groupBy("id", "text_hash").agg(F.collect_set("no").alias("numbers"))
     return numbers.select("id", "text_hash", F.size("numbers").cast("long").alias("n_removed"), _flags("numbers").alias("gone"))
 
 
-def deduped(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """The rows of ``docs`` with their remaining lines as text; ``counts`` adds n_lines and n_removed."""
-    gone = removed_lines(docs).withColumnsRenamed({"id": "gone_id", "text_hash": "gone_hash"})
+def deduped(docs: DataFrame, counts: bool = False, shortest: int = SHORTEST, near: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs`` with their remaining lines as text; ``counts`` adds n_lines and n_removed.
+
+    Lines of ``shortest`` characters and more take part; of two that are one edit apart, the longer has ``near`` or more.
+    """
+    gone = removed_lines(docs, shortest, near).withColumnsRenamed({"id": "gone_id", "text_hash": "gone_hash"})
     joined = keyed_rows(docs).join(gone, F.expr("id = gone_id AND text_hash = gone_hash"), "left")
     before = F.col("row.text")
     lines = F.split(before, "\n")
@@ -180,5 +189,5 @@ def deduped(docs: DataFrame, counts: bool = False) -> DataFrame:
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:
-    found = deduped(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    found = deduped(documents(spark, sf_dir).select("doc_id", "text"), True, EQUAL, NEAR)
     return found.select("doc_id", "n_lines", "n_removed", "text")

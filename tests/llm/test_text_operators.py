@@ -190,6 +190,17 @@ def test_line_edits(spark):
     assert lines.deduped(no_documents(spark)).count() == 0
 
 
+def test_short_lines(spark):
+    rows = [
+        (1, "Menu\n1.\n  \nof\nnineteen characters\ntenletters"),
+        (2, "Menu \n2.\n\nor\nnineteen characters!\ntenlettors\n1."),
+        (3, "tenletter\nMenus\n2.\n."),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.deduped(table, shortest=lines.EQUAL, near=lines.NEAR).collect()}
+    assert got == {1: rows[0][1], 2: "2.\n\nor", 3: "Menus\n."}
+
+
 # --- substrings
 
 
