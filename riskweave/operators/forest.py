@@ -45,26 +45,19 @@ def average_path(n: float) -> float:
 def draw_samples(df: DataFrame, key: str, rows: int, trees: int, sample: int) -> DataFrame:
     """(tree, draw, row...) with at most ``sample`` rows per tree.
 
-    Draws are hashes of the key, hence repeatable. Candidates are thinned to
-    about twice the need before anything is shuffled. On large tables a row
-    joins one tree; on small ones it may join several, as trees then have to
-    share rows.
+    Draws are hashes of the key, hence repeatable. A row draws its trees by
+    itself, each with the same chance, which thins candidates to about twice
+    the need before anything is shuffled; a row may join several trees. The
+    rule is the same at every size of the table.
     """
     full = float(2**63)
 
     def unit(*parts):
         return F.xxhash64(*parts).cast("double") / full / 2 + 0.5
 
-    if rows > 4 * trees * sample:
-        share = 2.0 * trees * sample / rows
-        drawn = df.filter(unit(F.col(key), F.lit("pick")) < share).withColumn(
-            "tree", F.pmod(F.xxhash64(F.col(key), F.lit("tree")), F.lit(trees)).cast("int")
-        )
-    else:
-        share = min(1.0, 2.0 * sample / max(rows, 1))
-        drawn = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).filter(
-            unit(F.col(key), F.col("tree")) < share
-        )
+    share = min(1.0, 2.0 * sample / max(rows, 1))
+    joins = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: unit(F.col(key), tree) < share)
+    drawn = df.withColumn("tree", F.explode(joins))
     drawn = drawn.withColumn("draw", F.xxhash64(F.col(key), F.col("tree"), F.lit("order")))
     return top_per_key(drawn, ["tree"], [F.col("draw"), F.col(key)], sample)
 

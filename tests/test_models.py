@@ -107,6 +107,15 @@ def test_forest_samples_stay_bounded(spark):
         assert len(sizes) == trees and max(sizes) == 64 and min(sizes) >= 40
 
 
+def test_forest_samples_follow_one_rule(spark):
+    def drawn(rows):
+        return {(r["tree"], r["id"]) for r in forests.draw_samples(spark.range(2600), "id", rows, 10, 64).select("tree", "id").collect()}
+
+    below, above = drawn(2560), drawn(2561)  # 4 * trees * sample, and one more
+    assert len(below & above) > 0.95 * len(below)
+    assert len({i for _, i in above}) < len(above)  # trees share rows at any size
+
+
 def test_average_path():
     assert forests.average_path(1) == 0 and forests.average_path(2) == 1
     assert forests.average_path(256) == pytest.approx(10.244, abs=1e-3)
