@@ -4,9 +4,11 @@ A sketch keeps the hash of every distinct shingle of ``SHINGLE`` words that lies
 ``FEW`` smallest whatever they are, so that a short text has a sketch too. Which hashes stay does not depend on the text's
 length: the sketch of two texts together comes from the union of theirs, and the share of one sketch found in the other, up to
 the hash up to which both are complete, estimates how much of one text is contained in the other, also when one is a thousand
-times longer. That containment is the ``likeness`` of a text to another.
+times longer. That containment is the ``likeness`` of a text to another. The sketch of a text of few shingles may have no hash up to where
+that of a long one is complete; from the two sketches alone the likeness is then unknown (NaN).
 
-The query compares each document with its successor by doc_id. Documents are shuffled once, by ranges of doc_id whose bounds
+The query compares each document with its successor by doc_id, whose text the task has in hand: the sketch of the one is looked up in
+all shingles of the other (``contained``), so a short text is compared whole with a long one. Documents are shuffled once, by ranges of doc_id whose bounds
 come from quantiles over all ids; the first document of a range also goes to the range before it, that of the first range to the
 last. A task streams over its range in order and holds one batch.
 
@@ -35,8 +37,8 @@ FEW = 16
 _LIMIT = np.uint64((1 << 48) // FRACTION)
 
 
-def sketches(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted 48-bit hashes of each text's sketch."""
+def shingles(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 48-bit hashes of all shingles of each text."""
     out: list[np.ndarray] = []
     for low, high in batches(texts):
         words = Words(texts[low:high])
@@ -47,18 +49,24 @@ def sketches(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
         fresh = np.ones(len(doc), dtype=bool)
         fresh[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
         hashes, doc = hashes[fresh], doc[fresh]
-        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        keep = (rank < FEW) | (hashes < _LIMIT)
-        hashes, doc = hashes[keep], doc[keep]
         bounds = np.searchsorted(doc, np.arange(high - low + 1))
         out += [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     return out
 
 
+def _kept(hashes: np.ndarray) -> np.ndarray:
+    """Of sorted hashes, those that a sketch keeps."""
+    return hashes[: max(FEW, int(np.searchsorted(hashes, _LIMIT)))]
+
+
+def sketches(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted 48-bit hashes of each text's sketch."""
+    return [_kept(x) for x in shingles(texts, shingle)]
+
+
 def merged(*parts: np.ndarray) -> np.ndarray:
     """The sketch of all the texts together."""
-    union = np.unique(np.concatenate(parts))
-    return union[(union < _LIMIT) | (np.arange(len(union)) < FEW)]
+    return _kept(np.unique(np.concatenate(parts)))
 
 
 def _complete_to(sketch: np.ndarray) -> np.uint64:
@@ -67,12 +75,17 @@ def _complete_to(sketch: np.ndarray) -> np.uint64:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the shingles behind ``a`` that are also behind ``b``."""
+    """Estimated share of the shingles behind ``a`` that are also behind ``b``; NaN where the sketches have no hash to tell it by."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     a = a[a <= min(_complete_to(a), _complete_to(b))]
-    if not len(a):
-        return 0.0
+    return contained(a, b) if len(a) else float("nan")
+
+
+def contained(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated share of the shingles behind the sketch ``a`` that are among the shingles ``b``, all of a text."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
     return float(np.count_nonzero(b[at] == a) / len(a))
 
@@ -135,16 +148,17 @@ def _compare(ids: list, texts: list[str]) -> pd.DataFrame:
     for text, after in zip(texts[:-1], texts[1:], strict=True):
         half = len(text) // 2
         edited.append(text[: len(text) - half] + after[:half])
-    own, changed = sketches(texts), sketches(edited)
+    whole, changed = shingles(texts), shingles(edited)
+    own = [_kept(x) for x in whole[:-1]]
     return pd.DataFrame(
         {
             "doc_id": pd.array(ids, dtype="Int64"),
             "n_chars": [len(t) for t in texts[:-1]],
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
-            "fingerprint": [encoded(s) for s in own[:-1]],
-            "edited_fingerprint": [encoded(s) for s in changed],
-            "near_edited": [likeness(a, b) for a, b in zip(own[:-1], changed, strict=True)],
-            "near_next": [likeness(a, b) for a, b in zip(own[:-1], own[1:], strict=True)],
+            "fingerprint": [encoded(s) for s in own],
+            "edited_fingerprint": [encoded(_kept(x)) for x in changed],
+            "near_edited": [contained(a, b) for a, b in zip(own, changed, strict=True)],
+            "near_next": [contained(a, b) for a, b in zip(own, whole[1:], strict=True)],
         }
     )
 

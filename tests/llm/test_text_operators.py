@@ -259,6 +259,20 @@ def test_successors(spark, docs):
     assert sketch.successive(no_documents(spark)).count() == 0
 
 
+def test_short_text_in_a_long_one(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 4000)]
+    rows, want = [], []
+    for i in range(30):
+        part = words[i * 100 : i * 100 + 5 + i % 6]  # 1 to 6 shingles
+        rows += [(2 * i, " ".join(part if i % 3 else part[:-1] + ["other"])), (2 * i + 1, " ".join(words))]
+        want.append(1.0 if i % 3 else (i % 6) / (i % 6 + 1))
+    got = {r["doc_id"]: r["near_next"] for r in sketch.successive(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i] for i in range(30)] == pytest.approx(want)
+    unknown = sketch.likeness(np.array([1 << 47], dtype=np.uint64), np.arange(100, dtype=np.uint64))
+    assert np.isnan(unknown)
+
+
 def test_containment_and_merging():
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in rng.integers(0, 10**6, 40_000)]
