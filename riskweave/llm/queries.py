@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskweave.llm import html_text, lines, mixing, packing, perplexity, pii, quality, simhash, sketch, substrings
+from riskweave.llm import automaton, html_text, lines, mixing, packing, periodic, perplexity, pii, quality, simhash, sketch, substrings, variants
 
 QUERIES = {
     "op1_html": html_text.op1_html,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_perplexity": perplexity.op8_perplexity,
     "op9_packing": packing.op9_packing,
     "op10_quality": quality.op10_quality,
+    "op11_variants": variants.op11_variants,
+    "op12_automaton": automaton.op12_automaton,
+    "op13_periodic": periodic.op13_periodic,
 }
 
 SQL: dict[str, str] = {}
