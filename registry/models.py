@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from registry.features import rounded
 from registry.sqlbase import RISK, SCORED, TXN, logit, query, rate_of, uniform01
 from riskweave import dataset
-from riskweave.functions.scalars import uniform01 as draw
+from riskweave.operators.boosting import Settings, with_margin
 from riskweave.operators.encode import apply_codes, fit_codes
-from riskweave.plans import anomaly, credit, explain, metrics, scoring, staging, training
+from riskweave.plans import anomaly, credit, explain, metrics, models, scoring
 from riskweave.plans.explain import SEARCH_GRID
 from riskweave.plans.scoring import FIXED_MODEL
 from riskweave.schemas import CATEGORIES, FEATURE_DESCRIPTIONS
-from riskweave.session import materialize
+from riskweave.session import materialize, run_dir
 
 
 def _attributed(spark, path):
@@ -122,47 +121,91 @@ def _stored(spark, path):
     return materialize(dataset.transactions(spark, path), "transactions")
 
 
-def _split(spark, path):
-    prepared = training.prepare_fraud(_stored(spark, path))
-    uniform = draw(F.concat_ws("|", F.col("is_fraud").cast("string"), "txn_id"), "split")
-    return staging.split_by_hash(prepared, uniform)
+#: what the boosted queries fit with; the search has its own
+FRAUD_FIT = Settings(n_estimators=400, max_depth=5, learning_rate=0.05, scale_pos_weight=4.0)
+CREDIT_FIT = Settings(n_estimators=300, max_depth=4, learning_rate=0.05)
+
+
+def _held_out(rows, kind):
+    return models.labelled(rows, kind).filter(F.col("split") == "test")
 
 
 def gbt_scores(spark, path):
     """Train on train + validation, score the held-out rows."""
-    rows = _split(spark, path)
-    model = training.fit_fraud(staging.train_and_validation(rows), positive_weight=4.0, maxIter=10)
-    out = training.score_fraud(rows.filter(F.col("split") == "test"), model)
+    rows = _stored(spark, path)
+    out = models.fraud_scores(_held_out(rows, "fraud"), models.train(rows, "fraud", FRAUD_FIT))
     return out.select("txn_id", "fraud_probability", "fraud_risk_score", "decision")
 
 
 def gbt_metrics(spark, path):
-    rows = _split(spark, path)
-    model = training.fit_fraud(staging.train_and_validation(rows), positive_weight=4.0, maxIter=10)
-    scored = training.score_fraud(rows.filter(F.col("split") == "test"), model)
+    rows = _stored(spark, path)
+    scored = models.fraud_scores(_held_out(rows, "fraud"), models.train(rows, "fraud", FRAUD_FIT))
     return rounded(metrics.binary_metrics(scored, "raw_probability", "is_fraud"), "roc_auc", "average_precision", "f1")
 
 
+def _search(spark, path, kind, rows):
+    split = materialize(models.labelled(rows, kind), "search")
+    codes = materialize(fit_codes(split.filter(F.col("split") != "test"), ["merchant_category"]), "codes")
+    found = models.search(models.prepared(split, kind, codes), kind)
+    return [(t["trial"], place, {k: float(v) for k, v in t["settings"].items()}, t["score"]) for place, t in enumerate(found, 1)]
+
+
 def gbt_search(spark, path):
-    """Validation AUC per trial of a short random search."""
-    space = {"maxIter": [5, 10], "maxDepth": [3, 4], "stepSize": [0.1, 0.3]}
-    rows = staging.train_and_validation(_split(spark, path))
-    found = training.search(rows, GBTClassifier(labelCol="label", seed=42), space, trials=3)
-    trials = [
-        (i, {p.name: float(v) for p, v in params.items()}, float(auc))
-        for i, (params, auc) in enumerate(zip(found.getEstimatorParamMaps(), found.validationMetrics, strict=True))
-    ]
-    return spark.createDataFrame(trials, "trial int, params map<string,double>, auc double")
+    """Validation AUC of every trial of the fraud model's search, and its place."""
+    trials = _search(spark, path, "fraud", _stored(spark, path))
+    return spark.createDataFrame(trials, "trial int, place int, params map<string,double>, auc double")
+
+
+def credit_search(spark, path):
+    """Mean absolute error on validation rows of every trial of the credit model's search, and its place."""
+    trials = _search(spark, path, "credit", materialize(_credit_rows(spark, path), "credit"))
+    return spark.createDataFrame([(*t[:3], -t[3]) for t in trials], "trial int, place int, params map<string,double>, mae double")
 
 
 def credit_model_metrics(spark, path):
-    stored = materialize(_credit_rows(spark, path), "credit")
-    rows = training.prepare_credit(stored, credit.credit_target())
-    split = staging.split_by_hash(rows, draw(F.col("txn_id"), "credit-split"))
-    model = training.fit_credit(split.filter(F.col("split") != "test"), maxIter=10)
-    held_out = model.transform(split.filter(F.col("split") == "test"))
+    rows = materialize(_credit_rows(spark, path), "credit")
+    bundle = models.train(rows, "credit", CREDIT_FIT)
+    held_out = models.prepared(_held_out(rows, "credit"), "credit", bundle.codes)
+    scored = with_margin(held_out, bundle.model, {f: F.col(f).cast("double") for f in bundle.model.features}, "prediction")
     guess = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
-    return rounded(metrics.regression_metrics(held_out, F.col("label"), guess), "mae", "rmse", "r2")
+    return rounded(metrics.regression_metrics(scored, F.col("label"), guess), "mae", "rmse", "r2")
+
+
+def _reloaded(spark, bundle):
+    path = run_dir(spark, f"bundle-{bundle.kind}")
+    models.save(bundle, path)
+    return models.load(spark, path)
+
+
+def model_roundtrip_scores(spark, path):
+    """Every row scored by trained models, and by the same models saved and loaded."""
+    rows = _stored(spark, path)
+    fraud, forest = models.train(rows, "fraud", FRAUD_FIT), models.train_forest(rows)
+    names = ["raw_probability", "decision", "anomaly_raw", "is_anomaly"]
+    before = models.anomaly_scores(models.fraud_scores(rows, fraud), forest)
+    before = before.select("*", F.struct(*names).alias("before")).drop(*names)
+    after = models.anomaly_scores(models.fraud_scores(before, _reloaded(spark, fraud)), _reloaded(spark, forest))
+    return after.select("txn_id", *[F.col(f"before.{c}").eqNullSafe(F.col(c)).alias(f"same_{c}") for c in names])
+
+
+def credit_end_to_end(spark, path):
+    """The composed credit score of every row, checked against its stored components, the bands and the features that it reports."""
+    rows = materialize(_credit_rows(spark, path), "credit")
+    bundles = [_reloaded(spark, b) for b in (models.train(rows, "credit", CREDIT_FIT), models.train_forest(rows))]
+    scored = materialize(models.credit_scores(rows, *bundles), "credit-scores")
+    score = F.col("credit_risk_score")
+    again = F.lit(50.0) * F.col("model_component") + F.lit(35.0) * F.col("anomaly_component") + F.lit(15.0) * F.col("bureau_component")
+    named = F.element_at(F.array(*[F.lit(b) for b in ("VERY_LOW", "LOW", "MEDIUM", "HIGH")]), F.greatest(F.ceil(score / 25).cast("int"), F.lit(1)))
+    whole = F.floor(F.greatest(score - 1, F.lit(0.0)) / 25) == F.floor(F.greatest(F.ceil(score) - 1, F.lit(0)) / 25)
+    size = F.transform("top_features", lambda f: F.abs(f["shap_value"]))
+    return scored.select(
+        "txn_id",
+        "bureau_component",
+        (score.between(0, 100) & (F.abs(score - again) < 0.011)).alias("composite_follows"),
+        F.when((F.col("risk_band") == "UNKNOWN"), ~whole | (score != F.floor(score))).otherwise(F.col("risk_band") == named).alias("band_follows"),
+        F.size("top_features").alias("n_features"),
+        (size == F.sort_array(size, asc=False)).alias("features_ranked"),
+    )
 
 
 def isolation_forest_scores(spark, path):
@@ -193,7 +236,10 @@ QUERIES = {
     "gbt_scores": gbt_scores,
     "gbt_metrics": gbt_metrics,
     "gbt_search": gbt_search,
+    "credit_search": credit_search,
     "credit_model_metrics": credit_model_metrics,
+    "model_roundtrip_scores": model_roundtrip_scores,
+    "credit_end_to_end": credit_end_to_end,
     "isolation_forest_scores": isolation_forest_scores,
     "anomaly_summary": anomaly_summary,
 }
@@ -341,6 +387,14 @@ SQL = {
         SCORED,
         "SELECT txn_id, round((0.65e0 * fraud_probability + 0.35e0 * least(amount_vs_avg_ratio / 20e0, 1e0)) * 100, 6) AS blended_score FROM scored",
     ),
+    "model_roundtrip_scores": query(
+        TXN, "SELECT txn_id, true AS same_raw_probability, true AS same_decision, true AS same_anomaly_raw, true AS same_is_anomaly FROM txn"
+    ),
+    "credit_end_to_end": query(
+        TXN,
+        f"""SELECT txn_id, round(0.3e0 * {uniform01("account_id", "bureau")}, 4) AS bureau_component, true AS composite_follows, true AS band_follows,
+        CAST(5 AS INTEGER) AS n_features, true AS features_ranked FROM txn""",
+    ),
     "label_codes": query(SCORED, f"{_code_sql('merchant_category')} UNION ALL {_code_sql('channel')}"),
     "label_encoded": query(
         SCORED,

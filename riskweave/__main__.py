@@ -8,9 +8,9 @@ import sys
 
 from pyspark.sql import functions as F
 
-from riskweave.plans import anomaly, credit, jobs, scoring, training
+from riskweave.plans import jobs, models, scoring
 from riskweave.plans.features import with_accounts
-from riskweave.schemas import FAIRNESS_THRESHOLDS, PSI_RETRAIN
+from riskweave.schemas import FAIRNESS_THRESHOLDS, MODEL_VERSION, PSI_RETRAIN, SEARCH_TRIALS
 from riskweave.session import build_session, materialize
 from riskweave.sinks.warehouse import Warehouse
 from riskweave.sources.topics import kafka_stream
@@ -29,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
 
     score = jobs_.add_parser("score", help="score staged transactions")
     score.add_argument("--alerts", help="folder for the alert payload")
+    score.add_argument("--model", help="bundle of a trained fraud model; without it the fixed linear model scores")
+    score.add_argument("--credit-model", help="bundle of a trained credit model: fills credit_risk_score")
+    score.add_argument("--anomaly-model", help="bundle of a trained anomaly model, a part of the credit score")
 
     drift = jobs_.add_parser("drift", help="drift report; exit code 1 on drift")
     drift.add_argument("--as-of", required=True)
@@ -44,8 +47,9 @@ def parser() -> argparse.ArgumentParser:
 
     train = jobs_.add_parser("train", help="train a model and save it")
     train.add_argument("model", choices=["fraud", "credit", "anomaly"])
-    train.add_argument("--out", required=True)
-    train.add_argument("--trials", type=int, default=0, help="random search trials (fraud, credit)")
+    train.add_argument("--out", required=True, help="new folder for the bundle")
+    train.add_argument("--trials", type=int, help="random search trials (fraud 30, credit 20); 0 fits without a search")
+    train.add_argument("--sample", type=int, default=models.SAMPLE, help="rows that a fit and a trial may see")
 
     stream = jobs_.add_parser("stream-features", help="window features from the topic")
     stream.add_argument("--bootstrap", required=True)
@@ -59,27 +63,36 @@ def _scored(warehouse: Warehouse):
 
 
 def _train(warehouse: Warehouse, args) -> dict:
+    """Fit, save the bundle, and return what its ``about`` says."""
     txns = warehouse.read("staging.transactions")
     if args.model == "anomaly":
-        forest = anomaly.train(materialize(txns, "train"))
-        nodes = [(k, json.dumps(v.tolist())) for k, v in forest.nodes.items()]
-        warehouse.spark.createDataFrame(nodes, "part string, value string").write.mode("overwrite").parquet(args.out)
-        return {"offset": forest.offset}
-    if args.model == "fraud":
-        rows = training.prepare_fraud(materialize(txns, "train"))
-        space, fit, regression = training.FRAUD_SPACE, training.fit_fraud, False
+        bundle = models.train_forest(materialize(txns, "train"))
     else:
-        joined = with_accounts(txns, warehouse.read("raw.accounts"), "inner").withColumn("account_age_days", F.col("age_days"))
-        rows = training.prepare_credit(materialize(joined, "train"), credit.credit_target())
-        space, fit, regression = training.CREDIT_SPACE, training.fit_credit, True
-    best = {}
-    if args.trials:
-        estimator = training.GBTRegressor() if regression else training.GBTClassifier(labelCol="label")
-        found = training.search(rows, estimator, space, args.trials, regression)
-        pick = (min if regression else max)(range(args.trials), key=lambda i: found.validationMetrics[i])
-        best = {p.name: v for p, v in found.getEstimatorParamMaps()[pick].items()}
-    fit(rows, **best).write().overwrite().save(args.out)
-    return best
+        if args.model == "credit":
+            txns = _with_age(with_accounts(txns, warehouse.read("raw.accounts"), "inner"))
+        trials = SEARCH_TRIALS[args.model] if args.trials is None else args.trials
+        bundle = models.train(txns, args.model, trials=trials, sample=args.sample)
+    models.save(bundle, args.out)
+    return bundle.about
+
+
+def _with_age(txns):
+    return txns.withColumn("account_age_days", F.col("age_days"))
+
+
+def _scorer(spark, args):
+    """The scorer that the options ask for, and its version: bundles, or the fixed linear model."""
+    if not args.model:
+        if args.credit_model or args.anomaly_model:
+            raise SystemExit("--credit-model and --anomaly-model need --model")
+        return scoring.linear_scores, MODEL_VERSION
+    fraud = models.load(spark, args.model)
+    if not args.credit_model:
+        return (lambda rows: models.fraud_scores(rows, fraud, explain=True)), fraud.version
+    if not args.anomaly_model:
+        raise SystemExit("a credit score is composed with an anomaly model: --anomaly-model")
+    parts = models.load(spark, args.credit_model), models.load(spark, args.anomaly_model)
+    return (lambda rows: models.with_credit(models.fraud_scores(_with_age(rows), fraud, explain=True), *parts)), fraud.version
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -91,7 +104,11 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "stage":
         jobs.stage(warehouse).groupBy("failed_rules").count().show(truncate=False)
     elif args.job == "score":
-        payload = jobs.score(warehouse, warehouse.read("staging.transactions"), F.col("created_at"))
+        scorer, version = _scorer(spark, args)
+        rows = warehouse.read("staging.transactions")
+        if args.credit_model:
+            rows = with_accounts(rows, warehouse.read("raw.accounts"))
+        payload = jobs.score(warehouse, rows, F.col("created_at"), scorer, version)
         if args.alerts:
             payload.select("value").write.mode("append").text(args.alerts)
     elif args.job == "drift":

@@ -44,7 +44,8 @@ def score(
     valid, rejected = split_valid(transactions)
     warehouse.append("audit.rejected_transactions", rejected)
     scored = materialize(scorer(valid), "scored")
-    top = scoring.top_attributions(scoring.attributions(scored))
+    # a trained model explains its own scores; without that, the fixed linear model does
+    top = scoring.top_attributions(scored if "attributions" in scored.columns else scoring.attributions(scored))
     warehouse.append("audit.model_decisions", scoring.model_decisions(scored, scored_at, version))
     warehouse.append("audit.explanations", explain.explanation_rows(top, scored_at))
     warehouse.insert_new("mart.risk_scores", scoring.risk_scores(scored, scored_at, version), [F.col("scored_at")])

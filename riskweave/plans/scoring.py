@@ -125,13 +125,17 @@ def linear_scores(txns: DataFrame, model: LinearModel = FIXED_MODEL) -> DataFram
 
 
 def risk_scores(scored: DataFrame, scored_at: Column, version: str = MODEL_VERSION) -> DataFrame:
-    """Rows of the risk-score mart; the composite is the fraud score itself."""
+    """Rows of the risk-score mart; the composite is the fraud score itself.
+
+    The credit score is null unless the rows were scored for it too.
+    """
+    credit = F.col("credit_risk_score") if "credit_risk_score" in scored.columns else F.lit(None).cast("double")
     return scored.select(
         "txn_id",
         "account_id",
         "merchant_id",
         "fraud_probability",
-        F.lit(None).cast("double").alias("credit_risk_score"),
+        credit.alias("credit_risk_score"),
         F.col("fraud_risk_score").alias("composite_risk_score"),
         "decision",
         F.lit(version).alias("model_version"),
@@ -176,8 +180,8 @@ def attributions(scored: DataFrame, model: LinearModel = FIXED_MODEL, background
     return with_means.withColumn("attributions", F.array(*values)).drop("_means")
 
 
-def top_attributions(attributed: DataFrame, k: int = 5) -> DataFrame:
-    """Replace the array by its ``k`` largest by magnitude, described.
+def top_attributions(attributed: DataFrame, k: int = 5, texts: dict[str, str] = FEATURE_DESCRIPTIONS) -> DataFrame:
+    """Replace the array by its ``k`` largest by magnitude, described by ``texts``.
 
     Sorting happens inside the row: no shuffle. Ties keep feature order.
     """
@@ -191,7 +195,7 @@ def top_attributions(attributed: DataFrame, k: int = 5) -> DataFrame:
         lambda a: F.struct(
             a["feature"].alias("feature"),
             F.round(a["value"], 4).alias("shap_value"),
-            describe(a["feature"], FEATURE_DESCRIPTIONS).alias("description"),
+            describe(a["feature"], texts).alias("description"),
             direction(a["value"]).alias("direction"),
         ),
     )

@@ -1,4 +1,4 @@
-"""Boosted-tree training and batch scoring on ``pyspark.ml``."""
+"""Boosted trees on ``pyspark.ml``, for fits on all rows of a table; ``models`` has the searched and saved ones."""
 
 from __future__ import annotations
 
@@ -82,17 +82,3 @@ def search(
     )
     return tuner.fit(train)
 
-
-FRAUD_SPACE = {
-    "maxIter": [10, 20, 40],
-    "maxDepth": [3, 4, 5, 6],
-    "stepSize": [0.05, 0.1, 0.2, 0.3],
-    "subsamplingRate": [0.6, 0.8, 1.0],
-    "minInstancesPerNode": [1, 5, 10],
-}
-CREDIT_SPACE = {
-    "maxIter": [10, 20, 40],
-    "maxDepth": [3, 4, 5],
-    "stepSize": [0.05, 0.1, 0.2, 0.3],
-    "subsamplingRate": [0.6, 0.8, 1.0],
-}

@@ -101,6 +101,42 @@ FEATURE_DESCRIPTIONS = {
     "merchant_category_encoded": "Merchant category label-encoded (high-risk categories have higher values)",
 }
 
+CREDIT_DESCRIPTIONS = {
+    "amount": "Transaction amount in USD",
+    "txn_velocity_1h": "Transactions in past hour",
+    "amount_vs_avg_ratio": "Amount vs 90-day account average",
+    "is_foreign_merchant": "Foreign merchant flag",
+    "merchant_category_encoded": "Merchant risk category",
+    "account_age_days": "Account age in days (older = lower risk)",
+    "avg_monthly_spend": "Account average monthly spend",
+    "hour_of_day": "Hour of transaction",
+    "day_of_week": "Day of week",
+}
+
+# hyper-parameters of the boosted models: lowest, highest, how values are drawn
+SEARCH_SPACES = {
+    "fraud": {
+        "n_estimators": (200, 1000, "whole"),
+        "max_depth": (3, 8, "whole"),
+        "learning_rate": (0.01, 0.3, "log"),
+        "subsample": (0.6, 1.0, "uniform"),
+        "colsample_bytree": (0.6, 1.0, "uniform"),
+        "min_child_weight": (1, 10, "whole"),
+        "reg_alpha": (1e-8, 1.0, "log"),
+        "reg_lambda": (1e-8, 1.0, "log"),
+        "scale_pos_weight": (10.0, 60.0, "uniform"),
+    },
+    "credit": {
+        "n_estimators": (100, 600, "whole"),
+        "max_depth": (3, 7, "whole"),
+        "learning_rate": (0.01, 0.3, "log"),
+        "subsample": (0.6, 1.0, "uniform"),
+        "colsample_bytree": (0.6, 1.0, "uniform"),
+        "reg_alpha": (1e-8, 1.0, "log"),
+    },
+}
+SEARCH_TRIALS = {"fraud": 30, "credit": 20}
+
 FRAUD_DEFAULTS = {
     "amount": 0.0,
     "hour_of_day": 12,
