@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,7 +46,7 @@ def start_features(
     """One query per feature table, each with its own checkpoint and log."""
     queries = []
     for table in tables or list(STREAM_FEATURES):
-        log = KeyedLog(spark, f"{out}/{table}", FEATURE_TABLES[table])
+        log = feature_log(spark, out, table)
         queries.append(
             start(
                 STREAM_FEATURES[table](stream),
@@ -65,5 +65,11 @@ def run_features(spark: SparkSession, stream: DataFrame, out: str, checkpoints:
     await_any(spark, queries) if continuous else await_all(queries)
 
 
-def feature_table(spark: SparkSession, out: str, table: str) -> DataFrame | None:
-    return KeyedLog(spark, f"{out}/{table}", FEATURE_TABLES[table]).current()
+def feature_log(spark: SparkSession, out: str, table: str) -> KeyedLog:
+    """A feature table's log, by the day that its windows start on."""
+    return KeyedLog(spark, f"{out}/{table}", FEATURE_TABLES[table], day=F.col("window_start"))
+
+
+def feature_table(spark: SparkSession, out: str, table: str, since: Column | None = None, until: Column | None = None) -> DataFrame | None:
+    """The newest row of every window, of all days or of those that a time range touches."""
+    return feature_log(spark, out, table).current(since, until)

@@ -173,3 +173,50 @@ def test_first_write_wins_over_epochs(spark, tmp_path):
     log.compact()
     log.write_epoch(spark.createDataFrame([("c", 1.0), ("d", 4.0)], schema), 2)
     assert {r["txn_id"]: r["score"] for r in log.current().collect()} == {"a": 5.0, "b": 1.0, "c": 2.0, "d": 4.0}
+
+
+def test_keyed_log_stays_readable(spark, tmp_path):
+    """Many epochs, some of them empty or redone, some redone where a merge was due: the newest rows, in few folders."""
+    for fanout, day in ((3, None), (2, F.col("at"))):
+        log = KeyedLog(spark, f"{tmp_path}/log{fanout}", ["k"], day=day, fanout=fanout)
+        log.GROUP = 4
+        want = {}
+        for epoch in range(14):
+            batch = [] if epoch == 5 else [(f"k{epoch % 4}", epoch, T0 + timedelta(days=epoch % 4)), ("z", epoch, T0)]
+            rows_ = spark.createDataFrame(batch, "k string, v int, at timestamp").coalesce(1)
+            for _ in range(2 if epoch in (2, 3, 8) else 1):
+                log.write_epoch(rows_, epoch)
+            want |= {k: v for k, v, _ in batch}
+        assert {r["k"]: r["v"] for r in log.current().collect()} == want
+        assert log.current().columns == ["k", "v", "at"]
+        levels = [p.level for p in log.parts()]
+        assert max(levels) >= 2 and all(levels.count(level) < fanout for level in levels)
+        # a reader that comes while an epoch is being written sees the table before it
+        log._write(spark.createDataFrame([("new", 1, T0)], "k string, v int, at timestamp").withColumns({"_epoch": F.lit(14), "_day": F.to_date("at")}), type(log.parts()[0])("epochs/3/14", 0))
+        assert "new" not in {r["k"] for r in log.current().collect()}
+
+
+def test_keyed_log_reads_only_its_days(spark, tmp_path):
+    log = KeyedLog(spark, f"{tmp_path}/log", ["k", "at"], day=F.col("at"))
+    for epoch in range(3):
+        log.write_epoch(spark.createDataFrame([("a", epoch, T0 + timedelta(days=d)) for d in range(4)], "k string, v int, at timestamp"), epoch)
+    recent = log.current(since=F.lit(T0 + timedelta(days=2)), until=F.lit(T0 + timedelta(days=2)))
+    assert [(r["v"], r["at"]) for r in recent.collect()] == [(2, T0 + timedelta(days=2))]
+    assert "PartitionFilters: [isnotnull(_day" in recent._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        KeyedLog(spark, f"{tmp_path}/other", ["k"]).write_epoch(spark.createDataFrame([("a", 1)], "k string, v int"), 0)
+        KeyedLog(spark, f"{tmp_path}/other", ["k"]).current(since=F.lit(T0))
+
+
+def test_folders_of_a_thousand_epochs():
+    """What a reader opens, and how often rows are rewritten, grow with the logarithm of the epochs."""
+    from riskweave.sinks.tables import Part, merge_due
+
+    parts, rewritten = [], 0
+    for epoch in range(1000):
+        parts.append(Part(f"epochs/{epoch}", 0))
+        while due := merge_due(parts, 8):
+            rewritten += sum(8**p.level for p in due)
+            parts = [p for p in parts if p not in due] + [Part(f"merged/{epoch}-{due[0].level + 1}", due[0].level + 1)]
+        assert len(parts) <= 7 * 4
+    assert rewritten <= 3 * 1000
