@@ -20,7 +20,8 @@ The model has every n-gram of the training documents, without cut-offs, and grow
    traversed side by side in lanes; a long text is cut into lanes of ``LANE`` tokens, which begin in the state that the two tokens
    before them lead to, the same as a traversal from the beginning would carry there.
 
-N-grams are told apart by 62 bits of hash and their order.
+N-grams are told apart by their order and a hash of as many bits as the corpus asks for: ``SPARE`` more than it takes to number all of them (62 at
+most), so that one gram in 2**``SPARE`` shares its hash with another.
 
 A null text is empty: it has the end token only. A null doc_id counts as empty text for the split. Repeated rows, or rows that share
 an id, are rows of their own, and train as often as they stand. With no training documents every token is unknown (log10 1 = 0). An empty
@@ -45,14 +46,15 @@ ORDER = 3
 #: weight of the shorter history, in words, after histories of one and two tokens
 PRIOR = (1000.0, 10.0)
 #: words of a block; a longer text is a block of its own
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 #: entries of a range of hashes, on average
 RANGE = 2_000_000
 LANE = 512
+SPARE = 26
 
 _BEGIN, _END = np.uint64(1), np.uint64(2)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_ORDER_BITS = np.uint64(3)
+_ORDER = np.uint64(3)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -83,59 +85,67 @@ class Block:
     def __init__(self, words: np.ndarray, codes: np.ndarray, sizes: np.ndarray, train: np.ndarray):
         self.words, self.codes, self.sizes, self.train = words, codes, sizes, train
 
-    def grams(self, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Per order, the hash of the gram that ends at every place; the places that hold tokens, and those of them that train.
+    def listed(self, order: int, bits: int = 62) -> Listed:
+        return Listed(self, order, bits)
 
-        A place more stands in front of every document, for its beginning, and is a gram of order one only.
-        """
-        sizes = self.sizes + 1
-        ends = np.cumsum(sizes)
-        begin = ends - sizes
-        token = np.ones(int(sizes.sum()), dtype=bool)
-        token[begin] = False
-        symbols = np.full(len(token), _BEGIN, dtype=np.uint64)
-        symbols[token] = self.words[self.codes]
-        hashes = [symbols]
-        depth = np.arange(len(token)) - np.repeat(begin, sizes)
-        for n in range(2, order + 1):
-            longer = np.zeros(len(token), dtype=np.uint64)
-            at = np.flatnonzero(depth >= n - 1)
-            longer[at] = mix(hashes[-1][at - 1] * _STEP + symbols[at] + np.uint64(n))
-            hashes.append(longer)
-        keys = [(mix(h + np.uint64(n)) & ~_ORDER_BITS) | np.uint64(n) for n, h in enumerate(hashes, 1)]
-        return keys, depth, np.repeat(self.train, sizes)
 
-    def listed(self, order: int) -> Listed:
-        return Listed(*self.grams(order))
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, where one of each stands, and which each key is."""
+    turn = np.argsort(keys)
+    ranked = keys[turn]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    which = np.empty(len(keys), dtype=np.int32)
+    which[turn] = np.cumsum(new, dtype=np.int32) - 1
+    return ranked[new], turn[new].astype(np.int32), which
 
 
 class Listed:
-    """The distinct grams of a block: per order, which gram stands at each place, and a place that shows each gram."""
+    """The distinct grams of a block: per order, which gram ends at each place, and a place that shows each gram.
 
-    def __init__(self, keys: list[np.ndarray], depth: np.ndarray, train: np.ndarray):
-        self.depth = depth
+    A place stands for every token, and one more in front of every document for its beginning, which is a gram of order one only.
+    """
+
+    def __init__(self, block: Block, order: int, bits: int):
+        shift = np.uint64(64 - bits)
+        sizes = block.sizes + 1
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        token = np.ones(int(sizes.sum()), dtype=bool)
+        token[begin] = False
+        symbols = np.full(len(token), _BEGIN, dtype=np.uint64)
+        symbols[token] = block.words[block.codes]
+        self.depth = (np.arange(len(token)) - np.repeat(begin, sizes)).astype(np.int32)
+        train = np.repeat(block.train, sizes)
         self.at, self.shown, self.distinct, self.trained = [], [], [], []
-        for n, key in enumerate(keys, 1):
-            places = np.flatnonzero(depth >= n - 1)
-            distinct, shown, which = np.unique(key[places], return_index=True, return_inverse=True)
-            at = np.full(len(depth), -1, dtype=np.int32)
+        hashes = symbols
+        for n in range(1, order + 1):
+            places = np.flatnonzero(self.depth >= n - 1).astype(np.int32)
+            if n > 1:
+                longer = np.zeros(len(token), dtype=np.uint64)
+                longer[places] = mix(hashes[places - 1] * _STEP + symbols[places] + np.uint64(n))
+                hashes = longer
+            distinct, shown, which = _distinct(((mix(hashes[places] + np.uint64(n)) >> shift) << np.uint64(2)) | np.uint64(n))
+            at = np.full(len(token), -1, dtype=np.int32)
             at[places] = which
             self.at.append(at)
             self.shown.append(places[shown])
             self.distinct.append(distinct)
             self.trained.append(np.bincount(which[train[places]], minlength=len(distinct)).astype(np.uint32))
         every = np.concatenate(self.distinct)
-        self.order = np.argsort(every)
+        self.order = np.argsort(every, kind="stable").astype(np.int32)
         self.keys = every[self.order]
 
     def counts(self) -> np.ndarray:
         return np.concatenate(self.trained)[self.order]
 
     def by_order(self, answers: np.ndarray) -> list[np.ndarray]:
-        """Counts in the order of ``keys`` as one array per order of grams."""
+        """Counts in the order of ``keys`` as one array per order of grams. The keys are no longer needed then, and go."""
         out = np.zeros(len(answers), dtype=np.int64)
         out[self.order] = answers
-        return np.split(out, np.cumsum([len(x) for x in self.distinct])[:-1])
+        sizes = [len(x) for x in self.distinct]
+        del self.order, self.keys, self.distinct, self.trained
+        return np.split(out, np.cumsum(sizes)[:-1])
 
 
 _BLOCK_SCHEMA = "block long, n_docs long, n_train long, n_tokens long, n_train_tokens long, ids binary, known binary, train binary, sizes binary, words binary, codes binary"
@@ -154,8 +164,8 @@ def _block_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         train = np.concatenate([x[2] for x in held])
         sizes = np.concatenate([x[3] for x in held])
         hashes = np.concatenate([x[4] for x in held])
-        distinct, codes, often = np.unique(hashes, return_inverse=True, return_counts=True)
-        turn = np.argsort(-often, kind="stable")  # small codes for frequent words
+        distinct, _, codes = _distinct(hashes)
+        turn = np.argsort(-np.bincount(codes), kind="stable")  # small codes for frequent words
         rank = np.empty(len(turn), dtype=np.uint32)
         rank[turn] = np.arange(len(turn), dtype=np.uint32)
         out = {
@@ -204,11 +214,11 @@ def _block(row) -> Block:
 # --- counts -----------------------------------------------------------------------------------------------------------
 
 
-def _request_rows(frames: Iterator[pd.DataFrame], order: int, ranges: int) -> Iterator[pd.DataFrame]:
-    width = np.uint64((1 << 64) // ranges + 1)
+def _request_rows(frames: Iterator[pd.DataFrame], order: int, ranges: int, bits: int) -> Iterator[pd.DataFrame]:
+    width = np.uint64((1 << bits + 2) // ranges + 1)
     for rows in frames:
         for row in rows.itertuples(index=False):
-            listed = _block(row).listed(order)
+            listed = _block(row).listed(order, bits)
             counts = listed.counts()
             number = (listed.keys // width).astype(np.int64)
             cut = np.flatnonzero(np.diff(number, prepend=-1))
@@ -225,18 +235,18 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = np.array([len(x) for x in keys])
     every = np.concatenate(keys)
     own = np.concatenate([unpack(x, np.uint32) for x in rows["counts"]])
-    distinct, which = np.unique(every, return_inverse=True)
+    distinct, _, which = _distinct(every)
     total = np.bincount(which, own, len(distinct)).astype(np.uint64)
     ends = np.cumsum(sizes)
     fresh = np.zeros(len(rows), dtype=np.int64)
-    fresh[0] = int((((distinct & _ORDER_BITS) == np.uint64(1)) & (total > 0)).sum())
+    fresh[0] = int((((distinct & _ORDER) == np.uint64(1)) & (total > 0)).sum())
     whole = [pack(total[which[a:b]]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
     return pd.DataFrame({"part": rows["part"].to_numpy(), "block": rows["block"].to_numpy(), "counts": whole, "fresh": fresh})
 
 
-def answers_of(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
+def answers_of(blocks: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
     """part, block, counts: the training count in all documents of every distinct gram of a block, range by range."""
-    asked = blocks.mapInPandas(lambda frames: _request_rows(frames, order, ranges), "part long, block long, keys binary, counts binary")
+    asked = blocks.mapInPandas(lambda frames: _request_rows(frames, order, ranges, bits), "part long, block long, keys binary, counts binary")
     given = asked.groupBy("part").applyInPandas(_answer, "part long, block long, counts binary, fresh long")
     return stored(given, "automaton-counts")
 
@@ -247,80 +257,67 @@ def answers_of(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
 class Automaton:
     """States, arcs and failure arcs of the grams of one block.
 
-    State 0 is the empty history; then come the histories of one token, then of two, and so on. ``arcs`` holds state * width + token in ascending
-    order, with ``weight`` and ``leads``; ``fails`` and ``fail_weight`` belong to states.
+    State 0 is the empty history; then come the histories of one token, then of two, and so on. The arc that reads a token after a history of n tokens
+    is numbered like the gram of n + 1 tokens that it completes, so no arc has to be searched for in a text of the block: ``weight`` and ``leads`` are
+    lists by n, with ``has`` for those that exist. ``fails``, ``fail_weight`` and ``length`` belong to states.
     """
 
     def __init__(self, listed: Listed, counts: list[np.ndarray], tokens: int, words: int, prior: tuple[float, ...] = PRIOR):
         """``counts``: training counts of ``listed``'s grams per order; that of the beginning is the number of training documents.
         ``tokens`` and ``words``: N and V of the training documents."""
-        first = listed.at[0]
-        self.width = len(counts[0])
-        self.token = first
-        order = len(counts)
-        begins = first[listed.depth == 0][:1]
-        base = (counts[0] + 1.0) / (tokens + words + 1.0)
+        self.listed, self.longest = listed, len(counts) - 1
         self.unknown = float(np.log10(1.0 / (tokens + words + 1.0)))
-        known = counts[0] > 0
-        known[begins] = False
-        states, keys, weights, leads, fails, fail_weights = 1, [], [], [], [np.zeros(1, dtype=np.int64)], [np.zeros(1)]
-        self.state_of: list[np.ndarray] = []
-        probability = base
-        for n in range(1, order + 1):
-            count, shown = counts[n - 1], listed.shown[n - 1]
-            # histories of n tokens: every gram of them that training documents hold; none is asked for after the end token
-            state = np.zeros(len(count), dtype=np.int64)
-            if n < order:
-                held = count > 0
+        self.has, self.weight, self.leads, self.state_of = [], [], [], []
+        fails, fail_weight, length = [np.zeros(1, dtype=np.int32)], [np.zeros(1)], [np.zeros(1, dtype=np.int8)]
+        states, probability = 1, np.zeros(0)
+        number = np.int32 if sum(map(len, counts)) < 2**31 else np.int64
+        for n, (count, shown) in enumerate(zip(counts, listed.shown, strict=True), 1):
+            held = count > 0
+            if n == 1:
+                probability = (count + 1.0) / (tokens + words + 1.0)
+            else:
+                before, after, m = listed.at[n - 2][shown - 1], listed.at[n - 2][shown], prior[n - 2]
+                probability = (count + m * probability[after]) / (counts[n - 2][before] + m)
+            state = np.zeros(len(count), dtype=number)
+            shorter = np.zeros(len(count), dtype=number) if n == 1 else self.state_of[n - 2][listed.at[n - 2][shown]]
+            if n <= self.longest:
                 state[held] = states + np.arange(int(held.sum()))
                 states += int(held.sum())
-                shorter = np.zeros(len(count), dtype=np.int64) if n == 1 else self.state_of[n - 2][listed.at[n - 2][shown]]
                 fails.append(shorter[held])
-                fail_weights.append(np.log10(prior[n - 1] / (count[held] + prior[n - 1])))
+                fail_weight.append(np.log10(prior[n - 1] / (count[held] + prior[n - 1])))
+                length.append(np.full(int(held.sum()), n, dtype=np.int8))
             self.state_of.append(state)
-            if n == 1:
-                arc = np.flatnonzero(known)
-                keys.append(arc.astype(np.int64))
-            else:
-                before, after = listed.at[n - 2][shown - 1], listed.at[n - 2][shown]
-                m = prior[n - 2]
-                probability = (count + m * probability[after]) / (counts[n - 2][before] + m)
-                arc = np.flatnonzero(count > 0)
-                keys.append(self.state_of[n - 2][before[arc]] * self.width + first[shown[arc]])
-            weights.append(np.log10(probability[arc]))
-            # an arc of the longest grams leads to the history without the gram's first token, which is held since the gram is
-            leads.append(state[arc] if n < order else self.state_of[n - 2][listed.at[n - 2][shown[arc]]] if n > 1 else np.zeros(len(arc), dtype=np.int64))
-        key = np.concatenate(keys)
-        turn = np.argsort(key)
-        self.arcs, self.weight, self.leads = key[turn], np.concatenate(weights)[turn], np.concatenate(leads)[turn]
-        self.fails, self.fail_weight = np.concatenate(fails), np.concatenate(fail_weights)
-        self.listed, self.order = listed, order
+            self.has.append(held)
+            self.weight.append(np.log10(probability))
+            # the longest grams lead to the history without their first token, which is held since they are
+            self.leads.append(state if n <= self.longest else shorter)
+        self.fails, self.fail_weight, self.length = np.concatenate(fails), np.concatenate(fail_weight), np.concatenate(length)
 
     def begin(self, places: np.ndarray) -> np.ndarray:
         """The state before the tokens at ``places``: the longest history that ends there and is a state."""
         out = np.zeros(len(places), dtype=np.int64)
-        for n in range(1, self.order):
+        for n in range(1, self.longest + 1):
             at = self.listed.at[n - 1][places - 1]
             state = np.where(at >= 0, self.state_of[n - 1][at], 0)
             out = np.where(state > 0, state, out)
         return out
 
-    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The weight of reading a token in a state, failure arcs included, and the state after it; many at once."""
+    def read(self, state: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of reading the tokens at ``places`` in these states, failure arcs included, and the states after them."""
         weight, after = np.zeros(len(state)), np.zeros(len(state), dtype=np.int64)
         waiting = np.arange(len(state))
-        while len(waiting):
-            key = state * self.width + token
-            at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-            hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(key), dtype=bool)
-            weight[waiting[hit]] += self.weight[at[hit]]
-            after[waiting[hit]] = self.leads[at[hit]]
-            lost = ~hit & (state == 0)
-            weight[waiting[lost]] += self.unknown
-            go = ~hit & (state > 0)
-            waiting, state, token = waiting[go], state[go], token[go]
-            weight[waiting] += self.fail_weight[state]
-            state = self.fails[state]
+        for n in range(self.longest, -1, -1):
+            here = self.length[state] == n  # a failure arc leads to a history one token shorter, so those of n are all there by now
+            arc = self.listed.at[n][places[waiting[here]]]
+            hit = np.zeros(len(waiting), dtype=bool)
+            hit[here] = self.has[n][arc]
+            arc = arc[self.has[n][arc]]
+            weight[waiting[hit]] += self.weight[n][arc]
+            after[waiting[hit]] = self.leads[n][arc]
+            lost = here & ~hit
+            weight[waiting[lost]] += self.fail_weight[state[lost]] if n else self.unknown
+            state = np.where(lost, self.fails[state], state)[~hit]
+            waiting = waiting[~hit]
         return weight, after
 
     def traverse(self) -> np.ndarray:
@@ -339,7 +336,7 @@ class Automaton:
         for step in range(int(sizes[0])):
             lanes = int(np.searchsorted(-sizes, -step, side="left"))
             places = starts[:lanes] + step
-            out[places], state = self.step(state[:lanes], self.token[places])
+            out[places], state = self.read(state[:lanes], places)
         return out
 
 
@@ -348,11 +345,11 @@ class Automaton:
 _SCORE_SCHEMA = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score_rows(frames: Iterator[pd.DataFrame], order: int, prior: tuple, tokens: int, words: int) -> Iterator[pd.DataFrame]:
+def _score_rows(frames: Iterator[pd.DataFrame], order: int, bits: int, prior: tuple, tokens: int, words: int) -> Iterator[pd.DataFrame]:
     for rows in frames:
         for row in rows.itertuples(index=False):
             block = _block(row)
-            listed = block.listed(order)
+            listed = block.listed(order, bits)
             given = sorted(row.answers, key=lambda x: x["part"])
             counts = listed.by_order(np.concatenate([unpack(x["counts"], np.uint64) for x in given]).astype(np.int64))
             first = listed.at[0]
@@ -382,14 +379,15 @@ def scored(docs: DataFrame, train: Column, order: int = ORDER, prior: tuple[floa
     blocks = blocks_of(docs, train)
     sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train_tokens", "n_tokens")]).first()
     tokens = sums["n_train_tokens"]
-    ranges = max(2, -(-sums["n_tokens"] * order // RANGE))
-    answers = answers_of(blocks, order, ranges)
+    grams = max(1, sums["n_tokens"] * order)
+    ranges, bits = max(2, -(-grams // RANGE)), min(62, SPARE + grams.bit_length())
+    answers = answers_of(blocks, order, ranges, bits)
     # the beginning of a document is a gram of order one, but not a word; it is known if anything trains
     words = answers.agg(F.coalesce(F.sum("fresh"), F.lit(0)).alias("v")).first()["v"] - (1 if tokens else 0)
     gathered = answers.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
     joined = blocks.join(gathered, F.expr("block = of"))
     slim = joined.select("ids", "known", "train", "sizes", "words", "codes", "answers")
-    out = slim.mapInPandas(lambda frames: _score_rows(frames, order, prior, tokens, words), _SCORE_SCHEMA)
+    out = slim.mapInPandas(lambda frames: _score_rows(frames, order, bits, prior, tokens, words), _SCORE_SCHEMA)
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

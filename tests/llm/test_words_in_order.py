@@ -181,20 +181,27 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     words = np.arange(100, 108, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     words[7] = 2  # the end
-    sizes = np.full(6, 30)
     codes = rng.integers(0, 7, 180).astype(np.uint32)
     codes[29::30] = 7
-    listed = automaton.Block(words, codes, sizes, np.ones(6, dtype=bool)).listed(3)
-    counts = listed.by_order(listed.counts().astype(np.int64))
-    model = automaton.Automaton(listed, counts, 180, 8)
-    tokens = np.array([c for c in range(model.width) if c not in set(listed.at[0][listed.depth == 0].tolist())])
-    ended = {int(model.state_of[n][i]) for n in (0, 1) for i, at in enumerate(listed.shown[n]) if listed.at[0][at] == listed.at[0][-1]}
-    for state in sorted({*range(len(model.fails))} - ended):
-        weight, _ = model.step(np.full(len(tokens), state), tokens)
-        back, at = 0.0, state
-        while at:
-            back, at = back + model.fail_weight[at], model.fails[at]
-        assert (10**weight).sum() + 10 ** (back + model.unknown) == pytest.approx(1.0)
+    listed = automaton.Block(words, codes, np.full(6, 30), np.ones(6, dtype=bool)).listed(3)
+    model = automaton.Automaton(listed, listed.by_order(listed.counts().astype(np.int64)), 180, 8)
+    first = listed.at[0]
+    begin, end = first[0], first[-1]
+    arcs = defaultdict(dict)  # state -> token -> weight
+    for n in range(3):
+        for gram, place in enumerate(listed.shown[n]):
+            if first[place] != begin and model.has[n][gram]:
+                state = model.state_of[n - 1][listed.at[n - 1][place - 1]] if n else 0
+                arcs[int(state)][int(first[place])] = model.weight[n][gram]
+    ended = {int(model.state_of[n][gram]) for n in (0, 1) for gram, place in enumerate(listed.shown[n]) if first[place] == end}
+    for start in sorted({*range(len(model.fails))} - ended):
+        total = 0.0
+        for token in {*range(len(model.has[0]) + 1)} - {int(begin)}:
+            back, state = 0.0, start
+            while state and token not in arcs[state]:
+                back, state = back + model.fail_weight[state], int(model.fails[state])
+            total += 10 ** (back + arcs[state].get(token, model.unknown))
+        assert total == pytest.approx(1.0)
 
 
 # --- 13 ---------------------------------------------------------------------------------------------------------------
