@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import functions as F
 
-from riskweave.plans import jobs, models, scoring
+from riskweave.plans import jobs, models, questions, scoring
 from riskweave.plans.features import with_accounts
 from riskweave.schemas import FAIRNESS_THRESHOLDS, MODEL_VERSION, PSI_RETRAIN, SEARCH_TRIALS
 from riskweave.session import build_session, materialize
@@ -33,6 +33,12 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("--credit-model", help="bundle of a trained credit model: fills credit_risk_score")
     score.add_argument("--anomaly-model", help="bundle of a trained anomaly model, a part of the credit score")
 
+    ask = jobs_.add_parser("ask", help="ask the stored risk scores; prints one JSON line per row")
+    ask.add_argument("question", choices=questions.QUESTIONS)
+    ask.add_argument("--as-of", required=True)
+    for name, kind in (("hours", int), ("hours-back", int), ("weeks", int), ("limit", int), ("min-score", float), ("max-score", float), ("decision", str)):
+        ask.add_argument(f"--{name}", type=kind)
+
     drift = jobs_.add_parser("drift", help="drift report; exit code 1 on drift")
     drift.add_argument("--as-of", required=True)
     drift.add_argument("--threshold", type=float, default=PSI_RETRAIN)
@@ -111,6 +117,11 @@ def main(argv: list[str] | None = None) -> int:
         payload = jobs.score(warehouse, rows, F.col("created_at"), scorer, version)
         if args.alerts:
             payload.select("value").write.mode("append").text(args.alerts)
+    elif args.job == "ask":
+        names = ("hours", "hours_back", "weeks", "limit", "min_score", "max_score", "decision")
+        options = {n: getattr(args, n) for n in names if getattr(args, n) is not None}
+        for line in questions.ask(warehouse, args.question, args.as_of, **options).toJSON().toLocalIterator():
+            print(line)
     elif args.job == "drift":
         report = jobs.monitor_drift(warehouse, args.as_of, args.threshold)
         report.show(truncate=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.bands import age_group
 from riskweave.operators.quality import split_valid
-from riskweave.plans import explain, governance, scoring, staging
+from riskweave.plans import explain, governance, questions, scoring, staging
 from riskweave.schemas import MODEL_VERSION
 from riskweave.session import materialize
 from riskweave.sinks.warehouse import Warehouse
@@ -23,12 +23,24 @@ def load(warehouse: Warehouse, transactions: DataFrame, accounts: DataFrame, mer
 
 
 def stage(warehouse: Warehouse) -> DataFrame:
-    """Raw to staging; returns the quarantined rows with the rules they break."""
+    """Raw to staging; returns the quarantined rows with the rules they break.
+
+    They are stored too, once each however often the job runs.
+    """
     staged, quarantined = staging.stage(warehouse.read("raw.transactions"))
     warehouse.replace("staging.transactions", staged)
+    _quarantine(warehouse, quarantined)
     return quarantined
 
 
+def _quarantine(warehouse: Warehouse, rejected: DataFrame) -> None:
+    """A rejected row may lack its id, so the digest of what it holds is its key, and the first write stays."""
+    rows = rejected.select(
+        staging.reject_id(rejected).alias("reject_id"), "txn_id", "failed_rules", F.to_json(F.struct(*rejected.columns)).alias("row")
+    )
+    warehouse.insert_new("audit.rejected_transactions", rows, [F.col("reject_id")])
+
+
 def score(
     warehouse: Warehouse,
     transactions: DataFrame,
@@ -42,7 +54,7 @@ def score(
     that break a rule go to the quarantine table with the rules' names.
     """
     valid, rejected = split_valid(transactions)
-    warehouse.append("audit.rejected_transactions", rejected)
+    _quarantine(warehouse, rejected)
     scored = materialize(scorer(valid), "scored")
     # a trained model explains its own scores; without that, the fixed linear model does
     top = scoring.top_attributions(scored if "attributions" in scored.columns else scoring.attributions(scored))
@@ -54,9 +66,7 @@ def score(
 
 def monitor_drift(warehouse: Warehouse, as_of: str, retrain_at: float) -> DataFrame:
     """Compute and record the drift report of one day; reads only its windows."""
-    now = F.lit(as_of).cast("timestamp_ntz")
-    recent = warehouse.read("raw.transactions", since=now - F.expr("INTERVAL 37 DAYS"), until=now)
-    report = governance.drift_reports(governance.in_windows(recent, [as_of]), retrain_at=retrain_at)
+    report = questions.drift(warehouse, as_of, retrain_at)
     warehouse.append("audit.drift_reports", report)
     return report
 

@@ -77,6 +77,11 @@ def stage(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return top_per_key(valid, ["txn_id"], order), bad
 
 
+def reject_id(rows: DataFrame) -> Column:
+    """Digest of a whole row, the same whenever the row comes again; the rules that it breaks are no part of it."""
+    return F.sha2(F.to_json(F.struct(*sorted(c for c in rows.columns if c != "failed_rules")), {"ignoreNullFields": "false"}), 256)
+
+
 def baseline_and_current(
     txns: DataFrame, as_of: Column, baseline_days: int = 30, comparison_days: int = 7
 ) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,8 @@ days they need; this takes the place of time-ordered indexes.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ KEYS = {
     "raw.transactions": ["txn_id"],
     "staging.transactions": ["txn_id"],
     "mart.risk_scores": ["txn_id"],
+    "audit.rejected_transactions": ["reject_id"],
 }
 DAY = "day"
 
@@ -58,6 +61,11 @@ class Warehouse:
             found = found.filter(F.col(DAY) <= F.to_date(until))
         return found.drop(DAY)
 
+    def first_day(self, table: str) -> datetime.date | None:
+        """The first day that a daily table has rows of, from its folders alone."""
+        found = parquet_if_exists(self.spark, self.path(table))
+        return None if found is None else found.agg(F.min(DAY)).first()[0]
+
     def append(self, table: str, df: DataFrame) -> None:
         self._write(table, df, "append")
 

@@ -1,11 +1,13 @@
 """Whole jobs over a warehouse folder, and the command line."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from riskweave import dataset
 from riskweave.__main__ import main
-from riskweave.plans import governance, jobs, risk
+from riskweave.plans import features, governance, jobs, questions, risk
 from riskweave.sinks.warehouse import Warehouse
 
 
@@ -78,3 +80,65 @@ def test_names_and_missing_tables(spark, tmp_path):
     with pytest.raises(LookupError):
         house.read("raw.transactions")
     assert not house.exists("raw.accounts")
+
+
+def test_rejected_rows_are_stored_once(spark, warehouse, tmp_path):
+    """Rows without an id or with a bad amount, however often they come and are staged."""
+    house = Warehouse(spark, str(tmp_path))
+    good = warehouse.read("raw.transactions").limit(5)
+    bad = good.limit(3).withColumn("amount", -F.col("amount")).withColumn("txn_id", F.when(F.col("hour_of_day") >= 0, F.lit(None).cast("string")))
+    house.append("raw.transactions", good.unionByName(bad).unionByName(bad))
+    for _ in range(2):
+        assert jobs.stage(house).count() == 6
+    stored = house.read("audit.rejected_transactions").collect()
+    assert len(stored) == len({r["reject_id"] for r in stored}) == 3
+    assert all({"txn_id_present", "amount_range"} <= set(r["failed_rules"]) and json.loads(r["row"])["amount"] < 0 for r in stored)
+
+
+def rounded_rows(df):
+    return sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in df.collect())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_read_only_their_days(spark, warehouse, sf_dir, capsys):
+    """Every look-back shows as a partition filter, and gives what the whole mart gives."""
+    jobs.stage(warehouse)
+    jobs.score(warehouse, warehouse.read("staging.transactions"), F.col("created_at"))
+    now, mart = dataset.as_of(), warehouse.read("mart.risk_scores")
+    asked = {
+        "summary": (questions.summary(warehouse, now), risk.summary(mart, now)),
+        "trend": (questions.weekly_trend(warehouse, now, 2), risk.weekly_trend(mart, now, 2)),
+        "search": (questions.search(warehouse, now, 48, min_score=40), risk.search(mart, now, 40, 100, None, 48)),
+        "top": (questions.top_riskiest(warehouse, now), risk.top_riskiest(mart, now)),
+        "newest": (questions.newest(warehouse, now, 30), risk.newest(mart.filter(F.col("scored_at") <= now), None, 30)),
+    }
+    for name, (got, want) in asked.items():
+        assert "PartitionFilters: [isnotnull(day" in plan_of(got), name
+        assert rounded_rows(got) == rounded_rows(want), name
+    since = now - F.expr("INTERVAL 2 DAYS")
+    velocity = questions.recent_velocity(warehouse, since)
+    whole = features.trailing_velocity(warehouse.read("raw.transactions")).filter(F.col("created_at") >= since)
+    assert "PartitionFilters: [isnotnull(day" in plan_of(velocity)
+    pick = lambda df: sorted((r["txn_id"], r["txn_velocity_1h"]) for r in df.collect())
+    assert pick(velocity) == pick(whole) != []
+    with pytest.raises(ValueError):
+        questions.ask(warehouse, "weather", dataset.AS_OF)
+    capsys.readouterr()
+    assert main(["--warehouse", warehouse.root, "ask", "search", "--as-of", dataset.AS_OF, "--hours-back", "48", "--min-score", "40", "--limit", "7"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["txn_id"] for x in lines] == [r["txn_id"] for r in asked["search"][1].limit(7).collect()]
+
+
+def test_newest_of_a_short_mart(spark, tmp_path):
+    """The look-back grows until it has enough rows, or the first day is reached."""
+    house = Warehouse(spark, str(tmp_path))
+    rows = [(str(i), f"2024-01-{d:02d} 10:00:00", "FRAUD" if d == 3 else "CLEAR") for i, d in enumerate([3, 3, 20, 30])]
+    mart = spark.createDataFrame(rows, "txn_id string, at string, decision string").selectExpr("txn_id", "decision", "to_timestamp_ntz(at) AS scored_at")
+    house.append("mart.risk_scores", mart)
+    now = dataset.as_of()
+    assert [r["txn_id"] for r in questions.newest(house, now, 2).collect()] == ["3", "2"]
+    assert [r["txn_id"] for r in questions.newest_fraud(house, now, 9).collect()] == ["0", "1"]
+    assert questions.newest(house, F.lit("2023-01-01").cast("timestamp_ntz"), 3).count() == 0
