@@ -1,11 +1,11 @@
 """Personal data by weak supervision.
 
-Candidate spans of four kinds are found in whole texts: the base patterns, and looser ones (spelled-out addresses, phone numbers
-without a plus, long IP addresses, cards in dotted groups). Five labelers vote yes, no or nothing on every candidate: the
+Candidate spans of four kinds are found in whole texts: the base patterns, matches of theirs that narrowly fail a test (a card with a wrong check
+digit, an address with one part too large), and looser ones (spelled-out addresses, phone numbers without a plus, long IP addresses, cards in dotted groups). Five labelers vote yes, no or nothing on every candidate: the
 strict pattern, a checksum or range test, a gazetteer (top-level domains, calling codes, issuer prefixes), the words around it
 and the characters next to it. Expectation-maximisation over the counted vote patterns estimates each labeler's reliability
 per kind, without labels; the posteriors then train a logistic span classifier over votes and shape. Base spans always stay;
-the classifier decides on the others.
+the classifier decides on the others, and takes none that fewer than two independent labelers say yes to or that a context word speaks against.
 
 Spark counts the patterns over all documents. There are at most kinds x 3**labelers x shapes of them (7,776), so the
 counts that the driver fits on, and the accepted patterns that go back to the tasks, are bounded whatever the input. Texts are read
@@ -49,12 +49,11 @@ AGAINST = ("version", "isbn", "order", "invoice", "figure", "table", "section",
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SPELLED = re.compile(
-    r"[A-Za-z0-9._%+-]+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]+)+"
-)
+_AT = re.compile(r"\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]+)+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])")
 _LONG_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _DOTTED_CARD = re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
@@ -87,27 +86,72 @@ def _emails(text: str) -> list[Span]:
     return out
 
 
+def _spelled(text: str) -> list[Span]:
+    """Addresses with (at), [at] or at for the @, from each such mark."""
+    out: list[Span] = []
+    free = 0
+    for mark in _AT.finditer(text):
+        start = mark.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _SPELLED_DOMAIN.match(text, mark.end()) if start < mark.start() else None
+        if domain:
+            out.append((start, domain.end()))
+            free = domain.end()
+    return out
+
+
+def _dotted(text: str) -> Iterator[tuple[Span, list[str]]]:
+    """Four numbers joined by single dots, leftmost first: a longer row of numbers is cut after every fourth."""
+    for row in _DOTTED.finditer(text):
+        numbers = row[0].split(".")
+        at = row.start()
+        for i in range(0, len(numbers) - 3, 4):
+            four = numbers[i : i + 4]
+            size = sum(map(len, four)) + 3
+            yield (at, at + size), four
+            at += size + 1
+
+
+def _byte(number: str) -> bool:
+    digits = number.lstrip("0") or "0"
+    return len(digits) <= 3 and int(digits) <= 255
+
+
 def base_spans(text: str) -> dict[str, list[Span]]:
+    """The spans of the strict patterns that pass their tests, per kind."""
+    return _strict(text)[0]
+
+
+def _strict(text: str) -> tuple[dict[str, list[Span]], list[tuple[str, int, int]]]:
+    """The base spans per kind, and the matches that narrowly fail a test: an address with one wrong part, a card whose check digit is wrong."""
     found: dict[str, list[Span]] = {"email": _emails(text), "ip": [], "card": [], "phone": []}
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-            found["ip"].append(m.span())
+    failed = []
+    for span, numbers in _dotted(text):
+        right = sum(map(_byte, numbers))
+        if right == 4:
+            found["ip"].append(span)
+        elif right == 3 and all(len(n) <= 3 for n in numbers):
+            failed.append(("ip", *span))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
-        if 12 <= len(digits) <= 19 and luhn(digits):
-            found["card"].append(m.span())
+        if 12 <= len(digits) <= 19:
+            if luhn(digits):
+                found["card"].append(m.span())
+            else:
+                failed.append(("card", *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                 found["phone"].append(m.span())
-    return found
+    return found, failed
 
 
-def further_spans(text: str, taken: dict[str, list[Span]]) -> list[tuple[str, int, int]]:
-    """Looser candidates that touch no base span and not each other, first come first."""
-    rough = []
-    if any(x in text for x in ("(at)", "[at]", "(dot)", "[dot]", " dot ")):
-        rough += [("email", *m.span()) for m in _SPELLED.finditer(text)]
+def further_spans(text: str, taken: dict[str, list[Span]], failed: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+    """Looser candidates, and matches that narrowly failed, that touch no base span and not each other, first come first."""
+    rough = list(failed or [])
+    if any(x in text for x in ("(at)", "[at]", " at ")):
+        rough += [("email", *span) for span in _spelled(text)]
     if text.count(":") >= 7:
         rough += [("ip", *m.span()) for m in _LONG_IP.finditer(text)]
     rough += [("card", *m.span()) for m in _DOTTED_CARD.finditer(text)]
@@ -137,8 +181,9 @@ def _votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         check = 2 <= len(last) <= 24
         known = last in DOMAINS or any(p in DOMAINS for p in span.lower().split(".")[1:])
     elif kind == "ip":
-        first = int(span.split(".")[0]) if base else 1
-        check = 0 < first < 240
+        numbers = span.split(".")
+        first = int(numbers[0].lstrip("0")[-4:] or "0") if len(numbers) == 4 else 1
+        check = 0 < first < 240 and (len(numbers) != 4 or all(map(_byte, numbers)))
         known = None if check else False
     elif kind == "card":
         check = luhn(digits) and len(digits) >= 12
@@ -161,9 +206,9 @@ def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in frames:
         spans = []
         for text in rows["text"].fillna("").tolist():
-            base = base_spans(text)
+            base, failed = _strict(text)
             all_spans = [(kind, s, e, True) for kind in KINDS for s, e in base[kind]]
-            all_spans += [(kind, s, e, False) for kind, s, e in further_spans(text, base)]
+            all_spans += [(kind, s, e, False) for kind, s, e in further_spans(text, base, failed)]
             all_spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
             spans.append(
                 [
@@ -183,26 +228,37 @@ def candidates(docs: DataFrame) -> DataFrame:
     return slim.mapInPandas(_found, f"doc_id long, spans {SPANS}")
 
 
-def estimate(patterns: pd.DataFrame, rounds: int = 50) -> tuple[np.ndarray, dict]:
+#: what a labeler's votes (+, -, ?) are taken to be on true and on other spans before any are seen. What is next to a span says little, and words
+#: that speak against it nearly never stand before a true one
+_EXPECTED = {
+    "pattern": ((0.50, 0.10, 0.40), (0.10, 0.50, 0.40)),
+    "check": ((0.70, 0.10, 0.20), (0.35, 0.45, 0.20)),
+    "gazetteer": ((0.50, 0.10, 0.40), (0.15, 0.45, 0.40)),
+    "context": ((0.50, 0.02, 0.48), (0.05, 0.47, 0.48)),
+    "border": ((0.80, 0.10, 0.10), (0.70, 0.20, 0.10)),
+}
+
+
+def estimate(patterns: pd.DataFrame, rounds: int = 50, anchor: float = 0.2) -> tuple[np.ndarray, dict]:
     """Expectation-maximisation for one kind: posterior of each vote pattern, and each labeler's reliability.
 
-    ``patterns``: votes, count. A labeler is two distributions over (+, -, ?), for true and for other spans; both start
-    from a labeler that is right four times in five, and keep one pseudo-vote of that each round.
+    ``patterns``: votes, count. A labeler is two distributions over (+, -, ?), for true and for other spans. Each round keeps pseudo-votes of
+    what is expected, ``anchor`` of all votes and one more: with few patterns the votes alone cannot tell which of the two
+    they are, and would drift to whatever they began with.
     """
     votes = np.array([["+-?".index(v) for v in p] for p in patterns["votes"]])
     count = patterns["count"].to_numpy(float)
-    start = np.array([[0.5, 0.125, 0.375], [0.125, 0.5, 0.375]])
-    rates = np.repeat(start[None], votes.shape[1], axis=0)  # labeler, truth (0: yes), vote
-    prior = 0.5
+    start = np.array([_EXPECTED[name] for name in LABELERS])  # labeler, truth (0: yes), vote
+    rates, prior, pseudo = start.copy(), 0.5, 1 + anchor * count.sum()
     for _ in range(rounds):
         logs = np.log(rates)
         yes = np.log(prior) + sum(logs[j, 0, votes[:, j]] for j in range(votes.shape[1]))
         no = np.log1p(-prior) + sum(logs[j, 1, votes[:, j]] for j in range(votes.shape[1]))
         posterior = 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
-        prior = float(np.clip((posterior @ count + 1) / (count.sum() + 2), 0.01, 0.99))
+        prior = float(np.clip((posterior @ count + pseudo / 2) / (count.sum() + pseudo), 0.01, 0.99))
         for truth, weight in ((0, posterior * count), (1, (1 - posterior) * count)):
             for j in range(votes.shape[1]):
-                rates[j, truth] = np.bincount(votes[:, j], weight, 3) + start[truth]
+                rates[j, truth] = np.bincount(votes[:, j], weight, 3) + pseudo * start[j, truth]
                 rates[j, truth] /= rates[j, truth].sum()
     reliability = {name: float(rates[j, 0, 0] / (rates[j, 0, 0] + rates[j, 1, 0])) for j, name in enumerate(LABELERS)}
     return posterior, reliability
@@ -240,12 +296,17 @@ def classify(patterns: pd.DataFrame, rounds: int = 25) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
 
 
+def _supported(votes: str, least: int = 2) -> bool:
+    """Whether labelers that judge independently of each other (test, gazetteer, context) say yes often enough, and no word speaks against it."""
+    return votes[1:4].count("+") >= least and votes[3] != "-"
+
+
 def accepted_patterns(found: DataFrame, least: float = 0.5) -> set[tuple[str, str, int]]:
-    """The patterns whose spans the trained classifier takes as personal data."""
+    """The patterns whose spans the trained classifier takes as personal data, if more than one labeler does."""
     spans = found.select(F.explode("spans").alias("s"))
     counted = spans.groupBy("s.kind", "s.votes", "s.shape").count()
     patterns = counted.toPandas().sort_values(["kind", "votes", "shape"]).reset_index(drop=True)
-    take = classify(patterns) >= least
+    take = (classify(patterns) >= least) & patterns["votes"].map(_supported).to_numpy(bool)
     return set(patterns[take][["kind", "votes", "shape"]].itertuples(index=False, name=None))
 
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on odd rows, empty tables and the small test tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -314,6 +315,56 @@ def test_further_spans_are_weighed(spark):
     assert all(len(r["spans"]) == (2 if r["doc_id"] < 100 else 0) for r in rows)
 
 
+def brute_base(text):
+    """The four patterns of the contract, by regular expressions."""
+    out = []
+    for kind, pattern in zip(pii.KINDS, (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"), strict=True):
+        for m in re.finditer(pattern, text):
+            parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+            digits = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+            test = {"email": True, "ip": kind == "ip" and all(len(p) < 4 and int(p) < 256 for p in parts), "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}
+            if test[kind]:
+                out.append((m.start(), pii.KINDS.index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    return sorted(out)
+
+
+def test_base_columns_of_the_query(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in pii.op4_pii(spark, sf_dir).collect():
+        want = brute_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(w for *_, w in want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(j == i for _, j, _ in want) for i in range(4)]
+        assert {w for *_, w in want} <= set(r["spans"].split(",")) | {""} if want else True
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice("0123..+- ()a@b255") for _ in range(rng.randrange(60)))
+        got = sorted((s, i, f"{k}:{s}:{e}") for i, k in enumerate(pii.KINDS) for s, e in pii.base_spans(text)[k])
+        assert got == brute_base(text), text
+
+
+def test_long_runs_take_no_square_of_time():
+    import time
+
+    begin = time.time()
+    for text in ("0" * 5000 + "1.1.1.1", "1" * 1_000_000, "a" * 1_000_000 + " dot ", "a at " * 200_000, "1." * 500_000, "+1(" * 300_000, "12 " * 300_000, "a@" * 400_000):
+        base, failed = pii._strict(text)
+        pii.further_spans(text, base, failed)
+    assert time.time() - begin < 40
+    assert pii.base_spans("0" * 5000 + "1.1.1.1")["ip"] == [(0, 5007)]
+
+
+def test_near_misses_need_support(spark):
+    """A card with a wrong check digit, and a national number, count where words say so."""
+    rows = [(1, "my credit card is 4111 1111 1111 1112 thanks"), (2, "sequence 4111 1111 1111 1112 of numbers"), (3, "call my mobile 0301 555 1234 now"), (4, "invoice 0301 555 1234 of the order")]
+    rows += [(10 + i, f"credit card 4111 1111 1111 1111 and phone +1 377 555 0{100 + i}") for i in range(40)]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ["card"] and got[2] == [] and got[3] == ["phone"] and got[4] == []
+
+
 # --- perplexity
 
 
