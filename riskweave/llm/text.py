@@ -74,8 +74,11 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def bare_hash(self) -> np.ndarray:
-        """Hash of each word without ASCII punctuation before and after it; a word of nothing else counts as it is."""
+    def bare_hash(self, stem: int | None = None) -> np.ndarray:
+        """Hash of each word without ASCII punctuation before and after it; a word of nothing else counts as it is.
+
+        ``stem``: of its first so many bytes only.
+        """
         raw = np.frombuffer(self.buffer, dtype=np.uint8)
         start, end = self.start.copy(), self.end.copy()
         edge = np.flatnonzero(_MARK[raw[start]]) if len(start) else np.zeros(0, dtype=np.int64)
@@ -88,6 +91,8 @@ class Words:
             edge = edge[_MARK[raw[end[edge] - 1]] & (start[edge] < end[edge])]
         blank = start >= end
         start[blank], end[blank] = self.start[blank], self.end[blank]
+        if stem is not None:
+            end = np.minimum(end, start + stem)
         return _spans_hash(raw.astype(np.uint64) + np.uint64(1), _BYTE, _BYTE_INVERSE, start, end)
 
     def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
