@@ -4,8 +4,10 @@ A document is its token ids and an end id. Whole windows are cut off first; the
 goes into a block of ``BLOCK`` documents. A block of total t needs m = ceil(t / window) windows. Each rest starts as a partial
 partition of m sums, all but one of them zero; the two partial partitions with the largest spread are merged again and again,
 the largest sums of one on the smallest of the other, until one partition is left, whose m sums are nearly equal. Where a sum
-still exceeds the window, either the cut-off end moves to windows with room (``cut``), or m rises by one and the block is
-differenced anew until all fit. Padding is then less than one window in each block.
+exceeds the window, m rises by one and the block is differenced anew, until all fit. Few large rests cannot be
+balanced, so documents that may be cut (``cut``) go in as equal pieces of at most 1/``PARTS`` of a window, and a tenth of them as pieces of at most
+1/``SMALL``; of every ``FINE``-th document that tenth is halved down to single tokens. Such pieces come last and level the sums to within a token or two, so m rises
+only where the windows would be full to the last token; neighbouring pieces that meet in a window become one again.
 
 Blocks are made from the rows that a task reads, so nothing is shuffled and no task holds more than one block; a lost task
 is made anew from its input. Sequence ids count up within a task's partition, 2**33 for each.
@@ -29,14 +31,15 @@ from pyspark.sql import functions as F
 
 from riskweave.llm.common import documents
 from riskweave.llm.text import batches
-from riskweave.llm.tokens import Encoder
+from riskweave.llm.tokens import shared_encoder
 
 WINDOW = 2048
 BLOCK = 512
+PARTS = 4
+SMALL = 32
+FINE = 4
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_ENCODERS: dict[str, Encoder] = {}
-
 
 def difference(sizes: list[int], ways: int) -> np.ndarray:
     """The way of each item in a partition into ``ways`` of nearly equal sums."""
@@ -70,37 +73,44 @@ def difference(sizes: list[int], ways: int) -> np.ndarray:
     return way[1 : n + 1]
 
 
+def _cut(rest: int, window: int, fine: bool) -> list[int]:
+    """Pieces of a rest: most of it in equal parts, the end in small ones, or in ever smaller ones down to single tokens."""
+    small = max(1, window // SMALL)
+    end = min(rest, max(small, rest // 10))
+    out: list[int] = []
+    for size, most in ((rest - end, max(1, window // PARTS)), (0 if fine else end, small)):
+        count = -(-size // most)
+        out += [size * (k + 1) // count - size * k // count for k in range(count)]
+    while fine and end:
+        out.append(max(1, end // 2))
+        end -= out[-1]
+    return out
+
+
 def pack(sizes: list[int], window: int = WINDOW, cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start, length) that hold every token of the items once."""
     out = [[(i, k, window)] for i, size in enumerate(sizes) for k in range(0, size - window + 1, window)]
-    items = [i for i, size in enumerate(sizes) if size % window]
-    rests = [sizes[i] % window for i in items]
-    ways = -(-sum(rests) // window)
+    pieces = []
+    for i, size in enumerate(sizes):
+        at = size - size % window
+        for length in _cut(size % window, window, i % FINE == 0) if cut else [size % window]:
+            pieces.append((i, at, length))
+            at += length
+    pieces = [p for p in pieces if p[2]]
+    lengths = [length for _, _, length in pieces]
+    ways = -(-sum(lengths) // window)
     while True:
-        way = difference(rests, ways)
-        if cut or not rests or np.bincount(way, rests, ways).max() <= window:
+        way = difference(lengths, ways)
+        if not lengths or np.bincount(way, lengths, ways).max() <= window:
             break
         ways += 1
     filled: list[list[tuple[int, int, int]]] = [[] for _ in range(ways)]
-    room = [window] * ways
-    over: list[tuple[int, int, int]] = []
-    for i, rest, w in zip(items, rests, way.tolist(), strict=True):
-        begin, fits = sizes[i] - rest, min(rest, room[w])
-        if fits:
-            filled[w].append((i, begin, fits))
-            room[w] -= fits
-        if rest > fits:
-            over.append((i, begin + fits, rest - fits))
-    w = 0
-    while over:
-        i, begin, length = over.pop()
-        while not room[w]:
-            w += 1
-        fits = min(length, room[w])
-        filled[w].append((i, begin, fits))
-        room[w] -= fits
-        if length > fits:
-            over.append((i, begin + fits, length - fits))
+    for piece, w in zip(pieces, way.tolist(), strict=True):
+        last = filled[w][-1] if filled[w] else None
+        if last and last[0] == piece[0] and last[1] + last[2] == piece[1]:
+            filled[w][-1] = (last[0], last[1], last[2] + piece[2])
+        else:
+            filled[w].append(piece)
     return out + filled
 
 
@@ -120,7 +130,7 @@ def _packer(path: str, window: int, block: int, cut: bool):
         return frame.astype({"doc_id": "Int64"}), len(windows)
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        encoder = shared_encoder(path)
         base = TaskContext.get().partitionId() << 33
         ids: list = []
         counts: list[np.ndarray] = []

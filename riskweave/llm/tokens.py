@@ -107,3 +107,16 @@ class Encoder:
         counts = np.diff(ends[bounds], prepend=0)
         self.n, self.used = kept, kept_ids  # what belongs to single texts is not remembered
         return out, counts
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def shared_encoder(path: str) -> Encoder:
+    """The worker's encoder of a file: what one task has learnt serves the next ones.
+
+    Called by name from this module; a dictionary that a task's function holds itself would come to every task anew and empty.
+    """
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
