@@ -1,23 +1,34 @@
-"""Trailing-window sums that survive hot keys.
+"""Trailing-window sums and moments that survive hot keys.
 
 A plain ``RANGE BETWEEN span PRECEDING`` window puts every row of a key in one
 task and re-adds the whole frame for each row. Here time is cut into buckets
 and a span is a whole number of them, so the frame of a row at offset ``o`` of
 bucket ``b`` is
 
-    rows of bucket b - n with offset >= o     (halo, a running sum from the end)
+    rows of bucket b - n with offset >= o     (halo, a running total from the end)
   + whole buckets b - n + 1 .. b - 1          (pre-aggregated totals)
-  + rows of bucket b with offset <= o         (own, a running sum from the start)
+  + rows of bucket b with offset <= o         (own, a running total from the start)
 
 Each row is sent to its own bucket and once per span to the bucket that needs
 it as halo. The shuffle key is (key, bucket), so one key spreads over as many
-tasks as it has buckets, and every sum is a running sum: linear, and free of
+tasks as it has buckets, and every total is a running one: linear, and free of
 the cancellation that differences of prefix sums suffer.
+
+The whole buckets of a long span are a trailing frame over bucket totals, and
+are found the same way with wider buckets: hours of the first and of the last
+day, and whole days between. So no frame that slides has more entries than a
+span has days, however many hours that is.
+
+Moments are (n, mean as a whole number and a rest, sum of squared distances
+from the mean, least, most). Rows are taken up one by one and parts merged pairwise, which keeps their
+precision at any magnitude; least and most tell a spread of exactly zero.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +57,87 @@ class Span:
     strict: bool = False
 
 
+# --- what can be added up ---------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Total:
+    """How a measure is totalled: over a group, over a window, and from parts; ``totals`` does so over totals."""
+
+    group: Callable[[Column], Column]
+    over: Callable[[Column, object], Column]
+    merge: Callable[[list[Column]], Column]
+    totals: Total | None = None
+
+
+def _added(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0)) for p in parts])
+
+
+SUM = Total(F.sum, lambda x, window: F.sum(x).over(window), _added)
+
+
+def _moments(x: Column, over: Callable[[Column], Column]) -> Column:
+    # whole numbers add up exactly: the mean is one of them and a small rest, so its distance from an amount is exact at any magnitude
+    n, floors = over(F.count(x)), over(F.sum(F.floor(x).cast("double")))
+    whole = F.floor(floors / n).cast("double")
+    return F.struct(
+        n.cast("double").alias("n"),
+        F.coalesce(whole, F.lit(0.0)).alias("whole"),
+        F.coalesce((floors - whole * n + over(F.sum(x - F.floor(x)))) / n, F.lit(0.0)).alias("rest"),
+        F.coalesce(over(F.var_pop(x)) * n, F.lit(0.0)).alias("squares"),
+        over(F.min(x)).cast("double").alias("least"),
+        over(F.max(x)).cast("double").alias("most"),
+    )
+
+
+_NOTHING = "named_struct('n', 0D, 'whole', 0D, 'rest', 0D, 'squares', 0D, 'least', CAST(NULL AS DOUBLE), 'most', CAST(NULL AS DOUBLE))"
+
+
+def mean_of(moments: Column) -> Column:
+    return F.when(moments["n"] > 0, moments["whole"] + moments["rest"])
+
+
+def from_mean(x: Column, moments: Column) -> Column:
+    """How far a value lies from the mean; null where there is none."""
+    return F.when(moments["n"] > 0, x - moments["whole"] - moments["rest"])
+
+
+def _merged(parts: Column) -> Column:
+    """One set of moments from an array of them."""
+
+    def pair(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], (b["whole"] - a["whole"]) + (b["rest"] - a["rest"])
+        share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+        first = a["n"] > 0
+        return F.struct(
+            n.alias("n"),
+            F.when(first, a["whole"]).otherwise(b["whole"]).alias("whole"),
+            F.when(first, a["rest"] + apart * share).otherwise(b["rest"]).alias("rest"),
+            (a["squares"] + b["squares"] + F.when(first, apart * apart * a["n"] * share).otherwise(0.0)).alias("squares"),
+            F.least(a["least"], b["least"]).alias("least"),
+            F.greatest(a["most"], b["most"]).alias("most"),
+        )
+
+    return F.aggregate(F.array_compact(parts), F.expr(_NOTHING), pair)
+
+
+_OF_MOMENTS = Total(
+    lambda x: _merged(F.sort_array(F.collect_list(x))),
+    lambda x, window: _merged(F.collect_list(x).over(window)),
+    lambda parts: _merged(F.array(*parts)),
+)
+MOMENTS = Total(
+    lambda x: _moments(x, lambda c: c),
+    lambda x, window: _moments(x, lambda c: c.over(window)),
+    lambda parts: _merged(F.array(*parts)),
+    _OF_MOMENTS,
+)
+
+
+# --- frames -----------------------------------------------------------------
+
+
 def trailing_sums(
     df: DataFrame,
     keys: list[str],
@@ -55,85 +147,111 @@ def trailing_sums(
     bucket: int,
 ) -> DataFrame:
     """Add ``<span>_<measure>`` columns; rows at the same instant are peers."""
+    return _trailing(df, keys, ts, {name: (m, SUM) for name, m in measures.items()}, spans, bucket)
+
+
+def trailing_moments(df: DataFrame, keys: list[str], ts: str, measures: dict[str, Column], spans: list[Span], bucket: int) -> DataFrame:
+    """Add ``<span>_<measure>`` structs: n, whole, rest, squares, least, most of the frame's values that are not null; see ``mean_of``."""
+    return _trailing(df, keys, ts, {name: (m, MOMENTS) for name, m in measures.items()}, spans, bucket)
+
+
+def _trailing(df: DataFrame, keys: list[str], ts: str, measures: dict[str, tuple[Column, Total]], spans: list[Span], bucket: int) -> DataFrame:
     for span in spans:
         if span.length % bucket:
             raise ValueError(f"span {span.name} is not a whole number of buckets")
-
     at = micros(ts)
-    offset = F.pmod(at, F.lit(bucket))
     # rows without a time have no frame; spread them so they cannot pile up
     spread = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1024))
     rows = df.select(
         F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
         *[F.col(k).alias(f"_key_{k}") for k in keys],
-        at.isNotNull().alias("_timed"),
-        ((at - offset) / bucket).cast("long").alias("_bucket"),
+        at.alias("_at"),
         spread.alias("_spread"),
-        F.coalesce(offset, F.lit(0)).alias("_offset"),
-        *[F.when(at.isNotNull(), m).alias(f"_m_{name}") for name, m in measures.items()],
+        *[F.when(at.isNotNull(), m).alias(f"_m_{name}") for name, (m, _) in measures.items()],
     )
-    key_cols = [f"_key_{k}" for k in keys]
-    measure_cols = [f"_m_{name}" for name in measures]
-
-    copies = [_copy(_OWN, 0, 0)]
-    copies += [_copy(i, s.length // bucket, int(s.strict)) for i, s in enumerate(spans)]
-    placed = rows.select("*", F.explode(F.array(*copies)).alias("_copy")).select(
-        *key_cols,
-        F.coalesce(F.col("_bucket") + F.col("_copy.shift"), F.col("_spread")).alias("_bucket"),
+    levels = [bucket, DAY] if bucket < DAY and DAY % bucket == 0 else [bucket]
+    out = _framed(rows, [f"_key_{k}" for k in keys], {name: total for name, (_, total) in measures.items()}, spans, levels, 0, ["_row"])
+    timed = F.col("_at").isNotNull()
+    return out.select("_row.*", *[F.when(timed, F.col(f"_s_{s.name}_{m}")).alias(f"{s.name}_{m}") for s in spans for m in s.measures])
+
+
+def _framed(
+    rows: DataFrame, keys: list[str], totals: dict[str, Total], spans: list[Span], levels: list[int], last: int, carried: list[str]
+) -> DataFrame:
+    """``keys``, ``_at``, ``carried`` and ``_s_<span>_<measure>`` of every row.
+
+    A frame ends with the row's own instant, or ``last`` units of its bucket
+    before (0, or -1: only what is earlier). ``levels``: the bucket width, and those of the
+    wider buckets that its totals go into.
+    """
+    bucket = levels[0]
+    at = F.col("_at")
+    offset = F.coalesce(F.pmod(at, F.lit(bucket)), F.lit(0))
+    measured = [f"_m_{name}" for name in totals]
+    copies = [_copy(_OWN, 0, 0), *[_copy(i, s.length // bucket, int(s.strict)) for i, s in enumerate(spans)]]
+    number = ((at - offset) / bucket).cast("long")
+    own = F.col("_copy.kind") == _OWN
+    placed = rows.select("*", number.alias("_bucket"), offset.alias("_offset"), F.explode(F.array(*copies)).alias("_copy")).select(
+        *keys,
+        F.coalesce(F.col("_bucket") + F.col("_copy.shift"), F.col("_spread") if "_spread" in rows.columns else F.col("_bucket")).alias("_bucket"),
         (F.col("_offset") - F.col("_copy.back")).alias("_offset"),
         F.col("_copy.kind").alias("_kind"),
-        *measure_cols,
-        F.when(F.col("_copy.kind") == _OWN, F.col("_row")).alias("_row"),
-        F.when(F.col("_copy.kind") == _OWN, F.col("_timed")).alias("_timed"),
+        *measured,
+        *[F.when(own, F.col(c)).alias(c) for c in ["_at", *carried]],
     )
-
     wide = [s for s in spans if s.length // bucket > 1]
     if wide:
-        totals = (
-            rows.filter("_timed")
-            .groupBy(*key_cols, "_bucket")
-            .agg(*[F.sum(c).alias(c) for c in measure_cols])
-        )
-        by_key = Window.partitionBy(*key_cols).orderBy("_bucket")
+        whole = rows.filter(at.isNotNull()).groupBy(*keys, ((at - F.pmod(at, F.lit(bucket))) / bucket).cast("long").alias("_bucket"))
+        between = _between(whole.agg(*[totals[name].group(F.col(f"_m_{name}")).alias(f"_m_{name}") for name in totals]), keys, totals, wide, levels)
         placed = placed.unionByName(
-            totals.select(
-                *key_cols,
-                "_bucket",
-                F.lit(-1).cast("long").alias("_offset"),
-                F.lit(_TOTAL).alias("_kind"),
-                *[
-                    F.sum(f"_m_{m}").over(by_key.rangeBetween(-(s.length // bucket - 1), -1)).alias(f"_t_{s.name}_{m}")
-                    for s in wide
-                    for m in s.measures
-                ],
+            between.select(
+                *keys, "_bucket", F.lit(-1).cast("long").alias("_offset"), F.lit(_TOTAL).alias("_kind"),
+                *[F.col(f"_s_{s.name}_{m}").alias(f"_t_{s.name}_{m}") for s in wide for m in s.measures],
             ),
             allowMissingColumns=True,
-        )
-
-    in_bucket = Window.partitionBy(*key_cols, "_bucket")
-    forward = in_bucket.orderBy("_offset").rangeBetween(Window.unboundedPreceding, 0)
+        )
+    in_bucket = Window.partitionBy(*keys, "_bucket")
+    forward = in_bucket.orderBy("_offset").rangeBetween(Window.unboundedPreceding, last)
     backward = in_bucket.orderBy(F.desc("_offset")).rangeBetween(Window.unboundedPreceding, 0)
     kind = F.col("_kind")
-    out = placed
-    for i, s in enumerate(spans):
-        for m in s.measures:
-            head = F.when(kind == _OWN, F.col(f"_m_{m}"))
-            if s in wide:
-                head = head.when(kind == _TOTAL, F.col(f"_t_{s.name}_{m}"))
-            out = out.withColumn(f"_f_{s.name}_{m}", F.sum(head).over(forward))
-    for i, s in enumerate(spans):
-        for m in s.measures:
-            out = out.withColumn(f"_b_{s.name}_{m}", F.sum(F.when(kind == i, F.col(f"_m_{m}"))).over(backward))
-
-    results = [
-        F.when(
-            F.col("_timed"),
-            F.coalesce(F.col(f"_f_{s.name}_{m}"), F.lit(0)) + F.coalesce(F.col(f"_b_{s.name}_{m}"), F.lit(0)),
-        ).alias(f"{s.name}_{m}")
-        for s in spans
-        for m in s.measures
+    heads = {m: totals[m].over(F.when(kind == _OWN, F.col(f"_m_{m}")), forward).alias(f"_own_{m}") for m in totals}
+    # the one row with totals stands before all others of its bucket
+    middles = [F.max(F.col(f"_t_{s.name}_{m}")).over(forward).alias(f"_mid_{s.name}_{m}") for s in wide for m in s.measures]
+    out = placed.select("*", *heads.values(), *middles)
+    halos = [
+        totals[m].over(F.when(kind == i, F.col(f"_m_{m}")), backward).alias(f"_halo_{s.name}_{m}") for i, s in enumerate(spans) for m in s.measures
     ]
-    return out.filter(kind == _OWN).select("_row.*", *results)
+    out = out.select("*", *halos).filter(kind == _OWN)
+
+    def frame(s: Span, m: str) -> Column:
+        parts = [F.col(f"_halo_{s.name}_{m}"), *([F.col(f"_mid_{s.name}_{m}")] if s in wide else []), F.col(f"_own_{m}")]
+        return totals[m].merge(parts).alias(f"_s_{s.name}_{m}")
+
+    return out.select(*keys, "_at", *carried, *[frame(s, m) for s in spans for m in s.measures])
+
+
+def _between(whole: DataFrame, keys: list[str], totals: dict[str, Total], spans: list[Span], levels: list[int]) -> DataFrame:
+    """``keys``, ``_bucket`` and, per span, the total of the whole buckets between a bucket and the one a span before it."""
+    bucket, wider = levels[0], levels[1:]
+    above = {name: total.totals or total for name, total in totals.items()}
+    deep = [s for s in spans if wider and s.length % wider[0] == 0]
+    flat = [s for s in spans if s not in deep]
+    by_key = Window.partitionBy(*keys).orderBy("_bucket")
+    out = whole.select(
+        *keys, "_bucket", *[f"_m_{name}" for name in totals],
+        *[
+            above[m].over(F.col(f"_m_{m}"), by_key.rangeBetween(-(s.length // bucket - 1), -1)).alias(f"_s_{s.name}_{m}")
+            for s in flat
+            for m in s.measures
+        ],
+    )
+    if not deep:
+        return out
+    # instants in units of a bucket: what lies strictly between is strict at both ends
+    units = [Span(s.name, s.length // bucket, s.measures, strict=True) for s in deep]
+    carried = [f"_s_{s.name}_{m}" for s in flat for m in s.measures]
+    framed = _framed(out.withColumnRenamed("_bucket", "_at"), keys, above, units, [w // bucket for w in wider], -1, carried)
+    return framed.withColumnRenamed("_at", "_bucket")
 
 
 def _copy(kind: int, shift: int, back: int) -> Column:

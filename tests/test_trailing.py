@@ -1,12 +1,14 @@
 """Trailing sums against brute force, with ties, borders and a hot key."""
 
 import random
+import re
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators.trailing import HOUR, MINUTE, Span, trailing_sums
+from riskweave.operators.trailing import DAY, HOUR, MINUTE, Span, trailing_moments, trailing_sums
 from riskweave.plans import features
 
 START = datetime(2024, 1, 1)
@@ -113,3 +115,44 @@ def test_unknown_accounts_stay(spark):
     accounts = spark.createDataFrame([("a", 10)], "account_id string, age_days int")
     assert features.with_accounts(txns, accounts).count() == 2
     assert features.with_accounts(txns, accounts, "inner").count() == 1
+
+
+def test_zscore_far_from_earlier_amounts(spark):
+    """Amounts around 5 score like any others, whatever the account did long before; so do they at other magnitudes."""
+    old = [(f"o{i}", "a", 1e9, START - timedelta(days=200 - i)) for i in range(20)]
+    recent = [(f"r{i}", "a", 5.0 + 0.002 * i, START + timedelta(hours=i)) for i in range(11)]
+    df = spark.createDataFrame(old + recent, "txn_id string, account_id string, amount double, created_at timestamp_ntz")
+    got = {r["txn_id"]: r for r in features.amount_zscore(df).collect()}
+    values = [a for _, _, a, _ in recent]
+    for i in range(1, 11):
+        mean, deviation = statistics.mean(values[: i + 1]), statistics.stdev(values[: i + 1])
+        assert got[f"r{i}"]["amount_zscore_30d"] == pytest.approx((values[i] - mean) / deviation, rel=1e-6)
+        assert got[f"r{i}"]["amount_mean_30d"] == pytest.approx(mean, rel=1e-12)
+    assert got["r0"]["amount_zscore_30d"] is None and got["o5"]["amount_zscore_30d"] is None
+
+
+def test_moments_against_plain_frames(spark):
+    """n, mean, squares, least and most of every frame, with nulls, ties, hours and days between, and frames without values."""
+    rng = random.Random(11)
+    rows = [(i, rng.choice("ab"), START + timedelta(minutes=rng.choice([0, 0, 1, 60, 61]) + 60 * rng.randrange(24 * 70)), rng.choice([None, 1e6 + rng.random(), 3.0])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, key string, at timestamp_ntz, x double")
+    spans = [Span("s", 30 * DAY, ("x",)), Span("t", 2 * HOUR, ("x",), strict=True), Span("u", 3 * DAY + 5 * HOUR, ("x",)), Span("w", DAY, ("x",))]
+    got = {r["id"]: r for r in trailing_moments(df, ["key"], "at", {"x": F.col("x")}, spans, HOUR).collect()}
+    assert len(got) == len(rows)
+    for i, key, at, _ in rows:
+        for s in spans:
+            width = timedelta(microseconds=s.length)
+            held = [x for _, k, t, x in rows if k == key and x is not None and (at - width < t if s.strict else at - width <= t) and t <= at]
+            m = got[i][f"{s.name}_x"]
+            assert m["n"] == len(held)
+            if held:
+                assert m["whole"] + m["rest"] == pytest.approx(statistics.fmean(held)) and (m["least"], m["most"]) == (min(held), max(held))
+                assert m["squares"] == pytest.approx(statistics.pvariance(held) * len(held), rel=1e-6, abs=1e-6)
+
+
+def test_no_frame_slides_over_hours(spark):
+    """A span of 90 days is found from totals of days; the widest frame that is added up anew has fewer entries than the span has days."""
+    df = spark.createDataFrame([("1", "a", 1.0, START)], "txn_id string, account_id string, amount double, created_at timestamp_ntz")
+    plan = features.amount_vs_trailing_average(df)._jdf.queryExecution().analyzed().toString()
+    frames = [int(n) for n in re.findall(r"RangeFrame, (?:cast\()?-(\d+)", plan, re.I)]
+    assert frames and max(frames) < 90
