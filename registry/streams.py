@@ -14,7 +14,7 @@ from riskweave.plans.scoring import linear_scores
 from riskweave.session import run_dir
 from riskweave.sources.topics import replay
 from riskweave.streaming import features as streams
-from riskweave.streaming import scoring
+from riskweave.streaming import intake, scoring
 from riskweave.streaming.runner import await_all
 
 
@@ -83,7 +83,42 @@ def stream_alerts(spark, path):
     return raw.select(alert.alias("a")).select("a.*")
 
 
+def _broken(spark, path):
+    """The event stream with some amounts turned bad, some accounts lost, and every tenth event delivered twice."""
+    number = F.col("txn_id").cast("bigint")
+    copies = F.when(number % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    stream = _stream(spark, path).withColumns(
+        {
+            "event_id": F.col("txn_id"),
+            "amount": F.when(number % 11 == 0, -F.col("amount")).when(number % 17 == 0, 100000.5).otherwise(F.col("amount")),
+            "account_id": F.when(number % 13 != 0, F.col("account_id")),
+        }
+    )
+    return stream.withColumn("delivery", F.explode(copies)).drop("delivery")
+
+
+def stream_quarantine(spark, path):
+    """Both tables of the intake: valid rows, and rejected ones with the rules that they break."""
+    out = run_dir(spark, "intake")
+    await_all([intake.start_intake(spark, _broken(spark, path), out, f"{out}/checkpoints")])
+    valid, rejected = intake.valid_log(spark, out).current(), intake.rejected_log(spark, out).current()
+    shown = ["txn_id", "account_id", "amount"]
+    return valid.select(*shown, F.lit("").alias("failed")).unionByName(rejected.select(*shown, F.array_join("failed_rules", ",").alias("failed")))
+
+
+def stream_valid_hourly(spark, path):
+    """Hourly features of the valid rows alone."""
+    out, table = run_dir(spark, "valid-hourly"), "features_account_txn_counts"
+    stream = streams.deduplicated(streams.timed(intake.valid_only(_broken(spark, path))), "txn_id")
+    streams.run_features(spark, stream, out, f"{out}/checkpoints", [table])
+    result = streams.feature_table(spark, out, table)
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return averaged(rounded(result.withColumns(times), "total_amount_1h"), "avg_amount_1h")
+
+
 QUERIES = {
+    "stream_quarantine": stream_quarantine,
+    "stream_valid_hourly": stream_valid_hourly,
     "stream_hourly": stream_hourly,
     "stream_velocity": stream_velocity,
     "stream_daily": stream_daily,
@@ -98,7 +133,25 @@ _STILL = SCORED.replace(
     "0",
 )
 
+_BROKEN = (
+    BASE
+    + """,
+broken AS (
+  SELECT txn_id, CASE WHEN CAST(txn_id AS BIGINT) % 13 <> 0 THEN account_id END AS account_id, created_at,
+         CASE WHEN CAST(txn_id AS BIGINT) % 11 = 0 THEN -amount WHEN CAST(txn_id AS BIGINT) % 17 = 0 THEN 100000.5e0 ELSE amount END AS amount
+  FROM base),
+judged AS (
+  SELECT *, concat_ws(',', CASE WHEN account_id IS NULL THEN 'account_id_present' END,
+                      CASE WHEN NOT (amount > 0 AND amount <= 100000) THEN 'amount_range' END) AS failed
+  FROM broken)"""
+)
+
 SQL = {
+    "stream_quarantine": query(_BROKEN, "SELECT txn_id, account_id, amount, failed FROM judged"),
+    "stream_valid_hourly": query(
+        _BROKEN.replace("base AS (", "all_events AS (").replace("FROM base)", "FROM all_events)") + ", base AS (SELECT * FROM judged WHERE failed = '')",
+        feature_queries.HOURLY_SQL,
+    ),
     "stream_hourly": query(BASE, feature_queries.HOURLY_SQL),
     "stream_velocity": query(BASE, feature_queries.VELOCITY_SQL),
     "stream_dedup": query(BASE, feature_queries.HOURLY_SQL),

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from riskweave.plans import jobs, models, questions, scoring
 from riskweave.plans.features import with_accounts
-from riskweave.schemas import FAIRNESS_THRESHOLDS, MODEL_VERSION, PSI_RETRAIN, SEARCH_TRIALS
+from riskweave.plans.staging import parse_payload
+from riskweave.schemas import ALERTS_TOPIC, FAIRNESS_THRESHOLDS, MODEL_VERSION, PSI_RETRAIN, SEARCH_TRIALS
 from riskweave.session import build_session, materialize
+from riskweave.sinks.topics import publish
 from riskweave.sinks.warehouse import Warehouse
-from riskweave.sources.topics import kafka_stream
+from riskweave.sources.topics import json_lines, kafka_stream
 from riskweave.streaming import features as streams
+from riskweave.streaming import scoring as stream_scoring
+from riskweave.streaming.intake import valid_only
+from riskweave.streaming.runner import await_all, await_any
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,12 +62,42 @@ def parser() -> argparse.ArgumentParser:
     train.add_argument("--trials", type=int, help="random search trials (fraud 30, credit 20); 0 fits without a search")
     train.add_argument("--sample", type=int, default=models.SAMPLE, help="rows that a fit and a trial may see")
 
-    stream = jobs_.add_parser("stream-features", help="window features from the topic")
-    stream.add_argument("--bootstrap", required=True)
-    stream.add_argument("--once", action="store_true", help="process what is available, then stop")
+    for name, text in (("stream-features", "window features from the topic"), ("stream-score", "scores, audit and alerts from the topic")):
+        stream = jobs_.add_parser(name, help=text)
+        source = stream.add_mutually_exclusive_group(required=True)
+        source.add_argument("--bootstrap", help="broker of the topic")
+        source.add_argument("--topic-files", help="folder of payloads, one JSON value per line, in place of a broker")
+        stream.add_argument("--once", action="store_true", help="process what is available, then stop")
+        if name == "stream-score":
+            stream.add_argument("--every", default="5 seconds", help="time between batches")
+            for option in ("--model", "--credit-model", "--anomaly-model"):
+                stream.add_argument(option, help="bundle, as for score")
     return root
 
 
+def _topic(spark, args):
+    return kafka_stream(spark, args.bootstrap) if args.bootstrap else json_lines(spark, args.topic_files)
+
+
+def _stream_score(spark, warehouse: Warehouse, args) -> None:
+    """Score the topic; with a broker, alerts go to their topic besides."""
+    scorer, version = _scorer(spark, args)
+    accounts = warehouse.read("raw.accounts") if args.credit_model else None
+    send = (lambda payload: publish(payload, args.bootstrap, ALERTS_TOPIC)) if args.bootstrap else None
+    query = stream_scoring.start_scoring(
+        spark,
+        parse_payload(_topic(spark, args)),
+        f"{args.warehouse}/mart/stream",
+        f"{args.warehouse}/checkpoints",
+        scorer if accounts is None else lambda batch: scorer(with_accounts(batch, accounts)),
+        None if args.once else args.every,
+        version,
+        validate=True,
+        send=send,
+    )
+    await_all([query]) if args.once else await_any(spark, [query])
+
+
 def _scored(warehouse: Warehouse):
     txns = with_accounts(warehouse.read("staging.transactions"), warehouse.read("raw.accounts"))
     return scoring.linear_scores(txns)
@@ -139,9 +174,11 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "train":
         print(json.dumps(_train(warehouse, args)))
     elif args.job == "stream-features":
-        stream = streams.from_topic(kafka_stream(spark, args.bootstrap))
+        stream = valid_only(streams.from_topic(_topic(spark, args)))
         mart = f"{args.warehouse}/mart"
         streams.run_features(spark, stream, mart, f"{args.warehouse}/checkpoints", continuous=not args.once)
+    elif args.job == "stream-score":
+        _stream_score(spark, warehouse, args)
     return 0
 
 
