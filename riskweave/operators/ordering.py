@@ -1,8 +1,9 @@
 """Global order without a global sort in one task.
 
-Rows are put in ordered cells by a monotone cell column. A cell's offset comes
-from the per-cell totals (as many rows as there are cells), and the position
-inside the cell from a window partitioned by cell.
+Rows are cut into ranges of about equal size, sorted inside them, and written
+once with the number of their range and their place in it. What lies in the ranges
+before comes from one total per range, so positions and running sums
+need no row to pass through a single task, however the values crowd.
 """
 
 from __future__ import annotations
@@ -10,57 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.session import materialize
 
-def running_totals(
-    df: DataFrame, cell: Column, order: Column, measures: list[str], descending: bool = False
-) -> DataFrame:
-    """Add ``cum_<measure>``: the sum over this row and all rows ordered before.
+_PLACE_BITS = 33
 
-    ``cell`` must be monotone in ``order`` and take a bounded number of values.
+
+def ranged(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """The rows with ``_range`` and ``_place``, which together number them in order.
+
+    Rows that are equal in ``order`` share a range, so it should tell them apart. The
+    borders come from a sample; written rows keep the range they got.
     """
-    celled = df.withColumn("_cell", cell)
-    side = F.desc if descending else F.asc
-    before = Window.orderBy(side("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        celled.groupBy("_cell")
-        .agg(*[F.sum(m).alias(f"_c_{m}") for m in measures])
-        .select("_cell", *[F.coalesce(F.sum(f"_c_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    )
-    ordering = order.desc() if descending else order.asc()
-    inside = Window.partitionBy("_cell").orderBy(ordering).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = celled.select("*", *[F.sum(m).over(inside).alias(f"_w_{m}") for m in measures])
-    return ranked.join(F.broadcast(offsets), "_cell").select(
-        *df.columns, *[(F.col(f"_w_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures]
+    spark = df.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the number of the partition, and in its lower bits the row's number in it
+    stored = materialize(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    return stored.select(
+        *df.columns, F.shiftright("_id", _PLACE_BITS).alias("_range"), F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("_place")
     )
 
 
-def logit_cell(probability: Column, per_unit: int = 64) -> Column:
-    """Monotone cell of a probability, at most ``40 * per_unit + 1`` of them.
+def _before(rows: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Per range, what all ranges before it add up to; as many rows as there are ranges."""
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.groupBy("_range").agg(*[total.alias(f"_t_{name}") for name, total in totals.items()])
+    return summed.select("_range", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in totals])
 
-    Equal width on the log-odds scale, so scores crowded near 0 or 1 (the usual
-    shape with rare labels) still spread over many cells.
-    """
-    p = F.least(F.greatest(probability, F.lit(1e-9)), F.lit(1 - 1e-9))
-    odds = F.log(p) - F.log1p(-p)
-    return F.floor(F.least(F.greatest(odds, F.lit(-20.0)), F.lit(20.0)) * per_unit)
+
+def running_totals(df: DataFrame, order: Column, measures: list[str], descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """Add ``cum_<measure>``: the sum over this row and all rows ordered before. ``order`` differs from row to row."""
+    rows = ranged(df, [order.desc() if descending else order.asc()], ranges)
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select("*", *[F.sum(m).over(inside).alias(f"_w_{m}") for m in measures])
+    offsets = _before(rows, {m: F.sum(m) for m in measures})
+    return summed.join(F.broadcast(offsets), "_range").select(
+        *df.columns, *[(F.col(f"_w_{m}") + F.col(f"_b_{m}")).alias(f"cum_{m}") for m in measures]
+    )
 
 
-def sorted_codes(values: DataFrame, value: str, by: list[str] | None = None, prefix: int = 2) -> DataFrame:
+def sorted_codes(values: DataFrame, value: str, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Index of each distinct value in the sorted list, per ``by`` group.
 
-    Cells are value prefixes, so the ranking spreads over tasks.
+    Two exchanges for any number of groups and values: one for the distinct values, one for
+    their ranges. Ranges and groups are few, so their offsets are broadcast.
     """
     by = by or []
-    distinct = values.select(*by, value).distinct().withColumn("_cell", F.substring(value, 1, prefix))
-    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        distinct.groupBy(*by, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*by, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = Window.partitionBy(*by, "_cell").orderBy(value)
-    return (
-        distinct.withColumn("_position", F.row_number().over(inside) - 1)
-        .join(offsets, [*by, "_cell"])
-        .select(*by, value, (F.col("_position") + F.col("_before")).cast("int").alias("code"))
-    )
+    rows = ranged(values.select(*by, value).distinct(), [F.col(c) for c in [*by, value]], ranges)
+    placed = rows.join(F.broadcast(_before(rows, {"rows": F.count(F.lit(1))})), "_range").withColumn("_number", F.col("_place") + F.col("_b_rows"))
+    if not by:
+        return placed.select(value, F.col("_number").cast("int").alias("code"))
+    first = placed.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.min("_number").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return placed.join(F.broadcast(first), same).select(*by, value, (F.col("_number") - F.col("_first")).cast("int").alias("code"))

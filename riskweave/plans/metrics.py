@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.ordering import logit_cell, running_totals
+from riskweave.operators.ordering import running_totals
 from riskweave.schemas import CLASS_CUTOFF
 
 
@@ -14,11 +14,11 @@ def binary_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
 
     Rows first collapse to one per distinct score (partial sums before the
     shuffle), so ties are one step of the curve; cumulative counts then use
-    ordered cells instead of one sorted partition.
+    ranges of equal numbers of steps, however close the scores lie.
     """
     y = F.col(label).cast("int")
     steps = df.groupBy(F.col(score).alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    curve = running_totals(steps, logit_cell(F.col("s")), F.col("s"), ["pos", "neg"], descending=True)
+    curve = running_totals(steps, F.col("s"), ["pos", "neg"], descending=True)
     c = F.col
     predicted = c("s") > CLASS_CUTOFF
     sums = curve.agg(

@@ -212,3 +212,43 @@ def test_wide_load(spark):
     assert wide.merge(left, None) is left
     check = wide.load_check(left).first()
     assert (check["total"], check["fraud_count"], check["fraud_rate"]) == (2, 1, 0.5)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_codes_of_large_vocabularies(spark):
+    """Three columns of 30,000 values: no row is moved for a lookup, and codes follow the sorted order of each column."""
+    df = spark.range(90_000).select(*[F.concat(F.lit(p), F.format_string("%05d", (F.col("id") * m) % 30_000)).alias(p) for p, m in (("a", 1), ("b", 7), ("c", 11))])
+    codes = fit_codes(df, ["a", "b", "c"])
+    assert exchanges(codes) <= 3  # of totals per range and per column; the values are written with their ranges
+    coded = apply_codes(df, codes, ["a", "b", "c"], suffix="_code")
+    assert exchanges(coded) == 0
+    wrong = [F.col(f"{c}_code") != F.substring(c, 2, 5).cast("int") for c in "abc"]
+    assert coded.filter(wrong[0] | wrong[1] | wrong[2]).isEmpty()
+    shuffled = apply_codes(df, codes, ["a", "b"], suffix="_code", most=100)
+    assert exchanges(shuffled) >= 2 and shuffled.filter(wrong[0] | wrong[1]).isEmpty()
+
+
+def test_ranges_stay_even(spark):
+    """No range holds much more than its share, whatever the values share: a long prefix, or all but the last digits."""
+    from riskweave.operators.ordering import ranged, running_totals
+
+    crowded = spark.range(20_000).select((F.lit(0.5) + F.col("id") * 1e-11).alias("s"), F.lit(1).alias("one"))
+    same_prefix = spark.range(20_000).select(F.format_string("the same long prefix %06d", F.col("id")).alias("s"))
+    for df in (crowded, same_prefix):
+        sizes = [r["count"] for r in ranged(df, [F.col("s")], 10).groupBy("_range").count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 0.2 * 20_000
+    got = running_totals(crowded, F.col("s"), ["one"], descending=True, ranges=7)
+    assert got.filter(F.round((F.lit(0.5) + 20_000 * 1e-11 - F.col("s")) / 1e-11) != F.col("cum_one")).isEmpty()
+    assert running_totals(crowded.limit(0), F.col("s"), ["one"]).count() == 0
+
+
+def test_metrics_of_crowded_scores(spark):
+    """All scores within 1e-6 of each other."""
+    rng = random.Random(4)
+    pairs = [(0.25 + rng.randrange(500) * 2e-9, rng.random() < 0.4) for _ in range(600)]
+    row = metrics.binary_metrics(spark.createDataFrame(pairs, "s double, y boolean"), "s", "y").first()
+    assert row["roc_auc"] == pytest.approx(ranked_auc(pairs)) and row["n_rows"] == 600
