@@ -402,6 +402,15 @@ def test_probabilities_sum_to_one(spark):
     assert p.sum() == pytest.approx(1.0, abs=1e-6) and p[ord("r")] > 10 * p[ord("z")]
 
 
+def test_labelled_junk_is_rejected(spark):
+    """Of labelled junk that passes the base rules nearly all is rejected, of good documents hardly any."""
+    path = "/root/testdata/sf0.1"
+    judged = perplexity.judged(spark.read.parquet(f"{path}/documents.parquet")).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
+    rows = judged.where("NOT base_failed").select("quality", "kept").collect()
+    junk, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(junk) > 200 and sum(junk) <= 0.05 * len(junk) and sum(good) >= 0.995 * len(good)
+
+
 # --- packing
 
 
