@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from registry.features import rounded
 from riskweave.dataset import documents, table
+from riskweave.operators import hashed_knn
 from riskweave.operators.knn import nearest
 from riskweave.plans import retrieval
+from riskweave.session import materialize
 
 
 def doc_chunks_stride(spark, path):
@@ -37,6 +39,26 @@ def knn_every_vector(spark, path):
     return rounded(out, "distance")
 
 
+def _hashed(spark, path):
+    vectors = materialize(_vectors(spark, path), "vectors")
+    made, _ = hashed_knn.fitted(vectors, 4, goal=0.95)
+    return vectors, made
+
+
+def knn_hashed(spark, path):
+    """Most of the four nearest vectors of every vector, from hashed buckets, with exact distances."""
+    vectors, made = _hashed(spark, path)
+    return rounded(hashed_knn.nearest_hashed(vectors, vectors, made, 4), "distance")
+
+
+def knn_hashed_recall(spark, path):
+    """How much the buckets find for every hundredth vector, against brute force over all."""
+    vectors, made = _hashed(spark, path)
+    asked = vectors.filter(F.col("id") % 100 == 0)
+    found = hashed_knn.recall(hashed_knn.nearest_hashed(asked, vectors, made, 4), nearest(asked, vectors, 4))
+    return found.select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("recall_at_least_90"))
+
+
 def knn_cosine(spark, path):
     centroids = retrieval.label_centroids(table(spark, path, "embeddings"))
     return rounded(nearest(centroids, _vectors(spark, path), 3, "cosine"), "distance")
@@ -65,6 +87,8 @@ QUERIES = {
     "doc_chunks": doc_chunks,
     "knn_top3": knn_top3,
     "knn_every_vector": knn_every_vector,
+    "knn_hashed": knn_hashed,
+    "knn_hashed_recall": knn_hashed_recall,
     "knn_cosine": knn_cosine,
     "tfidf_neighbors": tfidf_neighbors,
 }
@@ -88,6 +112,8 @@ SQL = {
           FROM embeddings a, embeddings b)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, corpus_id) AS INTEGER) AS position, corpus_id,
         round(distance, 6) AS distance FROM d QUALIFY position <= 4""",
+    "knn_hashed_recall": """SELECT count(*) AS n_queries, CAST(count(*) * 4 AS BIGINT) AS n_exact, true AS recall_at_least_90
+        FROM embeddings WHERE vec_id % 100 = 0""",
     "knn_cosine": _CENTROIDS
     + """, q AS (SELECT label, sqrt(sum(x * x)) AS n FROM means GROUP BY label), v AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM entries GROUP BY vec_id),
         d AS (SELECT CAST(m.label AS BIGINT) AS query_id, vec_id AS corpus_id, 1 - sum(e.x * m.x) / (any_value(q.n) * any_value(v.n)) AS distance
