@@ -75,6 +75,10 @@ def counterfactuals(spark, path):
     return explain.counterfactuals(dataset.scored(spark, path))
 
 
+def counterfactual_details(spark, path):
+    return explain.counterfactual_details(dataset.scored(spark, path))
+
+
 def _credit_rows(spark, path):
     return dataset.transactions(spark, path).withColumn("account_age_days", F.col("age_days"))
 
@@ -227,6 +231,7 @@ QUERIES = {
     "binary_metrics": binary_metrics,
     "whatif_delta": whatif_delta,
     "counterfactuals": counterfactuals,
+    "counterfactual_details": counterfactual_details,
     "credit_target": credit_target,
     "credit_index": credit_index,
     "regression_metrics": regression_metrics,
@@ -368,6 +373,16 @@ SQL = {
         round((p1 - p0) * 100, 4) AS score_delta FROM ({_scenario_sql()})""",
     ),
     "counterfactuals": f"WITH {_counterfactual_sql()}",
+    "counterfactual_details": f"""WITH {_counterfactual_sql().replace("SELECT txn_id, position, round(p * 100, 2)", ", found AS (SELECT txn_id, position, round(p * 100, 2)", 1)}),
+        parts AS (SELECT *, unnest(string_split(changes, '; ')) AS part, CAST(unnest(range(1, len(string_split(changes, '; ')) + 1)) AS INTEGER) AS change FROM found),
+        named AS (SELECT *, split_part(part, '=', 1) AS feature, split_part(part, '=', 2) AS v FROM parts)
+        SELECT txn_id, CAST(position AS INTEGER) AS position, change, feature,
+          CASE feature WHEN 'amount' THEN s.amount WHEN 'txn_velocity_1h' THEN CAST(s.txn_velocity_1h AS DOUBLE)
+                       WHEN 'is_foreign_merchant' THEN CAST(CAST(s.is_foreign_merchant AS INTEGER) AS DOUBLE) END AS old_value,
+          CASE WHEN feature <> 'merchant_category' THEN CAST(v AS DOUBLE) END AS new_value,
+          CASE WHEN feature = 'merchant_category' THEN s.merchant_category END AS old_category,
+          CASE WHEN feature = 'merchant_category' THEN v END AS new_category, original_risk_score, target_risk_score, feasibility
+        FROM named JOIN scored s USING (txn_id)""",
     "credit_target": query(TXN, f"SELECT txn_id, round(least(greatest({_TRUTH}, 0e0), 1e0), 6) AS credit_risk_target FROM txn"),
     "credit_index": query(
         SCORED,

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from registry.features import rounded
 from registry.sqlbase import query
 from riskweave import dataset
-from riskweave.plans import wide
+from riskweave.operators.boosting import Settings
+from riskweave.plans import jobs, models, wide
 from riskweave.session import materialize, run_dir
+from riskweave.sinks.warehouse import Warehouse
 from riskweave.sources.files import csv_wanted
 
 
@@ -73,7 +75,29 @@ def csv_scan(spark, path):
     return csv_wanted(spark, out, wanted)
 
 
+def wide_load_job(spark, path):
+    """The table that the load job leaves after loading everything twice."""
+    warehouse = Warehouse(spark, run_dir(spark, "wide-house"))
+    for _ in range(2):
+        report = jobs.load_wide(warehouse, dataset.wide_left(spark, path), dataset.wide_right(spark, path), "OrderID")
+    return rounded(report, "fraud_rate")
+
+
+def wide_model_roundtrip(spark, path):
+    """A model trained on the packed table, which scores every row alike before and after it was saved and loaded."""
+    packed = materialize(wide.pack(wide.drop_near_constant(_clean(spark, path))), "packed")
+    bundle = models.train_wide(packed, Settings(n_estimators=200, max_depth=5, learning_rate=0.1, scale_pos_weight=5.0))
+    folder = run_dir(spark, "bundle-wide")
+    models.save(bundle, folder)
+    names = ["raw_probability", "decision"]
+    before = models.wide_scores(packed, bundle).select(*packed.columns, F.struct(*names).alias("before"))
+    after = models.wide_scores(before, models.load(spark, folder))
+    return after.select("TransactionID", *[F.col(f"before.{c}").eqNullSafe(F.col(c)).alias(f"same_{c}") for c in names])
+
+
 QUERIES = {
+    "wide_load_job": wide_load_job,
+    "wide_model_roundtrip": wide_model_roundtrip,
     "identity_join": identity_join,
     "etl_engineered": etl_engineered,
     "etl_encoded": etl_encoded,
@@ -125,6 +149,13 @@ _NUMERIC = (
 _VARIANCES = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", var_samp(CAST(\"{c}\" AS DOUBLE)) AS v FROM cln" for c in _NUMERIC)
 
 SQL = {
+    "wide_model_roundtrip": query(_WIDE, 'SELECT "TransactionID", true AS same_raw_probability, true AS same_decision FROM lft'),
+    # one row per id, the first one written
+    "wide_load_job": query(
+        _WIDE,
+        """SELECT count(*) AS total, CAST(sum(y) AS BIGINT) AS fraud_count, round(sum(y) / CAST(count(*) AS DOUBLE), 6) AS fraud_rate
+        FROM (SELECT arg_min("isFraud", "TransactionDT") AS y FROM lft GROUP BY "TransactionID")""",
+    ),
     "identity_join": query(_WIDE, 'SELECT "TransactionID", "R_emaildomain", "DeviceType", id_01 FROM merged'),
     "etl_engineered": query(
         _WIDE,

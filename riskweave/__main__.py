@@ -30,6 +30,10 @@ def parser() -> argparse.ArgumentParser:
     load = jobs_.add_parser("load", help="insert raw tables from Parquet")
     for name in ("transactions", "accounts", "merchants"):
         load.add_argument(f"--{name}", required=True)
+    wide = jobs_.add_parser("load-wide", help="merge, encode and pack the wide files, insert new rows, and report the table")
+    wide.add_argument("--transactions", required=True, help="CSV with a header")
+    wide.add_argument("--identity", help="CSV with a header, joined by --key")
+    wide.add_argument("--key", default="TransactionID")
     jobs_.add_parser("stage", help="clean raw transactions")
 
     score = jobs_.add_parser("score", help="score staged transactions")
@@ -57,7 +61,7 @@ def parser() -> argparse.ArgumentParser:
         gate.add_argument(f"--threshold-{metric.removesuffix('_difference').replace('_', '-')}", type=float, default=value)
 
     train = jobs_.add_parser("train", help="train a model and save it")
-    train.add_argument("model", choices=["fraud", "credit", "anomaly"])
+    train.add_argument("model", choices=["fraud", "credit", "anomaly", "wide"])
     train.add_argument("--out", required=True, help="new folder for the bundle")
     train.add_argument("--trials", type=int, help="random search trials (fraud 30, credit 20); 0 fits without a search")
     train.add_argument("--sample", type=int, default=models.SAMPLE, help="rows that a fit and a trial may see")
@@ -105,6 +109,11 @@ def _scored(warehouse: Warehouse):
 
 def _train(warehouse: Warehouse, args) -> dict:
     """Fit, save the bundle, and return what its ``about`` says."""
+    if args.model == "wide":
+        trials = SEARCH_TRIALS["wide"] if args.trials is None else args.trials
+        bundle = models.train_wide(warehouse.read("raw.wide_transactions"), trials=trials, sample=args.sample)
+        models.save(bundle, args.out)
+        return bundle.about
     txns = warehouse.read("staging.transactions")
     if args.model == "anomaly":
         bundle = models.train_forest(materialize(txns, "train"))
@@ -142,6 +151,10 @@ def main(argv: list[str] | None = None) -> int:
     warehouse = Warehouse(spark, args.warehouse)
     if args.job == "load":
         jobs.load(warehouse, *[spark.read.parquet(getattr(args, n)) for n in ("transactions", "accounts", "merchants")])
+    elif args.job == "load-wide":
+        read = lambda path: spark.read.csv(path, header=True, inferSchema=True)
+        report = jobs.load_wide(warehouse, read(args.transactions), read(args.identity) if args.identity else None, args.key)
+        print(json.dumps(report.first().asDict()))
     elif args.job == "stage":
         jobs.stage(warehouse).groupBy("failed_rules").count().show(truncate=False)
     elif args.job == "score":

@@ -80,7 +80,7 @@ def _axis(values: str, delta: str, weight: float, distance: str, label: str, app
 
 
 def counterfactuals(
-    scored: DataFrame, model: LinearModel = FIXED_MODEL, grid: dict | None = None, k: int = 3
+    scored: DataFrame, model: LinearModel = FIXED_MODEL, grid: dict | None = None, k: int = 3, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Smallest changes that turn a flagged row (class 1) into class 0.
 
@@ -89,7 +89,7 @@ def counterfactuals(
     are built, scored, filtered and ranked without a join or a shuffle. Ranked
     by number of changes, then distance, then grid order; candidates with more
     changes are only built for rows that fewer changes leave short of ``k``. A
-    row with no solution gets the fixed fallback.
+    row with no solution gets the fixed fallback. ``keep``: columns to carry along.
     """
     grid = grid or SEARCH_GRID
     c, w = F.col, model.weights
@@ -156,8 +156,9 @@ def counterfactuals(
     )
     best = F.when(F.size("_best") > 0, c("_best")).otherwise(F.array(fallback))
     target = F.when(c("b.effect").isNotNull(), F.round(sigmoid(c("_z") + c("b.effect")) * 100, 2)).otherwise(35.0)
-    return found.select("txn_id", "raw_probability", "_z", F.posexplode(best).alias("pos", "b")).select(
+    return found.select("txn_id", *keep, "raw_probability", "_z", F.posexplode(best).alias("pos", "b")).select(
         "txn_id",
+        *keep,
         (c("pos") + 1).alias("position"),
         F.round(c("raw_probability") * 100, 2).alias("original_risk_score"),
         target.alias("target_risk_score"),
@@ -166,3 +167,26 @@ def counterfactuals(
         F.when(c("b.n_changes") <= 2, "actionable").otherwise("requires_multiple_changes").alias("feasibility"),
         c("b.effect").isNull().alias("is_fallback"),
     )
+
+
+def counterfactual_details(scored: DataFrame, model: LinearModel = FIXED_MODEL, grid: dict | None = None, k: int = 3) -> DataFrame:
+    """A row per change of every counterfactual: what the feature is, what it would have to be, and the score that this leads to.
+
+    A category stands in ``old_category`` and ``new_category``, any other feature in ``old_value`` and ``new_value``.
+    """
+    names = ("amount", "txn_velocity_1h", "is_foreign_merchant", "merchant_category")
+    found = counterfactuals(scored, model, grid, k, keep=names)
+    each = found.select("*", F.posexplode(F.split("changes", "; ")).alias("_at", "_change")).select(
+        "*", F.substring_index("_change", "=", 1).alias("feature"), F.substring_index("_change", "=", -1).alias("_new")
+    )
+    category = F.col("feature") == "merchant_category"
+    old = F.lit(None).cast("double")
+    for name in names[:3]:
+        number = F.col(name).cast("int") if name == "is_foreign_merchant" else F.col(name)
+        old = F.when(F.col("feature") == name, number.cast("double")).otherwise(old)
+    return each.select(
+        "txn_id", "position", (F.col("_at") + 1).alias("change"), "feature",
+        old.alias("old_value"), F.when(~category, F.col("_new").cast("double")).alias("new_value"),
+        F.when(category, F.col("merchant_category")).alias("old_category"), F.when(category, F.col("_new")).alias("new_category"),
+        "original_risk_score", "target_risk_score", "feasibility",
+    )

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.bands import age_group
+from riskweave.operators.encode import apply_codes, fit_codes
 from riskweave.operators.quality import split_valid
-from riskweave.plans import explain, governance, questions, scoring, staging
+from riskweave.plans import explain, governance, questions, scoring, staging, wide
 from riskweave.schemas import MODEL_VERSION
 from riskweave.session import materialize
 from riskweave.sinks.warehouse import Warehouse
@@ -22,6 +23,29 @@ def load(warehouse: Warehouse, transactions: DataFrame, accounts: DataFrame, mer
     warehouse.insert_new("raw.transactions", transactions, [F.col("created_at")])
 
 
+def load_wide(warehouse: Warehouse, transactions: DataFrame, identity: DataFrame | None = None, key: str = "TransactionID") -> DataFrame:
+    """Merge, engineer, encode, prune and pack the wide files, insert the rows that are new, and report what the table then holds.
+
+    ``key`` joins the two files. The label codes that the text columns got are kept beside the table, from its first load on: later
+    loads are coded alike.
+    """
+    merged = wide.engineer(wide.merge(transactions, identity, key))
+    merged = materialize(merged if key == "TransactionID" else merged.drop(key), "wide")
+    text = wide.text_columns(merged)
+    if not warehouse.exists("raw.wide_codes"):
+        warehouse.append("raw.wide_codes", fit_codes(merged, text))
+    clean = wide.fill_sentinel(apply_codes(merged, warehouse.read("raw.wide_codes"), text))
+    # columns that say nothing are left out by the first load; what it packed, later loads pack
+    if warehouse.exists("raw.wide_transactions"):
+        known = warehouse.read("raw.wide_transactions")
+        kept = {*known.columns, *wide.packed_keys(known)}
+        clean = clean.select(*[c for c in clean.columns if c in kept])
+    else:
+        clean = wide.drop_near_constant(clean)
+    warehouse.insert_new("raw.wide_transactions", wide.pack(clean), [F.col("TransactionDT") if "TransactionDT" in clean.columns else F.col("TransactionID")])
+    return wide.load_check(warehouse.read("raw.wide_transactions"))
+
+
 def stage(warehouse: Warehouse) -> DataFrame:
     """Raw to staging; returns the quarantined rows with the rules they break.
 

@@ -3,7 +3,7 @@
 A bundle is a folder with everything that a score depends on, so that a scorer rebuilt from it gives the same scores:
 
     model/   trees of a boosted model, or nodes of a forest, as a table
-    codes/   label codes of the category (boosted models)
+    codes/   label codes of the category (fraud and credit models)
     about/   one line of JSON: kind, version, ordered features, defaults, cut-offs, means, scales, offset, settings, metrics
 
 ``about`` is written last; a folder without it is no bundle. Tables of any size are scored, fits see a bounded sample (``SAMPLE`` rows) of the
@@ -26,7 +26,7 @@ from riskweave.operators import boosting
 from riskweave.operators.boosting import Ensemble, Settings
 from riskweave.operators.encode import apply_codes, fit_codes
 from riskweave.operators.forest import Forest
-from riskweave.plans import anomaly, credit, scoring, staging
+from riskweave.plans import anomaly, credit, scoring, staging, wide
 from riskweave.plans.training import CATEGORY
 from riskweave.schemas import (
     ANOMALY_DEFAULTS,
@@ -42,6 +42,8 @@ from riskweave.schemas import (
     REVIEW_CUTOFF,
     SEARCH_SPACES,
     SEARCH_TRIALS,
+    SENTINEL,
+    WIDE_FEATURES,
 )
 from riskweave.session import materialize
 from riskweave.sources.files import parquet_if_exists
@@ -160,6 +162,32 @@ def _forest_about(model: Forest) -> dict:
     }
 
 
+def wide_rows(packed: DataFrame, features: list[str]) -> DataFrame:
+    """The packed table with ``features`` as numbers; what a row or the table lacks is the sentinel."""
+    blob = [f for f in features if f not in packed.columns]
+    opened = wide.unpack(packed, blob) if blob else packed
+    return opened.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(float(SENTINEL))) for f in features})
+
+
+def train_wide(packed: DataFrame, settings: Settings | None = None, trials: int = 0, sample: int = SAMPLE, version: str = MODEL_VERSION, key: str = "TransactionID") -> Bundle:
+    """Fit a fraud model on the packed wide table: the columns of its own that it has, and all that its blobs hold."""
+    features = [*[f for f in WIDE_FEATURES if f in packed.columns], *wide.packed_keys(packed)]
+    rows = wide_rows(packed, features).select(key, "isFraud", *features).withColumn("label", F.col("isFraud").cast("double"))
+    draw = uniform01(F.concat_ws("|", F.col("isFraud").cast("string"), F.col(key).cast("string")), "split")
+    split = materialize(staging.split_by_hash(rows, draw), "train-wide")
+    found = []
+    if trials:
+        known, other = (boosting.sample_rows(split.where(f"split = '{part}'"), key, features, "label", sample) for part in ("train", "validation"))
+        found = boosting.search(known, other, split.sparkSession, features, True, draw_trials("wide", trials))
+    settings = Settings(**found[0]["settings"]) if found else settings or Settings()
+    model = boosting.fit_on(split.where("split <> 'test'"), key, features, "label", True, settings, sample)
+    about = {
+        "kind": "wide", "version": version, "features": features, "defaults": {f: SENTINEL for f in features}, "cutoffs": _CUTOFFS,
+        "settings": model.settings, "sample": sample, "trials": [{"trial": t["trial"], "score": t["score"]} for t in found],
+    }
+    return Bundle("wide", model, None, about)
+
+
 # --- bundles ----------------------------------------------------------------------------------------------------------
 
 
@@ -172,7 +200,8 @@ def save(bundle: Bundle, path: str) -> None:
         parts = spark.createDataFrame(rows, _FOREST)
     else:
         parts = boosting.parts_table(spark, bundle.model)
-        bundle.codes.write.mode("error").parquet(f"{path}/codes")
+        if bundle.codes is not None:
+            bundle.codes.write.mode("error").parquet(f"{path}/codes")
     parts.coalesce(1).write.mode("error").parquet(f"{path}/model")
     text = json.dumps({"format": FORMAT, **bundle.about})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("error").text(f"{path}/about")
@@ -188,7 +217,8 @@ def load(spark: SparkSession, path: str) -> Bundle:
     if about.pop("format") != FORMAT:
         raise ValueError(f"the bundle at {path} is of another format")
     kind = about["kind"]
-    expected = ANOMALY_FEATURES if kind == "anomaly" else _KINDS[kind][0]
+    # a wide model has the features that its table had
+    expected = {"anomaly": ANOMALY_FEATURES, "wide": about["features"]}.get(kind) or _KINDS[kind][0]
     if about["features"] != expected:
         raise ValueError(f"the bundle at {path} was fitted for other features: {about['features']}")
     if kind == "anomaly":
@@ -201,8 +231,8 @@ def load(spark: SparkSession, path: str) -> Bundle:
         return Bundle(kind, model, None, about)
     if about["cutoffs"] != _CUTOFFS:
         raise ValueError(f"the bundle at {path} was fitted for other cut-offs: {about['cutoffs']}")
-    model = boosting.from_parts(parts, about["features"], kind == "fraud", about["settings"])
-    return Bundle(kind, model, spark.read.parquet(f"{path}/codes"), about)
+    model = boosting.from_parts(parts, about["features"], kind != "credit", about["settings"])
+    return Bundle(kind, model, None if kind == "wide" else spark.read.parquet(f"{path}/codes"), about)
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------------
@@ -233,6 +263,17 @@ def fraud_scores(df: DataFrame, bundle: Bundle, explain: bool = False) -> DataFr
     return _beside(df, [*added, *(["attributions"] if explain else [])], score)
 
 
+def wide_scores(packed: DataFrame, bundle: Bundle) -> DataFrame:
+    """Probability, score and decision of every row of the packed wide table."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        inputs = {f: F.col(f) for f in bundle.model.features}
+        margins = boosting.with_margin(wide_rows(rows, bundle.model.features), bundle.model, inputs, "_margin")
+        return scoring.with_decision(margins.withColumn("raw_probability", scoring.sigmoid(F.col("_margin"))), "raw_probability")
+
+    return _beside(packed, ["raw_probability", "fraud_probability", "fraud_risk_score", "decision", "predicted_fraud"], score)
+
+
 def anomaly_scores(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Raw score, 0-1 score, flag and share of the blend of every row."""
     return _beside(df, ["anomaly_raw", "is_anomaly", "anomaly_score", "anomaly_contribution"], lambda rows: anomaly.score(rows, bundle.model))

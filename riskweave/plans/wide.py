@@ -127,6 +127,12 @@ def unpack(packed: DataFrame, features: list[str], fill: bool = True) -> DataFra
     return opened.withColumns(values).drop("_blob", "features_json")
 
 
+def packed_keys(packed: DataFrame) -> list[str]:
+    """The names in the blobs of all rows; as many as the table had columns."""
+    names = packed.select(F.explode(F.json_object_keys("features_json")).alias("name")).distinct()
+    return sorted(r["name"] for r in names.collect())
+
+
 def available(df: DataFrame, wanted: list[str]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 

@@ -135,7 +135,20 @@ SEARCH_SPACES = {
         "reg_alpha": (1e-8, 1.0, "log"),
     },
 }
-SEARCH_TRIALS = {"fraud": 30, "credit": 20}
+SEARCH_SPACES["wide"] = {**SEARCH_SPACES["fraud"], "scale_pos_weight": (5.0, 30.0, "uniform")}
+SEARCH_TRIALS = {"fraud": 30, "credit": 20, "wide": 30}
+# features of the wide table that have columns of their own; the packed ones come after them
+WIDE_FEATURES = [
+    "TransactionAmt",
+    "log_amount",
+    "hour_of_day",
+    "day_of_week",
+    "email_match",
+    "is_credit",
+    "addr1",
+    "addr2",
+    "dist1",
+]
 
 FRAUD_DEFAULTS = {
     "amount": 0.0,

@@ -31,6 +31,7 @@ KEYS = {
     "staging.transactions": ["txn_id"],
     "mart.risk_scores": ["txn_id"],
     "audit.rejected_transactions": ["reject_id"],
+    "raw.wide_transactions": ["TransactionID"],
 }
 DAY = "day"
 

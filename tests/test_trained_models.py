@@ -187,3 +187,54 @@ def test_commands_train_and_score(spark, sf_dir, tmp_path, capsys):
     assert got and all(r["credit_risk_score"] is not None and r["fraud_probability"] == want[r["txn_id"]] for r in got)
     explained = json.loads(house.read("audit.explanations").first()["top_features"])
     assert len(explained) == 5 and all(f["direction"] in ("increases_risk", "decreases_risk") for f in explained)
+
+
+def wide_files(spark, folder, first, last):
+    """Two CSV files with a column that says nothing, one with gaps, and a label that follows the amount."""
+    rows = [(i, int(i % 10 > 6), 3600 * i, 10.0 * (i % 10) + 1, ["W", "C", "H"][i % 3], "credit" if i % 2 else None, None if i % 4 else 7.0, 1.0) for i in range(first, last)]
+    names = "TransactionID long, isFraud int, TransactionDT long, TransactionAmt double, ProductCD string, card6 string, dist1 double, V1 double"
+    spark.createDataFrame(rows, names).coalesce(1).write.csv(f"{folder}/transactions", header=True)
+    spark.createDataFrame([(i, float(i % 5)) for i in range(first, last, 2)], "TransactionID long, id_01 double").coalesce(1).write.csv(f"{folder}/identity", header=True)
+    return ["--transactions", f"{folder}/transactions", "--identity", f"{folder}/identity"]
+
+
+def test_wide_load_and_model(spark, tmp_path, capsys):
+    """The load inserts each row once, later loads keep codes and columns of the first; the model scores them and loads back."""
+    house = Warehouse(spark, f"{tmp_path}/house")
+    at = ["--warehouse", house.root]
+    one, two = (wide_files(spark, f"{tmp_path}/{i}", a, b) for i, (a, b) in enumerate([(0, 400), (200, 600)]))
+    for files, total in ((one, 400), (one, 400), (two, 600)):
+        capsys.readouterr()
+        assert main([*at, "load-wide", *files]) == 0
+        report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+        assert report["total"] == total and report["fraud_count"] == 0.3 * total
+    table = house.read("raw.wide_transactions")
+    assert "V1" not in models.wide.packed_keys(table) and table.filter("ProductCD NOT BETWEEN 0 AND 2").isEmpty()
+    assert main([*at, "train", "wide", "--out", f"{tmp_path}/model", "--trials", "0", "--sample", "300"]) == 0
+    bundle = models.load(spark, f"{tmp_path}/model")
+    assert bundle.about["features"][0] == "TransactionAmt" and "id_01" in bundle.about["features"]
+    scored = models.wide_scores(table, bundle)
+    assert scored.columns[: len(table.columns)] == table.columns
+    assert scored.filter("predicted_fraud <> (isFraud = 1)").count() < 0.02 * 600
+    # a table without some of the features: they count as missing
+    assert models.wide_scores(table.drop("dist1", "email_match"), bundle).count() == 600
+
+
+def test_details_of_counterfactuals(rows):
+    from riskweave.plans import explain, scoring
+
+    scored = scoring.linear_scores(rows)
+    whole = {(r["txn_id"], r["position"]): r for r in explain.counterfactuals(scored).collect()}
+    parts = {}
+    for r in explain.counterfactual_details(scored).collect():
+        parts.setdefault((r["txn_id"], r["position"]), []).append(r)
+    assert parts.keys() == whole.keys() and parts
+    values = {r["txn_id"]: r for r in rows.collect()}
+    for key, changes in parts.items():
+        changes.sort(key=lambda r: r["change"])
+        assert len(changes) == whole[key]["n_changes"]
+        said = [f"{r['feature']}={r['new_category'] or int(r['new_value'])}" for r in changes]
+        assert "; ".join(said) == whole[key]["changes"]
+        for r in changes:
+            own = values[key[0]][r["feature"]]
+            assert r["old_category"] == own if r["feature"] == "merchant_category" else r["old_value"] == float(own)
