@@ -38,7 +38,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html ins label legend li main menu nav ol option p pre section select summary table tbody textarea tfoot thead tr ul".split()
 )
-SPACES = frozenset("br td th img input wbr".split())
+SPACES = frozenset("br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: a start tag of these ends an open one of the same kind
 CLOSES_ITSELF = frozenset("p li dt dd tr option h1 h2 h3 h4 h5 h6".split())
@@ -73,6 +73,7 @@ def blocks_of(page: str) -> list[tuple[str, np.ndarray, float]]:
     out: list[tuple[str, np.ndarray, float]] = []
     none = np.zeros(PATH, dtype=np.float32)
     stack: list[tuple[str, np.ndarray]] = []
+    opened: dict[str, int] = {}  # how often each tag is in the stack: an end tag without a start is skipped at once
     parts: list[str] = []
     path, linked, in_link, at = none, 0, False, 0
 
@@ -105,13 +106,16 @@ def blocks_of(page: str) -> list[tuple[str, np.ndarray, float]]:
         elif tag in BLOCKS:
             flush()
             if piece["end"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
+                while opened.get(tag):
+                    last, _ = stack.pop()
+                    opened[last] -= 1
+                    if last == tag:
                         break
             elif tag not in VOID:
                 if tag in CLOSES_ITSELF and stack and stack[-1][0] == tag:
                     stack.pop()
+                    opened[tag] -= 1
+                opened[tag] = opened.get(tag, 0) + 1
                 more = piece["more"]
                 above = stack[-1][1] if stack else none
                 stack.append((tag, DECAY * above + tag_vector(tag, more if "=" in more else "")))

@@ -119,3 +119,18 @@ def test_pipeline_takes_odd_rows(spark, sf_dir):
         kept = corpus_pipeline.stored(stage(spark, kept, sf_dir), "test-odd")
         assert name == "packing" or kept.columns == columns
     assert kept.count() > 0
+
+
+def test_inline_tags_do_not_part_words():
+    """Only line breaks and cells stand between words; a possible break or a picture inside a word leaves it whole."""
+    texts = [b[0] for b in html_text.blocks_of("<p>sp<wbr>lit wo<img src=x>rd a<b>b</b>c<br>d</p><table><tr><td>one<td>two</table>")]
+    assert texts == ["split word abc d", "one two"]
+
+
+def test_stray_end_tags_take_no_square_of_time():
+    import time
+
+    begin = time.time()
+    n = 60_000
+    page = "<div>" * n + "".join(f"w{i}</p>" for i in range(n)) + "</div>" * n
+    assert len(html_text.blocks_of(page)) == n and time.time() - begin < 20
