@@ -31,3 +31,8 @@ def word_count(column: str = "text") -> Column:
 def keyed_rows(docs: DataFrame) -> DataFrame:
     """row (a struct of all columns, so that none can clash with others), id and text_hash, which together name a row's document."""
     return docs.select(F.struct("*").alias("row"), id_key().alias("id"), F.xxhash64("text").alias("text_hash"))
+
+
+def if_small(table: DataFrame, most: int = 10_000) -> DataFrame:
+    """A written table marked for broadcast if it is counted to have at most so many rows, else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table

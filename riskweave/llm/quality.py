@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import documents, id_key, keyed_rows, stored
+from riskweave.llm.common import documents, id_key, if_small, keyed_rows, stored
 from riskweave.llm.text import Words, batches, mix
 
 SAMPLE = 20_000
@@ -238,6 +238,7 @@ def judged(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     out = rows
     for head in HEADS:
         sites = site_posteriors(rows, head).withColumnsRenamed({"host": f"{head}_host", "path": f"{head}_path"})
+        sites = if_small(stored(sites, f"posteriors-{head}"))
         out = out.join(sites, F.expr(f"host <=> {head}_host AND path <=> {head}_path"), "left")
         p = F.least(F.greatest(F.col(head), F.lit(1e-9)), F.lit(1 - 1e-9))
         odds = _odds(p) + _odds(F.col(f"{head}_site")) - _odds(F.col(f"{head}_all"))
