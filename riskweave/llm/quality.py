@@ -89,50 +89,54 @@ def flat() -> Linear:
     )
 
 
-def train(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, shape: np.ndarray, targets: np.ndarray) -> Linear:
-    """The model of all rows, with the threshold that a part of them sets."""
-    model = _fitted(doc, bucket, value, shape, targets)
-    n = len(shape)
-    held = np.arange(n) % 4 == 0
-    other, turn = ~held, np.cumsum(~held) - 1
-    clean = held & (targets[:, 1] == 0) if n else held
-    if clean.any() and (targets[other, 1] == 1).any() and (targets[held, 1] == 1).any():
-        of = other[doc]
-        part = _fitted(turn[doc[of]], bucket[of], value[of], shape[other], targets[other])
-        z = ((shape - part.centre) / part.scale) @ part.shapes[1] + part.bias[1] + np.bincount(doc, part.words[1, bucket] * value, n)
-        model.bias[1] -= min(float(np.quantile(z[clean], 1 - FALSE_ALARMS)), 0.0)
-    return model
-
+def train(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, shape: np.ndarray, targets: np.ndarray, rounds: int = 150) -> Linear:
+    """Logistic regression by Adam over all rows at once, with a ridge, and the threshold that a part of them sets.
 
-def _fitted(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, shape: np.ndarray, targets: np.ndarray, rounds: int = 150) -> Linear:
-    """Logistic regression by Adam over all rows at once, with a ridge. A stem of one text says nothing about others, and is left out."""
-    model = flat()
-    if not len(shape):
+    Entries (``doc``, ``bucket``, ``value``) stand by document. A stem of one text says nothing about others, and is left out.
+    """
+    model, n = flat(), len(shape)
+    if not n:
         return model
-    n = len(shape)
-    often = np.bincount(bucket, minlength=1 << BUCKETS) > 1
-    keep = often[bucket]
+    keep = (np.bincount(bucket, minlength=1 << BUCKETS) > 1)[bucket]
     doc, bucket, value = doc[keep], bucket[keep], value[keep]
     used, column = np.unique(bucket, return_inverse=True)
     column = column.astype(np.int32)
+    order = np.argsort(column, kind="stable")
+    doc_of, value_of = doc[order], value[order]
+    starts = np.searchsorted(column[order], np.arange(len(used)))
+    del order, keep, bucket
     model.centre, model.scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)
     x = (shape - model.centre) / model.scale
-    for h in range(len(HEADS)):
-        y = targets[:, h].astype(float)
-        if not 0 < y.sum() < n:
-            continue
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return x @ w[len(used) : -1] + w[-1] + np.bincount(doc, w[column] * value, n)
+
+    def fitted(y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The weights from the rows that are marked."""
+        many = rows.sum()
+        rate = y[rows].mean()
         w = np.zeros(len(used) + SHAPES + 1)
-        w[-1] = np.log(y.mean() / (1 - y.mean()))
+        w[-1] = np.log(rate / (1 - rate))
         first, second = np.zeros_like(w), np.zeros_like(w)
         # the stems share one ridge with the number of texts, so that it does not fade as the sample grows
-        ridge = np.full(len(w), 2.0 / n)
+        ridge = np.full(len(w), 2.0 / many)
         ridge[-1] = 0.0
         for t in range(1, rounds + 1):
-            z = x @ w[len(used) : -1] + w[-1] + np.bincount(doc, w[column] * value, n)
-            r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            slope = np.concatenate([np.bincount(column, r[doc] * value, len(used)), x.T @ r, [r.sum()]]) + ridge * w
+            r = rows * (1 / (1 + np.exp(-np.clip(margins(w), -30, 30))) - y) / many
+            stems = np.add.reduceat(r[doc_of] * value_of, starts) if len(used) else np.zeros(0)
+            slope = np.concatenate([stems, x.T @ r, [r.sum()]]) + ridge * w
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
             w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+        return w
+
+    everything, held = np.ones(n, dtype=bool), np.arange(n) % 4 == 0
+    for h in range(len(HEADS)):
+        y = targets[:, h].astype(float)
+        if not 0 < y.sum() < n:
+            continue
+        w = fitted(y, everything)
+        if h == 1 and (y[~held] == 1).any() and (y[held] == 1).any() and (y[~held] == 0).any() and (y[held] == 0).any():
+            w[-1] -= min(float(np.quantile(margins(fitted(y, ~held))[held & (y == 0)], 1 - FALSE_ALARMS)), 0.0)
         model.words[h, used] = w[: len(used)]
         model.shapes[h], model.bias[h] = w[len(used) : -1], w[-1]
     return model
@@ -174,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     keep = order[~got["key"].iloc[order].duplicated().to_numpy()]
     bucket, value = ([np.frombuffer(x, dtype=kind) for x in table.column(name).to_numpy()[keep]] for name, kind in (("buckets", np.int32), ("values", np.float32)))
     doc = np.repeat(np.arange(len(keep), dtype=np.int32), [len(b) for b in bucket])
+    del table
     return train(doc, np.concatenate(bucket), np.concatenate(value), shape[keep], got[list(HEADS)].to_numpy()[keep])
 
 

@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: distinct chunks that a worker remembers; beyond that it starts anew
-REMEMBERED = 2_000_000
+#: distinct chunks that a worker remembers, those that it meets first, so the frequent ones; others are encoded again in each batch
+REMEMBERED = 800_000
 _ODD = re.compile(r"\s")
 
 
@@ -26,9 +26,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.end_id = end_id
-        self._forget()
-
-    def _forget(self) -> None:
         self.code: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
@@ -80,16 +77,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text with the end id after it, and the number of ids of each."""
-        if len(self.code) > REMEMBERED:
-            self._forget()
         split = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
         # a text's first chunk has no blank before it: it is encoded by itself
         new = set().union(*(s[1:] for s in split)).difference(self.code)
+        kept, kept_ids, known = self.n, self.used, len(self.code)
         if new:
             self._learn(new)
+        if len(self.code) <= REMEMBERED:
+            kept, kept_ids, known = self.n, self.used, len(self.code)
         get = self.code.__getitem__
         coded = [[*map(get, s[1:])] for s in split]
-        kept, kept_ids = self.n, self.used
         whole = [i for i, (t, s) in enumerate(zip(texts, split, strict=True)) if t and (not s[0] or _ODD.search(s[0]) or -1 in coded[i])]
         skip = set(whole)
         heads = [i for i, t in enumerate(texts) if t and i not in skip]
@@ -105,7 +102,10 @@ class Encoder:
             bounds.append(len(codes) - 1)
         out, ends = self._in_a_row(np.array(codes))
         counts = np.diff(ends[bounds], prepend=0)
-        self.n, self.used = kept, kept_ids  # what belongs to single texts is not remembered
+        # what belongs to single texts, or is too much, is not remembered
+        self.n, self.used = kept, kept_ids
+        while len(self.code) > known:
+            self.code.popitem()
         return out, counts
 
 

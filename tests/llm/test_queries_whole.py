@@ -148,3 +148,18 @@ def test_op9_packing(spark, sf_dir, documents):
             at += length
         assert at <= 2048
     assert sum(r["length"] for r in rows) > 0.99 * 2048 * len(windows) - 2048
+
+
+def test_encoder_that_remembers_little(monkeypatch, documents):
+    """The same ids whatever a worker remembers, and no more remembered than it may."""
+    from riskweave.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [t for _, t, _ in documents[:60]]
+    whole = tokens.Encoder(path).encode(texts)
+    monkeypatch.setattr(tokens, "REMEMBERED", 500)
+    little = tokens.Encoder(path)
+    for _ in range(2):
+        ids, counts = zip(*(little.encode(texts[i : i + 7]) for i in range(0, 60, 7)), strict=True)
+        assert np.array_equal(np.concatenate(ids), whole[0]) and np.array_equal(np.concatenate(counts), whole[1])
+        assert len(little.code) <= 500
