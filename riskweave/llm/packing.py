@@ -34,10 +34,10 @@ from riskweave.llm.text import batches
 from riskweave.llm.tokens import shared_encoder
 
 WINDOW = 2048
-BLOCK = 512
-PARTS = 4
-SMALL = 32
-FINE = 4
+BLOCK = 256
+PARTS = 2
+SMALL = 16
+FINE = 3
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

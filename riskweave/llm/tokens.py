@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: distinct chunks that a worker remembers, those that it meets first, so the frequent ones; others are encoded again in each batch
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 _ODD = re.compile(r"\s")
 
 
