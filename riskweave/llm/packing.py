@@ -119,15 +119,28 @@ def _packer(path: str, window: int, block: int, cut: bool):
         sizes = np.concatenate(counts)
         flat, at = np.concatenate(tokens), np.concatenate([[0], np.cumsum(sizes)])
         windows = pack(sizes.tolist(), window, cut)
-        out = []
-        for w, pieces in enumerate(windows):
+        raw = memoryview(np.ascontiguousarray(flat, dtype="<u4")).cast("B")
+        bounds = (4 * at).tolist()
+        of, starts, lengths, sums, numbers, offsets = [], [], [], [], [], []
+        for w, pieces in enumerate(windows, base):
             offset = 0
             for i, start, length in pieces:
-                piece = flat[at[i] + start : at[i] + start + length]
-                out.append((ids[i], start, length, zlib.crc32(piece.astype("<u4").tobytes()), int(sizes[i]), base + w, offset))
+                low = bounds[i] + 4 * start
+                of.append(i)
+                starts.append(start)
+                lengths.append(length)
+                sums.append(zlib.crc32(raw[low : low + 4 * length]))
+                numbers.append(w)
+                offsets.append(offset)
                 offset += length
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-        return frame.astype({"doc_id": "Int64"}), len(windows)
+        keys = pd.array(ids, dtype="Int64")
+        frame = pd.DataFrame(
+            {
+                "doc_id": keys.take(of), "start": starts, "length": lengths, "ids_crc32": sums, "doc_tokens": sizes[of],
+                "sequence_id": numbers, "offset": offsets,
+            }
+        )
+        return frame, len(windows)
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = shared_encoder(path)

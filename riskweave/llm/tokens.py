@@ -14,7 +14,7 @@ import re
 import numpy as np
 
 #: distinct chunks that a worker remembers, those that it meets first, so the frequent ones; others are encoded again in each batch
-REMEMBERED = 1_200_000
+REMEMBERED = 1_600_000
 _ODD = re.compile(r"\s")
 
 
@@ -30,7 +30,7 @@ class Encoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.first = np.zeros(1 << 14, dtype=np.int64)
-        self.size = np.zeros(1 << 14, dtype=np.int64)
+        self.size = np.zeros(1 << 14, dtype=np.int32)
         self.n = 0
         self._add(np.array([self.end_id], dtype=np.uint32), np.ones(1, dtype=np.int64))  # code 0: the end of a document
         self.comma, self.stop = self._add_texts([",", "."])
