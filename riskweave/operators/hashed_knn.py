@@ -1,18 +1,18 @@
-"""Near neighbours of every vector by random projections, with a measured recall.
+"""Near neighbours by random projections, with a measured recall.
 
-In each of several tables a vector falls into the bucket that the signs of its random projections name. A query looks into its own bucket and those that
-differ where its projections lie closest to zero (``probes``). Buckets hold some ``bucket_rows`` vectors however many there are, since their number grows with the
-corpus; one that many copies fill is cut into blocks, and each of its queries goes to all of them, so nothing found is lost and no task gets more.
-Distances of what is found are exact, ties go to the smaller id.
+A vector falls into the bucket that the signs of its random projections name, one in each table; ``fitted`` makes one table, so every vector is held once.
+A query looks into its own bucket and those that differ where its projections lie closest to zero, likeliest first (``probes``). The number of buckets
+grows with the corpus up to 2**``MAX_BITS``; one that holds too much for a task is cut into blocks, and each of its queries goes to all of them, so nothing
+found is lost and no task gets more. Distances of what is found are exact, ties go to the smaller id.
 
-What is found is most of the nearest, not all. ``fitted`` measures the share: queries of a bounded sample are compared with
-the exact neighbours over the whole corpus, and tables are added until ``goal`` is reached. ``nearest`` in ``knn`` is the exact way.
+What is found is most of the nearest, not all. ``fitted`` sets the number of buckets looked into: queries of a bounded sample are compared with the exact
+neighbours over the whole corpus, and ``probes`` is the least that reaches ``goal``; all buckets reach it surely. Vectors without clusters ask for more than half
+of the buckets. ``nearest`` in ``knn`` is the exact way.
 """
 
 from __future__ import annotations
 
-import itertools
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from riskweave.operators.keyed import top_per_key
 BUCKET_ROWS = 64
 BLOCK_ROWS = 4_000
 PROBES = 8
-_NEAR_BITS = 8  # of the projections closest to zero, so many are flipped in turn
+MAX_BITS = 8  # of a table; all its buckets are ranked for a query
 _FOUND = "query_id long, corpus_id long, distance double"
 
 
@@ -35,6 +35,7 @@ class Tables:
 
     centre: np.ndarray
     planes: np.ndarray  # tables x bits x width
+    probes: int = PROBES  # buckets of a table that a query looks into
 
     def buckets(self, points: np.ndarray, probes: int = 1) -> np.ndarray:
         """points x tables x probes: a vector's own bucket, then the likeliest others."""
@@ -45,13 +46,11 @@ class Tables:
         sides = (points - self.centre) @ self.planes.reshape(-1, width).T
         sides = sides.reshape(len(points), tables, bits)
         own = (sides > 0) @ (1 << np.arange(bits, dtype=np.int64))
-        near = np.argsort(np.abs(sides), axis=2)[:, :, : min(bits, _NEAR_BITS)]
-        cost = np.take_along_axis(np.abs(sides), near, axis=2) ** 2
-        ways = [c for r in range(4) for c in itertools.combinations(range(near.shape[2]), r)]
-        costs = np.stack([cost[:, :, list(c)].sum(axis=2) if c else np.zeros(cost.shape[:2]) for c in ways], axis=2)
-        flips = np.stack([(1 << near[:, :, list(c)]).sum(axis=2) if c else np.zeros(cost.shape[:2], dtype=np.int64) for c in ways], axis=2)
-        best = np.argsort(costs, axis=2, kind="stable")[:, :, : min(probes, len(ways))]
-        return own[:, :, None] ^ np.take_along_axis(flips, best, axis=2)
+        if probes == 1:
+            return own[:, :, None]
+        flips = np.arange(1 << bits, dtype=np.int64)
+        costs = sides**2 @ ((flips[:, None] >> np.arange(bits)) & 1).T.astype(float)
+        return own[:, :, None] ^ np.argsort(costs, axis=2, kind="stable")[:, :, :probes]
 
 
 def tables_for(corpus: DataFrame, tables: int, bucket_rows: int = BUCKET_ROWS, seed: int = 42) -> Tables | None:
@@ -65,44 +64,29 @@ def tables_for(corpus: DataFrame, tables: int, bucket_rows: int = BUCKET_ROWS, s
     for row in entries.collect():  # one row per entry of a vector
         centre[row["at"]] = row["x"]
     bits = max(0, int(np.ceil(np.log2(head["n"] / bucket_rows)))) if head["n"] > bucket_rows else 0
-    return Tables(centre, np.random.default_rng(seed).normal(size=(tables, min(bits, 62), head["width"])))
+    return Tables(centre, np.random.default_rng(seed).normal(size=(tables, min(bits, MAX_BITS), head["width"])))
 
 
 def _placed(vectors: DataFrame, made: Tables, probes: int) -> DataFrame:
-    """id, vector, bucket_table and bucket, a row for every bucket that a vector is in or looks into."""
+    """id, vector and bucket (with its table in the upper bits), a row for every bucket that a vector is in or looks into."""
     held = vectors.sparkSession.sparkContext.broadcast(made)
 
-    @F.pandas_udf("array<struct<bucket_table:int,bucket:long>>")
+    @F.pandas_udf("array<long>")
     def buckets(column: pd.Series) -> pd.Series:
         found = held.value.buckets(np.stack(column.to_numpy()), probes)
-        return pd.Series([[{"bucket_table": t, "bucket": b} for t, row in enumerate(rows) for b in sorted(set(row))] for rows in found.tolist()])
+        found = found + (np.arange(found.shape[1], dtype=np.int64) << 32)[None, :, None]
+        return pd.Series(list(found.reshape(len(found), -1)))
 
-    return vectors.withColumn("_in", F.explode(buckets("vector"))).select("id", "vector", "_in.bucket_table", "_in.bucket")
+    return vectors.select("id", "vector", F.explode(buckets("vector")).alias("bucket"))
 
 
-def _match(k: int):
-    def match(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(held):
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "distance": []}).astype({"query_id": "int64", "corpus_id": "int64", "distance": float})
-        ids, points = held["id"].to_numpy()[None, :], np.stack(held["vector"].to_numpy())
-        step = max(1, knn._PAIRS // len(held))
-        out = []
-        for i in range(0, len(asking), step):
-            some = asking.iloc[i : i + step]
-            near_ids, near = knn._best(ids, knn._distances(np.stack(some["vector"].to_numpy()), points), k)
-            out.append(knn._frame(some["id"].to_numpy(), near_ids, near))
-        return pd.concat(out)
-
-    return match
-
-
-def nearest_hashed(queries: DataFrame, corpus: DataFrame, made: Tables | None, k: int = 3, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_hashed(queries: DataFrame, corpus: DataFrame, made: Tables | None, k: int = 3, probes: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, position, corpus_id, distance), up to ``k`` for every query; squared L2. Vectors that are null take no part."""
     queries, corpus = knn._shaped(queries), knn._shaped(corpus)
     if made is None:
         return corpus.sparkSession.createDataFrame([], "query_id long, position int, corpus_id long, distance double")
-    held, asked = _placed(corpus, made, 1), _placed(queries, made, probes)
-    keys = ["bucket_table", "bucket"]
+    held, asked = _placed(corpus, made, 1), _placed(queries, made, made.probes if probes is None else probes)
+    keys = ["bucket"]
     # only buckets that hold too much for one task are named here
     heavy = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
     blocks = heavy.select(*keys, F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
@@ -110,7 +94,7 @@ def nearest_hashed(queries: DataFrame, corpus: DataFrame, made: Tables | None, k
     left = asked.join(blocks, keys, "left").withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))).drop("blocks")
     right = held.join(blocks, keys, "left").withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")).drop("blocks")
     grouped = [*keys, "block"]
-    found = left.groupBy(*grouped).cogroup(right.groupBy(*grouped)).applyInPandas(_match(k), _FOUND)
+    found = left.groupBy(*grouped).cogroup(right.groupBy(*grouped)).applyInPandas(knn.match(k), _FOUND)
     # a neighbour may be met in several tables
     return top_per_key(found.distinct(), ["query_id"], [F.col("distance"), F.col("corpus_id")], k, rank="position").select(
         "query_id", "position", "corpus_id", "distance"
@@ -126,16 +110,18 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n_queries"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_exact"), share.alias("recall"))
 
 
-def fitted(corpus: DataFrame, k: int = 3, goal: float = 0.9, sample: int = 200, most: int = 128, bucket_rows: int = BUCKET_ROWS) -> tuple[Tables | None, float]:
-    """Tables that find ``goal`` of the exact neighbours of ``sample`` vectors (those with the smallest hash of their id), and the measured share."""
-    asked = corpus.orderBy(F.xxhash64("id"), "id").limit(sample)
-    exact = knn.nearest(asked, corpus, k)
-    tables = 4
-    while True:
-        made = tables_for(corpus, tables, bucket_rows)
-        if made is None:
-            return None, 1.0
-        share = recall(nearest_hashed(asked, corpus, made, k), exact).first()["recall"]
-        if share >= goal or tables >= most:
-            return made, float(share)
-        tables *= 2
+def fitted(corpus: DataFrame, k: int = 3, goal: float = 0.9, sample: int = 200, bucket_rows: int = BUCKET_ROWS) -> tuple[Tables | None, float]:
+    """A table whose ``probes`` find ``goal`` of the exact neighbours of ``sample`` vectors (those with the smallest hash of their id), and the measured share."""
+    made = tables_for(corpus, 1, bucket_rows)
+    if made is None:
+        return None, 1.0
+    shaped = knn._shaped(corpus)
+    asked = shaped.orderBy(F.xxhash64("id"), "id").limit(sample)
+    # at most k vectors of each query of the sample
+    pairs = knn.nearest(asked, corpus, k).join(asked.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+    pairs = shaped.join(F.broadcast(pairs), F.col("id") == F.col("corpus_id")).select("query", "vector").collect()
+    query, vector = (np.array([r[name] for r in pairs], dtype=float) for name in ("query", "vector"))
+    ranked = made.buckets(query, 1 << made.planes.shape[1])[:, 0]
+    rank = np.sort((ranked == made.buckets(vector)[:, 0]).argmax(axis=1))
+    probes = int(rank[max(0, int(np.ceil(goal * len(rank))) - 1)]) + 1
+    return replace(made, probes=probes), float((rank < probes).mean())

@@ -3,7 +3,9 @@
 A bounded set of queries is broadcast and the corpus scanned once, keeping k
 candidates per query and task. A larger set is joined by cells around pivots:
 the triangle inequality rules out cells that cannot hold a neighbour, and hot
-cells are cut into blocks. Both emit k rows per query and block, never pairs.
+cells are cut into blocks. Where that rules out little, as a sample of the
+queries tells, tiles of packed queries meet tiles of the packed corpus, each
+once. All emit k rows per query and block, never pairs.
 """
 
 from __future__ import annotations
@@ -20,8 +22,14 @@ from riskweave.operators.keyed import top_per_key
 
 BROADCAST_VALUES = 2_000_000  # vector entries, 16 MB as doubles
 BLOCK_ROWS = 20_000
-_PAIRS = 4_000_000  # distances held at once
+TILE_VALUES = 2_000_000  # vector entries of a tile
+SCAN_SHARE = 0.1  # of the corpus in a query's cells, beyond which tiles move less
+_PACK_VALUES = 16_384  # vector entries of a packed row
+_SHARE_SAMPLE = 256
+_SIDE = 2_048  # queries, and corpus rows, compared at once
+_SPARSE = 32  # candidates a query, up to which they are looked at one by one
 _DIGITS = 9
+_LAST = np.iinfo("int64").max
 
 
 def nearest(
@@ -38,7 +46,7 @@ def nearest(
     head = queries.select(F.size("vector").alias("width")).limit(1).collect()
     room = max(1, broadcast_values // max(1, head[0]["width"])) if head else 1
     rows = queries.limit(room + 1).collect()
-    found = _scan(rows, corpus, k) if len(rows) <= room else _by_cells(queries, corpus, k)
+    found = _scan(rows, corpus, k) if len(rows) <= room else _by_cells(queries, corpus, k, most_share=SCAN_SHARE)
     ranked = top_per_key(found, ["query_id"], [F.col("distance"), F.col("corpus_id")], k, rank="position")
     distance = F.col("distance") / 2 if metric == "cosine" else F.col("distance")
     return ranked.select("query_id", "position", "corpus_id", distance.alias("distance"))
@@ -62,28 +70,97 @@ def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.round(np.maximum(squared, 0.0), _DIGITS)
 
 
-def _best(ids: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row, the k smallest distances with ties by id."""
-    k = min(k, distances.shape[1])
-    border = np.partition(distances, k - 1, axis=1)[:, k - 1]
-    picked = np.empty((len(distances), k), dtype="int64")
-    values = np.empty((len(distances), k))
-    for i, row in enumerate(distances):
-        close = np.flatnonzero(row <= border[i])
-        names = ids[0 if len(ids) == 1 else i][close]
-        order = np.lexsort((names, row[close]))[:k]
-        picked[i], values[i] = names[order], row[close][order]
-    return picked, values
-
-
-def _frame(query_ids, ids: np.ndarray, distances: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(np.asarray(query_ids, dtype="int64"), ids.shape[1]),
-            "corpus_id": ids.ravel().astype("int64"),
-            "distance": distances.ravel().astype(float),
-        }
-    )
+class _Nearest:
+    """The ``k`` nearest of some points among all vectors shown to them; ties go to the smaller id.
+
+    Products in single precision, with room for their error, tell which pairs can matter; the distances of those are exact.
+    """
+
+    def __init__(self, points: np.ndarray, k: int):
+        self.points, self.k = points, k
+        self.squares = (points**2).sum(axis=1)
+        self.ids = np.full((len(points), k), _LAST)
+        self.near = np.full((len(points), k), np.inf)
+
+    def show(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        squares = (vectors**2).sum(axis=1)
+        size = float(max(np.nan_to_num(x).max(initial=0.0) for x in (self.squares, squares)))
+        kind = np.float32 if size < 1e30 else np.float64
+        asked = np.hstack([self.points, np.ones((len(self.points), 1))]).astype(kind)
+        # asked @ held = (|q|^2 - distance) / 2
+        held = np.hstack([vectors, -squares[:, None] / 2]).astype(kind)
+        room = size * (len(held[0]) + 16) * float(np.finfo(kind).eps) + 10.0**-_DIGITS
+        for i in range(0, len(held), _SIDE):
+            columns = slice(i, i + _SIDE)
+            for j in range(0, len(asked), _SIDE):
+                rows = slice(j, j + _SIDE)
+                border = self.near[rows, -1]
+                if np.isfinite(border).all():
+                    least = ((self.squares[rows] - border) / 2 - room).astype(kind)
+                    hits = np.flatnonzero(asked[rows] @ held[columns].T >= least[:, None])
+                    if not len(hits):
+                        continue
+                    q, c = np.divmod(hits, len(held[columns]))
+                    often = np.bincount(q, minlength=len(border))
+                    some = often[q] <= _SPARSE
+                    self._take(q[some] + j, c[some] + i, ids, vectors, squares)
+                    crowded = np.flatnonzero(often > _SPARSE) + j
+                else:
+                    crowded = np.arange(j, j + len(border))
+                if len(crowded):
+                    self._take_best(crowded, ids[columns], vectors[columns])
+
+    def _take(self, q: np.ndarray, c: np.ndarray, ids: np.ndarray, vectors: np.ndarray, squares: np.ndarray) -> None:
+        """Pairs of a query and a vector."""
+        exact = self.squares[q] + squares[c] - 2.0 * np.einsum("ij,ij->i", self.points[q], vectors[c])
+        met = np.unique(q)
+        all_q = np.concatenate([np.repeat(met, self.k), q])
+        all_ids = np.concatenate([self.ids[met].ravel(), ids[c]])
+        all_near = np.concatenate([self.near[met].ravel(), np.round(np.maximum(exact, 0.0), _DIGITS)])
+        order = np.lexsort((all_ids, all_near, all_q))
+        first = np.searchsorted(all_q[order], met)
+        best = order[first[:, None] + np.arange(self.k)]
+        self.ids[met], self.near[met] = all_ids[best], all_near[best]
+
+    def _take_best(self, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """All vectors of a block, which stand by id: the least distance that comes first is the one to take."""
+        left = _distances(self.points[q], vectors)
+        left[np.isnan(left)] = np.inf
+        at = np.arange(len(q))
+        all_ids, all_near = [self.ids[q]], [self.near[q]]
+        for _ in range(min(self.k, len(ids))):
+            best = left.argmin(axis=1)
+            all_ids.append(ids[best][:, None])
+            all_near.append(left[at, best][:, None])
+            left[at, best] = np.inf
+        all_ids, all_near = np.hstack(all_ids), np.hstack(all_near)
+        order = np.lexsort((all_ids, all_near), axis=1)[:, : self.k]
+        self.ids[q], self.near[q] = np.take_along_axis(all_ids, order, axis=1), np.take_along_axis(all_near, order, axis=1)
+
+    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        found = np.isfinite(self.near).ravel()
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(np.asarray(query_ids, dtype="int64"), self.k)[found],
+                "corpus_id": self.ids.ravel()[found],
+                "distance": self.near.ravel()[found],
+            }
+        )
+
+
+def match(k: int):
+    """For two frames of id and vector: the ``k`` nearest of the second for each row of the first."""
+
+    def matched(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(held):
+            return _Nearest(np.zeros((0, 1)), k).frame([])
+        found = _Nearest(np.stack(asking["vector"].to_numpy()), k)
+        found.show(held["id"].to_numpy(), np.stack(held["vector"].to_numpy()))
+        return found.frame(asking["id"].to_numpy())
+
+    return matched
 
 
 _FOUND = "query_id long, corpus_id long, distance double"
@@ -100,26 +177,22 @@ def _scan(rows: list, corpus: DataFrame, k: int) -> DataFrame:
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, points = shared.value
-        best_ids = best = None
-        step = max(1, _PAIRS // len(points))
+        found = _Nearest(points, k)
         for batch in batches:
-            for i in range(0, len(batch), step):
-                some = batch.iloc[i : i + step]
-                ids = some["id"].to_numpy()[None, :]
-                near_ids, near = _best(ids, _distances(points, np.stack(some["vector"].to_numpy())), k)
-                if best is not None:
-                    near_ids, near = _best(np.hstack([best_ids, near_ids]), np.hstack([best, near]), k)
-                best_ids, best = near_ids, near
-        if best is not None:
-            yield _frame(query_ids, best_ids, best)
+            if len(batch):
+                found.show(batch["id"].to_numpy(), np.stack(batch["vector"].to_numpy()))
+        yield found.frame(query_ids)
 
     return corpus.mapInPandas(local, _FOUND)
 
 
 def _by_cells(
-    queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, corpus: DataFrame, k: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS, most_share: float = 1.0
 ) -> DataFrame:
-    """Pivot cells with exact pruning; group sizes stay near ``block_rows``."""
+    """Pivot cells with exact pruning; group sizes stay near ``block_rows``.
+
+    Tiles instead, if the cells of a sample of the queries hold more than ``most_share`` of the corpus.
+    """
     spark = corpus.sparkSession
     if pivots is None:
         pivots = min(1024, max(4, math.isqrt(corpus.count()) // 4))
@@ -141,17 +214,24 @@ def _by_cells(
     sizes = np.array([s["n"] for s in shape])
     radii = np.array([s["r"] for s in shape])
 
-    @F.pandas_udf("array<int>")
-    def candidates(vectors: pd.Series) -> pd.Series:
-        gaps = np.sqrt(_distances(np.stack(vectors.to_numpy()), centres.value[cells]))
+    def may_hold(points: np.ndarray) -> np.ndarray:
+        gaps = np.sqrt(_distances(points, centres.value[cells]))
         reach = gaps + radii
         order = reach.argsort(axis=1)
         enough = (np.cumsum(sizes[order], axis=1) >= min(k, sizes.sum())).argmax(axis=1)
         # k vectors surely lie within this distance
         bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(gaps)), enough]
         # the slack covers the distance rounding, which the root enlarges
-        near = gaps - radii <= bound[:, None] * (1 + 1e-6) + 1e-4
-        return pd.Series([cells[row].tolist() for row in near])
+        return gaps - radii <= bound[:, None] * (1 + 1e-6) + 1e-4
+
+    if most_share < 1.0:
+        some = queries.orderBy(F.xxhash64("id"), "id").limit(_SHARE_SAMPLE).collect()
+        if some and (may_hold(np.array([r["vector"] for r in some], dtype=float)) @ sizes).mean() > most_share * sizes.sum():
+            return _by_tiles(queries, corpus, k, int(sizes.sum()))
+
+    @F.pandas_udf("array<int>")
+    def candidates(vectors: pd.Series) -> pd.Series:
+        return pd.Series([cells[row].tolist() for row in may_hold(np.stack(vectors.to_numpy()))])
 
     asked = queries.select("id", "vector", F.explode(candidates("vector")).alias("cell"))
     demand = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
@@ -175,19 +255,51 @@ def _by_cells(
         .withColumn("part", spread(lookup(parts)))
     )
 
-    def match(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asking) or not len(held):
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "distance": []}).astype(
-                {"query_id": "int64", "corpus_id": "int64", "distance": float}
+    keys = ["cell", "block", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match(k), _FOUND)
+
+
+def _packed(vectors: DataFrame, tiles: int) -> DataFrame:
+    """tile, n, ids and points: some hundred vectors a row, as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, points = batch["id"].to_numpy(dtype="int64"), np.stack(batch["vector"].to_numpy()).astype(float)
+            starts = range(0, len(ids), max(1, _PACK_VALUES // max(1, points.shape[1])))
+            ends = [*starts[1:], len(ids)]
+            yield pd.DataFrame(
+                {
+                    "n": [b - a for a, b in zip(starts, ends, strict=True)],
+                    "ids": [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
+                    "points": [points[a:b].tobytes() for a, b in zip(starts, ends, strict=True)],
+                }
             )
-        ids, points = held["id"].to_numpy()[None, :], np.stack(held["vector"].to_numpy())
-        step = max(1, _PAIRS // len(held))
-        out = []
-        for i in range(0, len(asking), step):
-            some = asking.iloc[i : i + step]
-            near_ids, near = _best(ids, _distances(np.stack(some["vector"].to_numpy()), points), k)
-            out.append(_frame(some["id"].to_numpy(), near_ids, near))
-        return pd.concat(out)
 
-    keys = ["cell", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, _FOUND)
+    rows = vectors.mapInPandas(pack, "n long, ids binary, points binary")
+    return rows.withColumn("tile", F.pmod(F.xxhash64("ids"), F.lit(tiles)).cast("int"))
+
+
+def _by_tiles(queries: DataFrame, corpus: DataFrame, k: int, corpus_rows: int, tile_values: int = TILE_VALUES) -> DataFrame:
+    """Every query against every vector: each tile of the one side meets each tile of the other in one group."""
+    head = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    rows = max(1, tile_values // max(1, head["width"] or 1))
+    parts, blocks = max(1, -(-head["n"] // rows)), max(1, -(-corpus_rows // rows))
+    left = _packed(queries, parts).withColumnRenamed("tile", "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = _packed(corpus, blocks).withColumnRenamed("tile", "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def opened(packs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        ids, points = (np.frombuffer(b"".join(packs[name]), dtype=kind) for name, kind in (("ids", "int64"), ("points", "float64")))
+        return ids, points.reshape(len(ids), -1)
+
+    def meet(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(asking) or not len(held):
+            return _Nearest(np.zeros((0, 1)), k).frame([])
+        query_ids, points = opened(asking)
+        found = _Nearest(points, k)
+        found.show(*opened(held))
+        return found.frame(query_ids)
+
+    keys = ["part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, _FOUND)

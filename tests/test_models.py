@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import forest as forests
 from riskweave.operators.encode import apply_codes, fit_codes
 from riskweave.operators.keyed import small_or_same, top_per_key
-from riskweave.operators.knn import _by_cells, nearest
+from riskweave.operators.knn import _by_cells, _by_tiles, nearest
 from riskweave.operators.ordering import sorted_codes
 from riskweave.plans import metrics, retrieval, staging, training, wide
 
@@ -151,6 +151,21 @@ def test_hot_cell_is_cut_into_blocks(spark):
     assert {(r["query_id"], r["corpus_id"]) for r in top.collect()} == brute(points[:50], points, 3)
 
 
+def test_tiles_meet_once_each(spark):
+    """Vectors that cells cannot rule out: packed tiles, each pair of tiles in one group, and no row per cell."""
+    points, corpus = vectors(spark, 3000, 4, copies=200)
+    found = _by_tiles(corpus.filter("id % 3 = 0"), corpus, 3, len(points), tile_values=4000)
+    assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 3 * -(-len(points) * 8 // 4000)
+    top = top_per_key(found, ["query_id"], [F.col("distance"), F.col("corpus_id")], 3)
+    want = {(3 * q, i) for q, i in brute(points[::3], points, 3)}
+    assert {(r["query_id"], r["corpus_id"]) for r in top.collect()} == want
+    wide = np.random.default_rng(6).normal(size=(400, 40))
+    even = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(wide)], "id long, vector array<double>")
+    assert "points" in nearest(even, even, 3, broadcast_values=0)._jdf.queryExecution().toString()  # tiles are chosen
+    got = {(r["query_id"], r["corpus_id"]) for r in nearest(even, even, 3, broadcast_values=0).collect()}
+    assert got == brute(wide, wide, 3)
+
+
 def test_fewer_vectors_than_asked(spark):
     _, corpus = vectors(spark, 4, 5)
     for budget in (10**6, 0):
