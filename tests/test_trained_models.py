@@ -238,3 +238,19 @@ def test_details_of_counterfactuals(rows):
         for r in changes:
             own = values[key[0]][r["feature"]]
             assert r["old_category"] == own if r["feature"] == "merchant_category" else r["old_value"] == float(own)
+
+
+@pytest.mark.parametrize("depth", [1, 5, 6, 7])
+def test_leaf_masks_end_where_the_walk_ends(depth):
+    """Scores by masks and from node to node: the same leaves, also on a cut, beyond all cuts, and for missing values."""
+    rng = np.random.default_rng(depth)
+    points = rng.normal(size=(3000, 5))
+    points[:, 0] = rng.integers(0, 24, len(points))
+    points[rng.random(points.shape) < 0.05] = np.nan
+    points[7], points[8] = -np.inf, np.inf
+    label = (np.nan_to_num(np.clip(points, -99, 99)).sum(axis=1) > 5).astype(float)
+    model = boosting.fit(points, label, list("abcde"), True, boosting.Settings(n_estimators=20, max_depth=depth))
+    walked, steps = model._walked(points, True)
+    margins, moves = model.margins(points, True)
+    assert (margins == walked).all() and (model.margins(points)[0] == walked).all() and np.allclose(moves, steps, atol=1e-12)
+    assert ("_plan" in vars(model)) == (depth <= 6)  # masks have a bit for each of 64 leaves
