@@ -42,7 +42,7 @@ def load_wide(warehouse: Warehouse, transactions: DataFrame, identity: DataFrame
         clean = clean.select(*[c for c in clean.columns if c in kept])
     else:
         clean = wide.drop_near_constant(clean)
-    warehouse.insert_new("raw.wide_transactions", wide.pack(clean), [F.col("TransactionDT") if "TransactionDT" in clean.columns else F.col("TransactionID")])
+    warehouse.insert_new("raw.wide_transactions", wide.pack(clean), [F.col("TransactionDT") if "TransactionDT" in clean.columns else F.col("TransactionID")], stored=True)
     return wide.load_check(warehouse.read("raw.wide_transactions"))
 
 

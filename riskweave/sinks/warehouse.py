@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators.keyed import first_write_wins
+from riskweave.operators.keyed import first_of_stored, first_write_wins
 from riskweave.sources.files import parquet_if_exists
 
 LAYERS = ("raw", "staging", "mart", "audit")
@@ -73,10 +73,10 @@ class Warehouse:
     def replace(self, table: str, df: DataFrame) -> None:
         self._write(table, df, "overwrite")
 
-    def insert_new(self, table: str, df: DataFrame, order: list[Column]) -> None:
-        """Insert rows whose primary key is new; an existing row stays."""
+    def insert_new(self, table: str, df: DataFrame, order: list[Column], stored: bool = False) -> None:
+        """Insert rows whose primary key is new; an existing row stays. ``stored``: ``df`` reads a written table, and passes over it are cheap."""
         target = parquet_if_exists(self.spark, self.path(table))
-        self.append(table, first_write_wins(df, target, KEYS[table], order))
+        self.append(table, (first_of_stored if stored else first_write_wins)(df, target, KEYS[table], order))
 
     def _write(self, table: str, df: DataFrame, mode: str) -> None:
         if table in DAILY:

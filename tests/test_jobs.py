@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave import dataset
 from riskweave.__main__ import main
+from riskweave.operators.keyed import first_of_stored, first_write_wins
 from riskweave.plans import features, governance, jobs, questions, risk
 from riskweave.sinks.warehouse import Warehouse
 
@@ -142,3 +143,18 @@ def test_newest_of_a_short_mart(spark, tmp_path):
     assert [r["txn_id"] for r in questions.newest(house, now, 2).collect()] == ["3", "2"]
     assert [r["txn_id"] for r in questions.newest_fraud(house, now, 9).collect()] == ["0", "1"]
     assert questions.newest(house, F.lit("2023-01-01").cast("timestamp_ntz"), 3).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 2, 10_000])
+def test_first_of_stored_agrees_with_first_write_wins(spark, most):
+    """Repeated, missing and known keys, whether few or many are new; a batch of single keys moves no rows."""
+    rows = [(f"k{i % 40}" if i % 13 else None, i, "x" * 50) for i in range(60)]
+    batch = spark.createDataFrame(rows, "id string, at int, body string")
+    for known in (None, [], ["k1", "k7", None], [f"k{i}" for i in range(40)]):
+        target = None if known is None else spark.createDataFrame([(k,) for k in known], "id string")
+        got, want = (f(batch, target, ["id"], [F.col("at")], **more) for f, more in ((first_of_stored, {"most": most}), (first_write_wins, {})))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    single = first_of_stored(batch.where("id IS NOT NULL").dropDuplicates(["id"]).localCheckpoint(), None, ["id"], [F.col("at")])
+    if most:
+        plan = single._jdf.queryExecution().optimizedPlan().toString()
+        assert single.count() == 38 and plan.count("Window") <= 1  # only the rows that share a key are ranked
