@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskweave import dataset
 from riskweave.__main__ import main
 from riskweave.operators.keyed import first_of_stored, first_write_wins
-from riskweave.plans import features, governance, jobs, questions, risk
+from riskweave.plans import features, governance, jobs, questions, risk, wide
 from riskweave.sinks.warehouse import Warehouse
 
 
@@ -157,4 +157,14 @@ def test_first_of_stored_agrees_with_first_write_wins(spark, most):
     single = first_of_stored(batch.where("id IS NOT NULL").dropDuplicates(["id"]).localCheckpoint(), None, ["id"], [F.col("at")])
     if most:
         plan = single._jdf.queryExecution().optimizedPlan().toString()
-        assert single.count() == 38 and plan.count("Window") <= 1  # only the rows that share a key are ranked
+        assert single.count() == 38 and "LeftAnti" in plan and "LeftSemi" in plan  # only the rows that share a key are ranked
+
+
+def test_blobs_are_parsed_as_named_fields(spark):
+    """One parse for all features; what a blob lacks, or holds as null, is the sentinel, and a key that nobody asks for may be no number."""
+    packed = spark.createDataFrame([("a", '{"V1":1.5,"V2":null}'), ("b", '{"V2":-3,"note":"x"}'), ("c", None)], "TransactionID string, features_json string")
+    opened = wide.unpack(packed, ["V1", "V2", "V1"])
+    assert sorted(map(tuple, opened.collect())) == [("a", 1.5, -999.0), ("b", -999.0, -3.0), ("c", -999.0, -999.0)]
+    assert wide.unpack(packed, ["V2"], fill=False).where("TransactionID = 'b'").first()["V2"] == -3.0
+    assert "map<" not in opened._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert wide.unpack(packed, []).columns == ["TransactionID"]
