@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave.operators.knn import nearest
 
 CHUNK_CHARS = 500
 OVERLAP_CHARS = 50
+_SPLIT_ROWS = 64  # texts split at once
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
 
@@ -87,12 +89,21 @@ def split_text(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS)
 def chunk_recursive(docs: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Chunks along paragraph, line and word borders; other columns are kept."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap) if t else [])
-
     kept = [c for c in docs.columns if c != "text"]
-    return docs.select(*kept, F.posexplode(split("text")).alias("chunk", "content"))
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("chunk", T.IntegerType()), T.StructField("content", T.StringType())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, _SPLIT_ROWS):
+                texts = batch.column("text").slice(first, _SPLIT_ROWS).to_pylist()
+                pieces = [split_text(t, size, overlap) if t else [] for t in texts]
+                at = pa.array([first + i for i, p in enumerate(pieces) for _ in p], pa.int64())
+                chunk = pa.array([n for p in pieces for n in range(len(p))], pa.int32())
+                content = pa.array([c for p in pieces for c in p], pa.string())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in kept], chunk, content], names=schema.names)
+
+    # a batch of texts is held as Arrow has it, and only a few of its rows as Python's strings
+    return docs.select(*kept, "text").mapInArrow(split, schema)
 
 
 def fit_tfidf(texts: DataFrame, column: str = "content", features: int = 256):

@@ -267,3 +267,13 @@ def test_metrics_of_crowded_scores(spark):
     pairs = [(0.25 + rng.randrange(500) * 2e-9, rng.random() < 0.4) for _ in range(600)]
     row = metrics.binary_metrics(spark.createDataFrame(pairs, "s double, y boolean"), "s", "y").first()
     assert row["roc_auc"] == pytest.approx(ranked_auc(pairs)) and row["n_rows"] == 600
+
+
+def test_chunks_of_a_batch_leave_in_small_parts(spark):
+    """All chunks of every text in order, whatever the part of the batch, with the other columns as they are."""
+    texts = [("word%d " % i) * (i * 7) if i % 5 else None for i in range(200)]
+    docs = spark.createDataFrame([(i if i % 9 else None, t, [i]) for i, t in enumerate(texts)], "doc_id long, text string, more array<int>").coalesce(1)
+    out = retrieval.chunk_recursive(docs)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    want = [(i if i % 9 else None, [i], n, c) for i, t in enumerate(texts) if t for n, c in enumerate(retrieval.split_text(t))]
+    assert [tuple(r) for r in out.collect()] == want
