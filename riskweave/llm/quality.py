@@ -19,6 +19,7 @@ rejects nothing. An empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,17 +169,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     # at most ``sample`` rows of three numbers
     rows = docs.select(id_key().alias("key"), "text").join(F.broadcast(chosen), "key")
     schema = "key long, quality int, toxic int, buckets binary, values binary, shape array<double>"
-    table = rows.mapInPandas(_feature_rows, schema).toArrow().combine_chunks()
-    if not table.num_rows:
-        return flat()
-    got = table.select(["key", "quality", "toxic"]).to_pandas()
-    shape = np.stack(table.column("shape").to_numpy())
+    table = rows.mapInPandas(_feature_rows, schema)
+    # the sample is bounded and its fit needs some hundred MB: a task of its own, not the driver
+    made = table.groupBy(F.lit(0).alias("all")).applyInPandas(lambda got: pd.DataFrame({"model": [pickle.dumps(_fitted(got))]}), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else flat()
+
+
+def _fitted(got: pd.DataFrame) -> Linear:
+    shape = np.stack(got["shape"].to_numpy())
     # rows that share an id: the one of the smallest shape
     order = np.lexsort((*shape.T[::-1], got["key"]))
     keep = order[~got["key"].iloc[order].duplicated().to_numpy()]
-    bucket, value = ([np.frombuffer(x, dtype=kind) for x in table.column(name).to_numpy()[keep]] for name, kind in (("buckets", np.int32), ("values", np.float32)))
+    bucket, value = ([np.frombuffer(x, dtype=kind) for x in got[name].to_numpy()[keep]] for name, kind in (("buckets", np.int32), ("values", np.float32)))
     doc = np.repeat(np.arange(len(keep), dtype=np.int32), [len(b) for b in bucket])
-    del table
     return train(doc, np.concatenate(bucket), np.concatenate(value), shape[keep], got[list(HEADS)].to_numpy()[keep])
 
 

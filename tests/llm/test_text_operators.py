@@ -496,3 +496,11 @@ def test_quality_of_odd_rows(spark):
 
 def test_story_is_long_enough():
     assert len(STORY.split()) == 120
+
+
+def test_classifier_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver neither takes the sample nor fits: it gets the model of the one task that does."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    monkeypatch.setattr(quality, "train", None)  # the task's own module has it still
+    model = quality.fit(docs, labels)
+    assert model.words.any() and model.words.shape == (2, 1 << quality.BUCKETS)
