@@ -10,7 +10,7 @@ fills and lets more and more through; results stay the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -123,9 +123,12 @@ def _merge(final: bool):
     return merged
 
 
-def repeated(values: DataFrame) -> Repeated:
-    """The merged sketch of a table of one long column."""
-    sketched = values.mapInPandas(_partition_sketch, _SCHEMA)
+def repeated(values: DataFrame, keys: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> Repeated:
+    """The merged sketch of a table of one long column, or of the column that ``keys`` makes of the table's batches.
+
+    Both then run in one worker: two mapInPandas in a row would have twice as many, which stay with their memory.
+    """
+    sketched = values.mapInPandas(_partition_sketch if keys is None else lambda frames: _partition_sketch(keys(frames)), _SCHEMA)
     merged = sketched.repartition("block", "salt").mapInPandas(_merge(False), _SCHEMA)
     final = merged.repartition("block").mapInPandas(_merge(True), _SCHEMA)
     bits = np.zeros(1 << (BITS - 3), dtype=np.uint8)

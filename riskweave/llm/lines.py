@@ -125,7 +125,7 @@ def partners(docs: DataFrame, shortest: int = SHORTEST, near: int = SHORTEST) ->
     met = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     sure = keys.join(met, "half", "left_semi").select("h1", "h2").distinct()
     likely = stored(likely.drop(*halves).join(sure, ["h1", "h2"], "left_semi"), "lines-sharing")
-    shared = repeated(likely.select("line").mapInPandas(_variants(None, [], near), "key long"))
+    shared = repeated(likely.select("line"), _variants(None, [], near))
     columns = ["h1", "h2", "id", "no"]
     variants = likely.mapInPandas(_variants(shared, columns, near), "key long, kind int, h1 long, h2 long, id long, no int")
     variants = stored(variants, "lines-variants")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import documents
+from riskweave.llm.common import documents, give_back
 from riskweave.llm.text import batches
 from riskweave.llm.tokens import shared_encoder
 
@@ -163,6 +163,8 @@ def _packer(path: str, window: int, block: int, cut: bool):
                         base, ids, counts, tokens = base + used, [], [], []
         if ids:
             yield rows(ids, counts, tokens, base)[0]
+        del ids, counts, tokens
+        give_back()
 
     return packed
 

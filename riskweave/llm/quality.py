@@ -28,8 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.llm.common import documents, id_key, if_small, keyed_rows, stored
+from riskweave.llm.common import documents, give_back, id_key, if_small, keyed_rows, stored
 from riskweave.llm.text import Words, batches, mix
+from riskweave.llm.tokens import forget_encoders
 
 SAMPLE = 20_000
 BUCKETS = 18
@@ -90,27 +91,47 @@ def flat() -> Linear:
     )
 
 
+def _blocks(bounds: np.ndarray, size: int = 1 << 17) -> list[tuple[int, int]]:
+    """Ranges of neighbouring groups of about ``size`` entries; group i is the entries from ``bounds[i]`` to the next."""
+    cuts = np.unique([0, *np.searchsorted(bounds, np.arange(size, bounds[-1], size)), len(bounds) - 1])
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def train(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, shape: np.ndarray, targets: np.ndarray, rounds: int = 150) -> Linear:
     """Logistic regression by Adam over all rows at once, with a ridge, and the threshold that a part of them sets.
 
     Entries (``doc``, ``bucket``, ``value``) stand by document. A stem of one text says nothing about others, and is left out.
+    Each round goes through them in blocks, so that it holds a few numbers per entry and no more.
     """
     model, n = flat(), len(shape)
     if not n:
         return model
-    keep = (np.bincount(bucket, minlength=1 << BUCKETS) > 1)[bucket]
-    doc, bucket, value = doc[keep], bucket[keep], value[keep]
-    used, column = np.unique(bucket, return_inverse=True)
-    column = column.astype(np.int32)
-    order = np.argsort(column, kind="stable")
+    shared = np.bincount(bucket, minlength=1 << BUCKETS) > 1
+    used, place = np.flatnonzero(shared), (np.cumsum(shared) - 1).astype(np.int32)
+    keep = shared[bucket]
+    doc, column, value = doc[keep].astype(np.int32), place[bucket[keep]], value[keep]
+    order = np.argsort(column, kind="stable").astype(np.int32)
     doc_of, value_of = doc[order], value[order]
-    starts = np.searchsorted(column[order], np.arange(len(used)))
+    begins = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(used)))])  # of each stem's entries
+    first = np.searchsorted(doc, np.arange(n + 1))  # of each text's
+    by_text, by_stem = _blocks(first), _blocks(begins)
     del order, keep, bucket
     model.centre, model.scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)
     x = (shape - model.centre) / model.scale
 
     def margins(w: np.ndarray) -> np.ndarray:
-        return x @ w[len(used) : -1] + w[-1] + np.bincount(doc, w[column] * value, n)
+        out = x @ w[len(used) : -1] + w[-1]
+        for a, b in by_text:
+            low, high = first[a], first[b]
+            out[a:b] += np.bincount(doc[low:high] - a, w[column[low:high]] * value[low:high], b - a)
+        return out
+
+    def stems_slope(r: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(used))
+        for a, b in by_stem:
+            low, high = begins[a], begins[b]
+            out[a:b] = np.add.reduceat(r[doc_of[low:high]] * value_of[low:high], begins[a:b] - low)
+        return out
 
     def fitted(y: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The weights from the rows that are marked."""
@@ -124,8 +145,7 @@ def train(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, shape: np.ndar
         ridge[-1] = 0.0
         for t in range(1, rounds + 1):
             r = rows * (1 / (1 + np.exp(-np.clip(margins(w), -30, 30))) - y) / many
-            stems = np.add.reduceat(r[doc_of] * value_of, starts) if len(used) else np.zeros(0)
-            slope = np.concatenate([stems, x.T @ r, [r.sum()]]) + ridge * w
+            slope = np.concatenate([stems_slope(r), x.T @ r, [r.sum()]]) + ridge * w
             first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
             w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         return w
@@ -144,6 +164,7 @@ def train(doc: np.ndarray, bucket: np.ndarray, value: np.ndarray, shape: np.ndar
 
 
 def _feature_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget_encoders()
     for rows in frames:
         texts = rows["text"].fillna("").tolist()
         for low, high in batches(texts):
@@ -171,10 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     schema = "key long, quality int, toxic int, buckets binary, values binary, shape array<double>"
     table = rows.mapInPandas(_feature_rows, schema)
     # the sample is bounded and its fit needs some hundred MB: a task of its own, not the driver
-    made = table.groupBy(F.lit(0).alias("all")).applyInPandas(lambda got: pd.DataFrame({"model": [pickle.dumps(_fitted(got))]}), "model binary").collect()
+    made = table.groupBy(F.lit(0).alias("all")).applyInPandas(_fitted_row, "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else flat()
 
 
+def _fitted_row(got: pd.DataFrame) -> pd.DataFrame:
+    out = pd.DataFrame({"model": [pickle.dumps(_fitted(got))]})
+    give_back()
+    return out
+
+
 def _fitted(got: pd.DataFrame) -> Linear:
     shape = np.stack(got["shape"].to_numpy())
     # rows that share an id: the one of the smallest shape
@@ -190,6 +217,7 @@ def scored(docs: DataFrame, model: Linear, host: Column, path: Column) -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 x 2**BUCKETS weights
 
     def rows_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_encoders()
         for rows in frames:
             texts = rows["text"].fillna("").tolist()
             for low, high in batches(texts):

@@ -152,7 +152,7 @@ def removed_words(docs: DataFrame, with_text: bool = True) -> DataFrame:
     columns = ["id", "text", "text_hash", "first"]
     unique = base.withColumn("first", F.lit(False)).select(*columns)
     unique = unique.unionByName(firsts.withColumn("first", F.lit(True)).select(*columns))
-    test = repeated(unique.mapInPandas(lambda frames: _anchor_rows(frames, sketch.value), "anchor long"))
+    test = repeated(unique, lambda frames: _anchor_rows(frames, sketch.value))
     held = spark.sparkContext.broadcast(test)
     windows = unique.mapInPandas(lambda frames: _window_rows(held.value, sketch.value)(frames), "window long, id long")
     lowest = windows.groupBy("window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from riskweave.llm.common import give_back
+
 #: distinct chunks that a worker remembers, those that it meets first, so the frequent ones; others are encoded again in each batch
 REMEMBERED = 1_600_000
 _ODD = re.compile(r"\s")
@@ -120,3 +122,10 @@ def shared_encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget_encoders() -> None:
+    """Frees what packing has left in a worker that goes on to other work: some hundred MB, of no use to that."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        give_back()

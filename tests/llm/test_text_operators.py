@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from odd import CLASHES, ROWS, STORY, no_documents, odd_documents
 from pyspark.sql import functions as F
-from riskweave.llm import lines, mixing, packing, perplexity, pii, quality, simhash, sketch, substrings
+from riskweave.llm import lines, mixing, packing, perplexity, pii, quality, simhash, sketch, substrings, tokens
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -504,3 +505,38 @@ def test_classifier_is_fitted_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", None)  # the task's own module has it still
     model = quality.fit(docs, labels)
     assert model.words.any() and model.words.shape == (2, 1 << quality.BUCKETS)
+
+
+def test_workers_free_tokens_before_other_work():
+    """What packing has left in a worker is gone when the worker's next task judges or takes features of texts."""
+    tokens.shared_encoder(TOKENIZER)
+    assert list(quality._feature_rows(iter([]))) == [] and not tokens._ENCODERS
+
+
+def test_fit_holds_few_numbers_per_entry():
+    rng = np.random.default_rng(1)
+    n, each = 2_000, 600
+    bucket = np.sort(rng.integers(0, 1 << quality.BUCKETS, (n, each)).astype(np.int32), axis=1).ravel()
+    doc, value = np.repeat(np.arange(n, dtype=np.int32), each), np.ones(n * each, dtype=np.float32)
+    targets = np.stack([np.arange(n) % 2, np.arange(n) % 3 == 0], axis=1).astype(int)
+    tracemalloc.start()
+    model = quality.train(doc, bucket, value, rng.random((n, quality.SHAPES)), targets, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1] - 10 * (1 << quality.BUCKETS) * 8
+    tracemalloc.stop()
+    assert model.words.any() and peak < 29 * n * each
+
+
+def test_sketch_has_one_worker_per_task(spark, docs, monkeypatch):
+    """The variants of lines are made and sketched in one worker: no mapInPandas reads another's rows."""
+    plans, made = [], type(docs).mapInPandas
+
+    def noted(self, *args, **kwargs):
+        out = made(self, *args, **kwargs)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInPandas", noted)
+    lines.partners(docs)
+    for plan in plans:
+        names = [x for x in re.findall(r"^\W*(?:\*\(\d+\) )?(\w+)", plan, re.MULTILINE) if x != "Project"]
+        assert ("MapInPandas", "MapInPandas") not in zip(names, names[1:], strict=False), plan
