@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on odd rows, empty tables and the small test tables."""
 
 import hashlib
+import math
 import random
 import re
 import tracemalloc
@@ -540,3 +541,47 @@ def test_sketch_has_one_worker_per_task(spark, docs, monkeypatch):
     for plan in plans:
         names = [x for x in re.findall(r"^\W*(?:\*\(\d+\) )?(\w+)", plan, re.MULTILINE) if x != "Project"]
         assert ("MapInPandas", "MapInPandas") not in zip(names, names[1:], strict=False), plan
+
+
+def brute_perplexity(rows):
+    """log perplexity of each text by interpolated modified Kneser-Ney over all n-grams, none folded."""
+    def predicted(word):
+        s = [perplexity._BEGIN, *word.encode(), perplexity._END]
+        return [tuple(s[max(0, i - perplexity.ORDER + 1) : i + 1]) for i in range(1, len(s))]
+
+    top = Counter((lang, g) for _, text, lang in rows for w in WORD.findall(text) for g in predicted(w))
+    counts = {n: Counter({k: c for k, c in top.items() if len(k[1]) == n}) for n in range(1, perplexity.ORDER + 1)}
+    for n in range(perplexity.ORDER - 1, 0, -1):
+        counts[n].update((lang, g[1:]) for lang, g in counts[n + 1])
+    less = {n: perplexity._discounts(Counter(c.values())) for n, c in counts.items()}
+    total, back = Counter(), Counter()
+    for n, c in counts.items():
+        for (lang, g), k in c.items():
+            total[n, lang, g[:-1]] += k
+            back[n, lang, g[:-1]] += less[n][min(k, 3)]
+
+    def p(lang, g):
+        out = 1 / 256
+        for n in range(1, len(g) + 1):
+            of, k = (n, lang, g[-n:-1]), counts[n][lang, g[-n:]]
+            if total[of]:
+                out = max(k - less[n][min(k, 3)], 0) / total[of] + min(back[of] / total[of], 1) * out
+        return math.log(out)
+
+    logs = {d: [p(lang, g) for w in WORD.findall(text) for g in predicted(w)] for d, text, lang in rows}
+    return {d: -sum(x) / max(len(x), 1) for d, x in logs.items()}
+
+
+@pytest.mark.parametrize("most", [perplexity.MOST, 300, 0])
+def test_no_gram_is_folded(spark, docs, most):
+    """However many grams tasks may hold, down to none: the model is that of all n-grams as they are."""
+    table = docs.where("text NOT RLIKE '[#*$%&|<>]' AND doc_id IS NOT NULL").orderBy("doc_id").limit(40).select("doc_id", "text", "lang")
+    want = brute_perplexity([(r["doc_id"], r["text"], r["lang"] or "") for r in table.collect()])
+    got = {r["doc_id"]: r["log_perplexity"] for r in perplexity.judged(table, most=most).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-9) for d in want)
+
+
+def test_control_characters_are_bytes_of_their_own(spark):
+    rows = [(1, "\x00ab \x02ab \x03ab ab\x00 ab\x02 ab\x03 ab abc", "x")] * 2
+    got = perplexity.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=5).collect()
+    assert len(got) == 2 and got[0] == got[1] and 0 < got[0]["log_perplexity"] < 6
