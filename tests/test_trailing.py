@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.operators import trailing
 from riskweave.operators.trailing import DAY, HOUR, MINUTE, Span, trailing_moments, trailing_sums
 from riskweave.plans import features
 
@@ -156,3 +157,20 @@ def test_no_frame_slides_over_hours(spark):
     plan = features.amount_vs_trailing_average(df)._jdf.queryExecution().analyzed().toString()
     frames = [int(n) for n in re.findall(r"RangeFrame, (?:cast\()?-(\d+)", plan, re.I)]
     assert frames and max(frames) < 90
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """A task sorts so many rows at most, and more rows make more tasks; the results are the same."""
+    data = rows_of(400, seed=5, keys=("a", "b"))
+    df = spark.createDataFrame(data, "txn_id string, account_id string, created_at timestamp_ntz, amount double")
+    # amounts at the same instant are added up in any order: the last digit may differ
+    def rounded(out):
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in out.collect())
+
+    for feature in (features.amount_zscore, features.trailing_counts):
+        plain = rounded(feature(df))
+        monkeypatch.setattr(trailing, "TASK_ROWS", 40)
+        dealt = feature(df)
+        assert dealt.rdd.getNumPartitions() >= 400 * 3 // 40
+        assert rounded(dealt) == plain
+        monkeypatch.undo()
