@@ -174,3 +174,22 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
         assert dealt.rdd.getNumPartitions() >= 400 * 3 // 40
         assert rounded(dealt) == plain
         monkeypatch.undo()
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_counts_of_spans_shorter_than_a_bucket(spark, strict):
+    """Whole numbers over minutes, an hour and days in one pass, up to the microsecond at a bucket's border; one order of the rows is enough."""
+    data = rows_of(250, seed=3) + [(f"e{i}", "a", START + timedelta(hours=5, microseconds=i), 1.0) for i in (-60_000_001, -60_000_000, -1, 0, 1, 60_000_000)]
+    df = spark.createDataFrame(data, "id string, key string, at timestamp, x double")
+    lengths = {"short": timedelta(minutes=1), "half": timedelta(minutes=37), "hour": timedelta(hours=1), "long": timedelta(days=2)}
+    spans = [Span(name, length // timedelta(microseconds=1), ("n", "odd"), strict) for name, length in lengths.items()]
+    odd = F.when(F.col("x").isNotNull(), F.col("x").cast("int") % 2)
+    out = trailing_sums(df, ["key"], "at", {"n": F.lit(1), "odd": odd}, spans, HOUR)
+    assert "DESC" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(data)
+    for row_id, key, at, _ in data:
+        for name, length in lengths.items():
+            frame = [r for r in data if r[1] == key and r[2] <= at and (at - r[2] < length if strict else at - r[2] <= length)]
+            assert got[row_id][f"{name}_n"] == len(frame)
+            assert (got[row_id][f"{name}_odd"] or 0) == sum(int(r[3]) % 2 for r in frame if r[3] is not None)
