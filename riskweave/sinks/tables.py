@@ -64,16 +64,17 @@ class KeyedLog:
 
     With ``day``, a date that follows from the key, folders are partitioned by it: merges and reads with a time range touch the days they need.
     With ``first`` the first row ever written for a key stays instead; inside an epoch the one that comes first by those columns.
+    ``unique``: no epoch has two rows of a key, as with an aggregation by it. A table that is one folder of unique keys is read as it stands.
     """
 
     GROUP = 1000
 
     def __init__(
-        self, spark: SparkSession, path: str, keys: list[str], first: list[Column] | None = None, day: Column | None = None, fanout: int = 8
+        self, spark: SparkSession, path: str, keys: list[str], first: list[Column] | None = None, day: Column | None = None, fanout: int = 8, unique: bool = False
     ):
         if fanout < 2:
             raise ValueError("fewer than two folders cannot be merged")
-        self.spark, self.path, self.keys, self.first, self.day, self.fanout = spark, path.rstrip("/"), keys, first, day, fanout
+        self.spark, self.path, self.keys, self.first, self.day, self.fanout, self.unique = spark, path.rstrip("/"), keys, first, day, fanout, unique
         self._jvm = spark.sparkContext._jvm
         self._fs = self._hadoop(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -112,7 +113,9 @@ class KeyedLog:
             rows = rows.filter(F.col(_DAY) <= F.to_date(until)) if until is not None else rows
         elif since is not None or until is not None:
             raise ValueError("a time range needs a table that is partitioned by day")
-        return self._one_per_key(rows).drop(_EPOCH, _DAY)
+        # an epoch of a log with ``first``, and what was merged, has one row per key
+        single = len(parts) == 1 and (self.unique or self.first is not None or parts[0].level > 0)
+        return (rows if single else self._one_per_key(rows)).drop(_EPOCH, _DAY)
 
     def parts(self) -> list[Part]:
         """The folders that a reader opens."""

@@ -54,6 +54,7 @@ def start_features(
                 log.write_epoch,
                 f"{checkpoints}/{table}",
                 INTERVALS[table] if continuous else None,
+                once=True,
             )
         )
     return queries
@@ -67,7 +68,7 @@ def run_features(spark: SparkSession, stream: DataFrame, out: str, checkpoints:
 
 def feature_log(spark: SparkSession, out: str, table: str) -> KeyedLog:
     """A feature table's log, by the day that its windows start on."""
-    return KeyedLog(spark, f"{out}/{table}", FEATURE_TABLES[table], day=F.col("window_start"))
+    return KeyedLog(spark, f"{out}/{table}", FEATURE_TABLES[table], day=F.col("window_start"), unique=True)
 
 
 def feature_table(spark: SparkSession, out: str, table: str, since: Column | None = None, until: Column | None = None) -> DataFrame | None:

@@ -15,15 +15,20 @@ def start(
     checkpoint: str,
     every: str | None = None,
     output_mode: str = "update",
+    once: bool = False,
 ) -> StreamingQuery:
     """Start one query with its own checkpoint.
 
     Without ``every`` it processes what is available and stops. Empty batches
     are not written; a batch is kept while in use, so asking does not compute
-    it a second time.
+    it a second time. ``once``: ``write_batch`` passes over a batch a single time
+    and copes with one without rows, so none is kept.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
+        if once:
+            write_batch(batch, epoch)
+            return
         batch.persist()
         try:
             if not batch.isEmpty():

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave import dataset
 from riskweave.plans import features
 from riskweave.plans.staging import to_payload
 from riskweave.sinks.tables import KeyedLog, append, insert_new, write
@@ -14,7 +15,7 @@ from riskweave.sources.files import csv_wanted, parquet_if_exists, require_table
 from riskweave.sources.topics import json_lines, replay
 from riskweave.streaming import features as streams
 from riskweave.streaming import scoring
-from riskweave.streaming.runner import await_all
+from riskweave.streaming.runner import await_all, start
 
 T0 = datetime(2024, 1, 1, 10)
 SCHEMA = "txn_id string, account_id string, merchant_id string, amount double, created_at timestamp, event_id string"
@@ -267,3 +268,32 @@ def test_stream_commands(spark, tmp_path):
     assert main(["--warehouse", house, "stream-features", "--topic-files", topic, "--once"]) == 0
     table = streams.feature_table(spark, f"{house}/mart", "features_account_txn_counts")
     assert sum(r["txn_count_1h"] for r in table.collect()) >= 3
+
+
+def test_one_folder_of_unique_keys_is_read_as_it_stands(spark, tmp_path):
+    """No shuffle and sort where an epoch cannot hold a key twice; with a second folder, or without that knowledge, the newest row per key."""
+    def log(name, unique):
+        return KeyedLog(spark, f"{tmp_path}/{name}", ["k"], unique=unique)
+
+    for name, unique in (("known", True), ("unknown", False)):
+        log(name, unique).write_epoch(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), 0)
+        plan = log(name, unique).current()._jdf.queryExecution().optimizedPlan().toString()
+        assert ("row_number" in plan) is not unique
+        log(name, unique).write_epoch(spark.createDataFrame([("a", 3)], "k string, v int"), 1)
+        assert {(r["k"], r["v"]) for r in log(name, unique).current().collect()} == {("a", 3), ("b", 2)}
+        log(name, unique).compact()
+        assert "row_number" not in log(name, unique).current()._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r["k"], r["v"]) for r in log(name, unique).current().collect()} == {("a", 3), ("b", 2)}
+
+
+def test_feature_batches_are_not_kept(spark, sf_dir, tmp_path):
+    """A batch goes to its folder in one pass; an epoch without rows adds no folder."""
+    schema = dataset.table(spark, sf_dir, "events").schema
+    stream = streams.timed(dataset.events_as_transactions(replay(spark, sf_dir, schema, glob="events.parquet")))
+    kept = []
+    batch = stream.groupBy("account_id").count()
+    query = start(batch, "once", lambda rows, epoch: kept.append((rows.storageLevel.useMemory, rows.count() > 0)), f"{tmp_path}/once", once=True)
+    query.awaitTermination()
+    assert kept and not any(memory for memory, _ in kept)
+    streams.run_features(spark, stream, str(tmp_path), f"{tmp_path}/checkpoints", ["features_velocity"])
+    assert len(streams.feature_log(spark, str(tmp_path), "features_velocity").parts()) == 1
