@@ -116,6 +116,15 @@ def test_validation_names_the_broken_rules(spark):
     assert valid.count() == 1 and quarantined.count() == 9
 
 
+def test_valid_rows_are_told_by_plain_conditions(spark):
+    """No list of broken rules is made for rows that break none; a rule that is null counts as broken."""
+    rows = [{"amount": 5.0}, {"amount": None}, {"amount": -1.0, "hour_of_day": 30}]
+    valid, quarantined = quality.split_valid(frame(spark, *rows))
+    assert "lambda" not in valid._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["amount"] for r in valid.collect()] == [5.0] and "failed_rules" not in valid.columns
+    assert [r["failed_rules"] for r in quarantined.collect()] == [["amount_present"], ["amount_range", "hour_range"]]
+
+
 def test_malformed_payload_is_quarantined(spark):
     raw = spark.createDataFrame(
         [("not json",), ('{"txn_id": "1", "account_id": "a", "amount": 5, "created_at": "never", "event_id": "e"}',)],
